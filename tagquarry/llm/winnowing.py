@@ -27,23 +27,26 @@ RANGE_ROWS, RANGES = 1000, 4000
 LOW = -(1 << 63)
 
 
-def _doubled(df: DataFrame, name: str, to: int, combine: str) -> DataFrame:
-    """Column `name`: at i, what `combine` makes of the values at i, i + 1 ... i + to - 1 (less at the end)."""
-    m = 1
+def _steps(to: int) -> list[int]:
+    """By how much to shift an array in turn, so that runs of `to` values come together."""
+    m, out = 1, []
     while m < to:
-        step = min(m, to - m)
-        df = df.withColumn(name, F.expr(f"transform({name}, (x, i) -> {combine}(x, get({name}, i + {step})))"))
-        m += step
-    return df
+        out.append(min(m, to - m))
+        m += out[-1]
+    return out
 
 
 def chosen(df: DataFrame, text: str, out: str, k: int = K, w: int = W) -> DataFrame:
     """df with `out`: for each window of `text` in turn, the chosen hash and position in one bigint."""
-    df = df.withColumn(out, F.expr(f"case when length({text}) > 0 then transform(split({text}, ''), x -> hash(x)) else array() end"))
-    df = _doubled(df, out, k, "hash")
-    df = df.withColumn(out, F.expr(f"""transform(slice({out}, 1, case when size({out}) = 0 then 0 else greatest(1, size({out}) - {k - 1}) end),
-        (x, i) -> shiftleft(cast(x as bigint), 32) | (4294967295L - i))"""))
-    df = _doubled(df, out, w, "least")
+    df = df.withColumn(out, F.expr(f"case when length({text}) > 0 then split({text}, '') else array() end"))
+    *steps, last = _steps(k) or [0]
+    for step in steps:
+        df = df.withColumn(out, F.expr(f"transform({out}, (x, i) -> hash(x, get({out}, i + {step})))"))
+    value = f"hash(x, get({out}, i + {last}))" if last else "hash(x)"
+    df = df.withColumn(out, F.expr(f"transform({out}, (x, i) -> shiftleft(cast({value} as bigint), 32) | (4294967295L - i))"))
+    df = df.withColumn(out, F.expr(f"slice({out}, 1, case when size({out}) = 0 then 0 else greatest(1, size({out}) - {k - 1}) end)"))
+    for step in _steps(w):
+        df = df.withColumn(out, F.expr(f"transform({out}, (x, i) -> least(x, get({out}, i + {step})))"))
     return df.withColumn(out, F.expr(f"slice({out}, 1, case when size({out}) = 0 then 0 else greatest(1, size({out}) - {w - 1}) end)"))
 
 
