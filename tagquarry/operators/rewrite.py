@@ -15,9 +15,9 @@ from .project import ordinals
 
 def within(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:
     """(key, pre) of the rows of `of` and all below them."""
-    tops = of.select(F.col(key).alias("__key"), F.col("pre").alias("__top"))
-    chain = nodes.select(key, "pre", F.explode(F.concat(F.array("pre"), "anc", F.when(F.col("host").isNotNull(), F.array("host")).otherwise(F.array().cast("array<int>")))).alias("__a"))
-    return chain.join(tops, (F.col(key) == F.col("__key")) & (F.col("__a") == F.col("__top"))).select(key, "pre").distinct()
+    tops = of.groupBy(key).agg(F.collect_list(F.struct("pre", "last")).alias("__tops"))  # as many as a document has nodes, at most
+    inside = F.exists("__tops", lambda t: (F.col("pre") >= t["pre"]) & (F.col("pre") <= t["last"]))
+    return nodes.select(key, "pre").join(tops, key).where(inside).select(key, "pre")
 
 
 def renumbered(rows: DataFrame, key: str) -> DataFrame:
