@@ -22,14 +22,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import files
 from .common import new_path, partitions, saved, table
-from .tokens import encoder, public
+from .tokens import by_file, loaded, public, stored
 
 MAGIC = b"TQHUFF01"
 MOST, STEP = 18, 256
@@ -146,60 +145,57 @@ def read_blocks(stream) -> Iterator[list[tuple[int | None, np.ndarray]]]:
         yield [(None if e else int(k), x) for e, k, x in zip(empty, keys, np.split(found, np.cumsum(counts[:-1].astype(np.int64))))]
 
 
-def id_counts(docs: DataFrame, path: str, size: int, end: int = END) -> np.ndarray:
-    """How often each id occurs in all texts, end ids included."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def stored_in_order(docs: DataFrame, path: str, folder: str) -> DataFrame:
+    """Ids of docs (doc_id, text) in ascending doc_id, each text encoded once: a file for each range; the manifest (place, file)."""
+    rows = docs.select(F.lit(0).alias("mark"), "doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
+    return stored(rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"), path, True, folder)
+
+
+def id_counts(manifest: DataFrame, size: int, end: int = END) -> np.ndarray:
+    """How often each id occurs in all files of ids, end ids included."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                texts = b.column(0).slice(at, 512).to_pylist()
-                seen += np.bincount(np.frombuffer(b"".join(encoder(path, True).encode(texts)), "<u4"), minlength=size)
-                seen[end] += len(texts)
+            for name in b.column(1).to_pylist():
+                for _, keys, ids in loaded(name):
+                    seen += np.bincount(np.concatenate(ids), minlength=size)
+                    seen[end] += len(keys)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int64()), "n": pa.array(seen[found], pa.int64())})
 
     out = np.zeros(size, np.int64)
     # a row for each id of the vocabulary at most
-    for r in docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in by_file(manifest).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
-def write(docs: DataFrame, path: str, folder: str, lengths: np.ndarray, end: int = END) -> DataFrame:
-    """Writes docs (doc_id, text) in ascending doc_id; the manifest: a row a file with its place in that order."""
-    shared = docs.sparkSession.sparkContext.broadcast((lengths, canonical(lengths)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+def write(manifest: DataFrame, folder: str, lengths: np.ndarray, end: int = END) -> DataFrame:
+    """Codes the files of ids, each into one of its own; the manifest: a row a file with its place in the order."""
+    shared = manifest.sparkSession.sparkContext.broadcast((lengths, canonical(lengths)))
 
+    def coded(source: str, name: str) -> int:
         sizes, codes = shared.value
-        place, stream, ids, block, held = TaskContext.get().partitionId(), None, 0, [], 0
-        name = f"{folder}/part-{place:06d}-{uuid.uuid4().hex}.huff"  # another try of this task writes another file
-        tail = struct.pack("<I", end)
-        try:
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
-                    for key, raw in zip(part.column(0).to_pylist(), encoder(path, True).encode(part.column(1).to_pylist())):
-                        block.append((key, np.frombuffer(raw + tail, "<u4")))
-                        held += len(block[-1][1])
-                        if held >= BLOCK_IDS:
-                            stream = stream or begun(name, sizes)
-                            stream.write(written_block(block, sizes, codes))
-                            ids, block, held = ids + held, [], 0
+        ids, block, held = 0, [], 0
+        with begun(name, sizes) as stream:
+            for _, keys, found in loaded(source):
+                for key, x in zip(keys, found):
+                    block.append((key, np.append(x, np.uint32(end))))
+                    held += len(x) + 1
+                    if held >= BLOCK_IDS:
+                        stream.write(written_block(block, sizes, codes))
+                        ids, block, held = ids + held, [], 0
             if block:
-                stream = stream or begun(name, sizes)
                 stream.write(written_block(block, sizes, codes))
-                ids += held
-        finally:
-            if stream:
-                stream.close()
-        if stream:
-            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "file": [name], "n_ids": pa.array([ids], pa.int64())})
+        return ids + held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                name = f"{folder}/part-{place:06d}-{uuid.uuid4().hex}.huff"  # another try of this task writes another file
+                yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "file": [name], "n_ids": pa.array([coded(source, name)], pa.int64())})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")
-    return saved(ordered.mapInArrow(run, "place long, file string, n_ids long"), "huffman-manifest")
+    return saved(by_file(manifest).mapInArrow(run, "place long, file string, n_ids long"), "huffman-manifest")
 
 
 def begun(name: str, lengths: np.ndarray):
@@ -234,6 +230,6 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or public("byte_bpe_50k.json")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lengths = code_lengths(id_counts(docs, path, 50257))
-    return read(write(docs, path, new_path(spark, "huffman"), lengths))
+    folder = new_path(spark, "huffman")
+    ids = stored_in_order(table(spark, sf_dir, "documents"), path, folder)
+    return read(write(ids, folder, code_lengths(id_counts(ids, 50257))))

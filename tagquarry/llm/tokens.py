@@ -11,10 +11,19 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
+from collections.abc import Iterator
 from functools import lru_cache
 
-#: Parts kept by a worker; beyond it, it starts anew.
-CACHE = 300_000
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from . import files
+from .common import saved
+
+#: Parts kept by a worker, beyond which it starts anew; parts that are encoded as one text.
+CACHE, JOINED = 1_000_000, 2000
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 SAFE = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
 EDGE = re.compile(f"[{_ODD}]")
@@ -29,18 +38,36 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.space = Tokenizer.from_file(path), " " if spaces else ""
+        # with words that hold their space, a line break stands alone; else a special token does
+        self.mark = "\n" if spaces else "<|endoftext|>"
+        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[-1]
         self.first: dict[str, bytes | None] = {}
         self.rest: dict[str, bytes | None] = {} if spaces else self.first
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _apart(self, parts: list[str], space: str) -> list[bytes]:
+        """Ids of parts without line breaks: many make one text, with a mark between whose one id no part has."""
+        out: list[bytes] = []
+        for at in range(0, len(parts), JOINED):
+            some = parts[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([space + (self.mark + space).join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark_id)
+            if len(cuts) != len(some) - 1:
+                out += self._plain([space + p for p in some])
+                continue
+            raw, starts, ends = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
+            out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+        return out
 
     def _learn(self, cache: dict, parts: set[str], space: str) -> None:
-        fine = [p for p in parts if p and not EDGE.match(p[0]) and not EDGE.match(p[-1])]
         cache.update(dict.fromkeys(parts))
-        cache.update(zip(fine, self._plain([space + p for p in fine])))
+        fine = [p for p in parts if p and not EDGE.match(p[0]) and not EDGE.match(p[-1])]
+        odd = [p for p in fine if "\n" in p or self.mark in p]
+        even = [p for p in fine if "\n" not in p and self.mark not in p]
+        cache.update(zip(even, self._apart(even, space)))
+        cache.update(zip(odd, self._plain([space + p for p in odd])))
 
     def _careful(self, text: str) -> bytes:
         head, *rest = SAFE.split(text)
@@ -84,3 +111,42 @@ def public(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
+    """Encodes docs (mark int, doc_id, text), as they lie, once: a file of ids for each partition; the manifest (place, file)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place, stream, writer = TaskContext.get().partitionId(), None, None
+        name = f"{folder}/ids-{place:06d}-{uuid.uuid4().hex}.arrows"  # another try of this task writes another file
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, 512):
+                    part = b.slice(at, 512)
+                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoder(path, spaces).encode(part.column(2).to_pylist())]
+                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["mark", "doc_id", "ids"])
+                    if stream is None:
+                        stream = files.create(name)
+                        writer = pa.ipc.new_stream(stream, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                    writer.write_batch(out)
+        finally:
+            if stream is not None:
+                writer.close()
+                stream.close()
+        if stream is not None:
+            yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "file": [name]})
+
+    return saved(docs.mapInArrow(run, "place long, file string"), "ids")
+
+
+def loaded(name: str) -> Iterator[tuple[list, list, list[np.ndarray]]]:
+    """Marks, doc_ids and ids of the batches of a file of stored()."""
+    with files.reader(name) as f, pa.ipc.open_stream(f) as stream:
+        for b in stream:
+            yield b.column(0).to_pylist(), b.column(1).to_pylist(), [np.frombuffer(x, "<u2").astype("<u4") for x in b.column(2).to_pylist()]
+
+
+def by_file(manifest: DataFrame) -> DataFrame:
+    """A task for each file, or nearly."""
+    return manifest.repartition(max(1, manifest.count()))
