@@ -21,10 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import table
-from .tokens import encoder, public
+from .common import new_path, table
+from .tokens import by_file, loaded, public, stored
 
 WINDOW, END, VOCABULARY = 4096, 2, 49408
 #: Characters and documents of a shard, about.
@@ -33,20 +34,21 @@ SHARD_CHARS, SHARD_DOCS = 6_000_000, 2000
 K1, B, TERMS = 1.2, 0.75, 24
 
 
-def corpus_statistics(docs: DataFrame, path: str, end: int = END) -> tuple[np.ndarray, int, float]:
-    """Document frequency of each id, number of documents and their mean length, over all of them."""
+def corpus_statistics(manifest: DataFrame) -> tuple[np.ndarray, int, float]:
+    """Document frequency of each id, number of documents and their mean length, over all files of ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, ids = np.zeros(VOCABULARY, np.int64), 0, 0
+        seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                for raw in encoder(path, False).encode(b.column(0).slice(at, 512).to_pylist()):
-                    seen[np.unique(np.frombuffer(raw, "<u4"))] += 1
-                    n, ids = n + 1, ids + len(raw) // 4 + 1
+            for name in b.column(1).to_pylist():
+                for _, _, ids in loaded(name):
+                    for x in ids:
+                        seen[np.unique(x)] += 1
+                        n, total = n + 1, total + len(x) + 1
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_pydict({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(seen[at], [n, ids]), pa.int64())})
+        yield pa.RecordBatch.from_pydict({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(seen[at], [n, total]), pa.int64())})
 
     # a row an id of the vocabulary, and two
-    rows = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = by_file(manifest).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     found = {r["id"]: r["n"] for r in rows}
     df = np.zeros(VOCABULARY)
     for k, n in found.items():
@@ -129,58 +131,47 @@ def packed(docs: list[np.ndarray], index: Index, window: int = WINDOW) -> list[t
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """docs (doc_id, text): a row a piece; sequence_id is the shard's number above 32 bits, then the shard's own count."""
     spark = docs.sparkSession
-    df, total, mean = corpus_statistics(docs, path, end)
-    idf = np.log1p((total - df + 0.5) / (df + 0.5))
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, round(chars / SHARD_CHARS), -(-total // SHARD_DOCS))
-    shared = spark.sparkContext.broadcast((idf, mean))
+    chars, total = docs.agg(F.sum(F.length("text").cast("long")), F.count(F.lit(1))).first()
+    shards = max(1, round((chars or 0) / SHARD_CHARS), -(-total // SHARD_DOCS))
+    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)).cast("int")
+    dealt = docs.select(shard.alias("mark"), "doc_id", "text").repartition(min(shards, 100_000), "mark").sortWithinPartitions("mark", "doc_id")
+    manifest = stored(dealt, path, False, new_path(spark, "packing"))
+    df, total, mean = corpus_statistics(manifest)
+    shared = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)), mean))
     kind = docs.schema["doc_id"].dataType
+    key_type = to_arrow_type(kind)
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     schema = StructType([StructField("doc_id", kind)] + [StructField(n, LongType()) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def one(shard: int, keys: list, ids: list[np.ndarray]) -> pa.RecordBatch:
         idf, mean = shared.value
-        keys, raw, shard = [], [], 0
-        for b in batches:
-            shard = b.column(2)[0].as_py()
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                keys += part.column(0).to_pylist()
-                raw += encoder(path, False).encode(part.column(1).to_pylist())
-        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, raw[i]))
-        tail = np.array([end], "<u4")
-        docs = [np.concatenate((np.frombuffer(raw[i], "<u4"), tail)) for i in order]
-        bare = [d[:-1].astype(np.int64) for d in docs]
-        rows = packed(docs, Index(bare, idf, mean), window)
-        crc = [zlib.crc32(docs[d][a : a + n].tobytes()) for d, a, n, _, _ in rows]
+        order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, ids[i].tobytes()))
+        bare = [ids[i].astype(np.int64) for i in order]
+        whole = [np.append(ids[i], np.uint32(end)).astype("<u4") for i in order]
+        rows = packed(whole, Index(bare, idf, mean), window)
+        crc = [zlib.crc32(whole[d][a : a + n].tobytes()) for d, a, n, _, _ in rows]
         doc, start, length, sequence, offset = np.array(rows, np.int64).reshape(-1, 5).T
-        yield pa.RecordBatch.from_arrays([
-            pa.array([keys[order[d]] for d in doc], b.schema.field(0).type), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
-            pa.array([len(docs[d]) for d in doc], pa.int64()), pa.array(sequence + (shard << 32)), pa.array(offset),
+        return pa.RecordBatch.from_arrays([
+            pa.array([keys[order[d]] for d in doc], key_type), pa.array(start), pa.array(length), pa.array(crc, pa.int64()),
+            pa.array([len(whole[d]) for d in doc], pa.int64()), pa.array(sequence + (shard << 32)), pa.array(offset),
         ], names=["doc_id", *names])
 
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards))
-    dealt = docs.select("doc_id", "text", shard.alias("shard"))
-    return _by_shard(dealt, run, schema, shards)
-
-
-def _by_shard(dealt: DataFrame, run, schema: StructType, shards: int) -> DataFrame:
-    """One call of `run` a shard: a partition holds whole shards, in order."""
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            number = b.column(2).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), b.num_rows]
-            for a, z in zip(cuts, cuts[1:]):
-                if held and z > a and held[-1].column(2)[0].as_py() != number[a]:
-                    yield from run(iter(held))
-                    held = []
-                if z > a:
-                    held.append(b.slice(a, z - a))
-        if held:
-            yield from run(iter(held))
-
-    return dealt.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(each, schema)
+            for name in b.column(1).to_pylist():
+                at, keys, ids = None, [], []
+                for marks, some, found in loaded(name):
+                    for mark, key, x in zip(marks, some, found):
+                        if mark != at and keys:
+                            yield one(at, keys, ids)
+                            keys, ids = [], []
+                        at = mark
+                        keys.append(key)
+                        ids.append(x)
+                if keys:
+                    yield one(at, keys, ids)
+
+    return by_file(manifest).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
