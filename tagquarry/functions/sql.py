@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from ..operators.relation import events_of
 from ..operators.render import markdown
@@ -12,7 +13,7 @@ from ..operators.treebuilder import parse
 from .entities import decode
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else decode(t))
 
@@ -27,17 +28,17 @@ def text_of(html: str | None, separator: str = " ", strip: bool = True) -> str:
     return separator.join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
     return html.map(text_of)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_to_markdown(html: pd.Series) -> pd.Series:
     return html.map(lambda h: markdown(parse(h)[0]))
 
 
-@F.udtf(returnType="ord int, event string, name string, data string")
+@F.udtf(returnType=StructType().add("ord", IntegerType()).add("event", StringType()).add("name", StringType()).add("data", StringType()))
 class HtmlEvents:
     def eval(self, html: str):
         for e in events_of(html):

@@ -30,14 +30,19 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: query(nodes(s, d), selector, KEY, **options).select(KEY, *columns)
+    return lambda s, d: query(nodes(s, d), selector, KEY, **options).select(KEY, *[c() if callable(c) else c for c in columns])
 
 
 def _counted(selector: str, out: str = "n", **options) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: query(nodes(s, d), selector, KEY, **options).groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
 
 
-HREF = attribute("href").alias("href")
+def attr(name: str) -> Callable:
+    """A column that is made when there is a session."""
+    return lambda: attribute(name).alias(name)
+
+
+HREF = attr("href")
 
 
 def with_text_of(selector: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -60,7 +65,7 @@ def _encodings(s: SparkSession, d: str) -> DataFrame:
 def _fragments(s: SparkSession, d: str) -> DataFrame:
     docs = pages(s, d).select(KEY, F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("part"))
     found = relation.nodes(docs, KEY, "part", Options(fragment=("nav", None)))
-    return query(found, "li > a", KEY).select(KEY, HREF)
+    return query(found, "li > a", KEY).select(KEY, HREF())
 
 
 def _pruned(s: SparkSession, d: str) -> DataFrame:
@@ -79,13 +84,13 @@ def _flags(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "nav_links": lambda s, d: events(s, d).where("event = 'start' and name = 'a'").select(KEY, HREF),
+    "nav_links": lambda s, d: events(s, d).where("event = 'start' and name = 'a'").select(KEY, HREF()),
     "nav_links_tree": _selected("nav > ul > li > a[href]", HREF),
-    "first_link": lambda s, d: first(query(nodes(s, d), "nav a", KEY), KEY).select(KEY, HREF),
+    "first_link": lambda s, d: first(query(nodes(s, d), "nav a", KEY), KEY).select(KEY, HREF()),
     "titles": with_text_of("title"),
     "h1_text": with_text_of("article h1"),
-    "page_lang": _selected("html", attribute("lang").alias("lang")),
-    "meta_charset": _selected("head > meta[charset]", attribute("charset").alias("charset")),
+    "page_lang": _selected("html", attr("lang")),
+    "meta_charset": _selected("head > meta[charset]", attr("charset")),
     "a_count": _counted("a"),
     "li_count": _counted("li"),
     "p_count": _counted("p"),
