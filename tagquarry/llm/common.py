@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +16,9 @@ from pyspark.sql.types import StructType
 
 #: Rows that Spark hands to Python at a time: whole texts are long, and several tasks share an executor's memory.
 BATCH_ROWS = 1000
+#: Whether Spark removes a query's shuffle files when it ends; what the last part of a path of new_path() ends in.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+MADE = re.compile("-[0-9a-f]{32}$")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,20 +40,31 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet into the shared folder and read again: cuts lineage and survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(df: DataFrame) -> None:
-    """Removes the files of a table made by saved(), once nothing reads them any more."""
-    spark = df.sparkSession
-    paths = {f.rpartition("/")[0] for f in df.inputFiles()}
-    for path in paths:
-        if path.startswith((shared_dir(spark), shared_dir(spark).replace("file://", "file:"))) or "tagquarry-" in path:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    """df written as Parquet into the shared folder and read again: cuts lineage and survives lost executors.
+
+    Once it is written nothing reads its shuffles again, so Spark is told to remove their files then.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes the files of tables made by saved(), once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if MADE.search(path):
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def partitions(spark: SparkSession) -> int:
