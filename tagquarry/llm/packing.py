@@ -30,8 +30,8 @@ from .tokens import by_file, loaded, public, stored
 WINDOW, END, VOCABULARY = 4096, 2, 49408
 #: Characters and documents of a shard, about.
 SHARD_CHARS, SHARD_DOCS = 6_000_000, 2000
-#: BM25, and how many of a seed's terms ask.
-K1, B, TERMS = 1.2, 0.75, 24
+#: BM25.
+K1, B = 1.2, 0.75
 
 
 def corpus_statistics(manifest: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -62,9 +62,9 @@ class Index:
     """BM25 over a shard's documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.idf, self.n = idf, len(docs)
+        self.n = len(docs)
         terms, tf = zip(*(np.unique(d, return_counts=True) for d in docs)) if docs else ((), ())
-        self.terms, self.tf = terms, tf
+        self.terms = terms
         size = np.array([len(d) for d in docs], np.float64)
         owner = np.repeat(np.arange(len(docs)), [len(t) for t in terms])
         flat, count = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*tf, np.zeros(0, np.int64)])
@@ -76,8 +76,6 @@ class Index:
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first; ties to the earlier."""
         terms = self.terms[seed]
-        if len(terms) > TERMS:
-            terms = terms[np.argsort(-self.idf[terms] * np.log1p(self.tf[seed]), kind="stable")[:TERMS]]
         scores = np.zeros(self.n)
         for t in terms.tolist():
             a, b = self.starts[t], self.starts[t + 1]

@@ -130,6 +130,13 @@ def test_neighbours_found_by_retrieval():
     assert index.neighbours(0, np.array([True, False, False, False])).tolist() == [2]
 
 
+def test_all_terms_of_a_seed_ask():
+    # the seed's 30 rarest terms are its own; what is near shares only its other 40
+    ids = [np.arange(70), np.arange(30, 70), np.append(np.arange(40), 99) + 200, np.append(np.arange(30, 33), np.arange(300, 340))]
+    idf = np.append(np.full(30, 9.0), np.ones(packing.VOCABULARY - 30))
+    assert packing.Index(ids, idf, 50).neighbours(0, np.array([True, False, False, False])).tolist() == [1, 3]
+
+
 def test_pieces_equal_the_library(docs):
     import sentencepiece
 
