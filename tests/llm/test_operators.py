@@ -130,6 +130,18 @@ def test_neighbours_found_by_retrieval():
     assert index.neighbours(0, np.array([True, False, False, False])).tolist() == [2]
 
 
+def test_packing_asks_all_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_DOCS", 10)
+    r = np.random.default_rng(7)
+    topics = [["".join(r.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(20)] for _ in range(40)]
+    rows = [(i + 40 * j, " ".join(r.permutation(words))) for i, words in enumerate(topics) for j in range(2)]
+    found = collections.defaultdict(set)
+    for row in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public("word_bpe_49k.json"), 1024).collect():
+        found[row["doc_id"]].add(row["sequence_id"])
+    # the other document of its topic is in a window with it, though nearly always in another shard
+    assert sum(bool(found[i] & found[i + 40]) for i in range(40)) >= 38
+
+
 def test_all_terms_of_a_seed_ask():
     # the seed's 30 rarest terms are its own; what is near shares only its other 40
     ids = [np.arange(70), np.arange(30, 70), np.append(np.arange(40), 99) + 200, np.append(np.arange(30, 33), np.arange(300, 340))]
