@@ -207,6 +207,16 @@ def test_pii_learns_contexts(spark, empty):
     assert pii.learned_contexts(empty) == {}
 
 
+def test_pii_learns_from_seeds_without_digits(spark):
+    name = lambda i: "".join(chr(97 + i // 26 ** j % 26) for j in range(3))
+    rows = [f"write to the mailbox {name(i)}@site.org today" for i in range(30)] + [f"please ring line +1 (974) 555-3{i:03d} soon" for i in range(30)] + ["to the mailbox joe_smith today", "ring line 4711 soon", "a plain text"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    contexts = pii.learned_contexts(docs)
+    assert {"<mailbox", ">today", "<line", ">soon"} <= set(contexts)
+    spans = {r["doc_id"]: r["spans"] for r in pii.extracted(docs, contexts).collect()}
+    assert (spans[60], spans[61], spans[62]) == ("context:15:24", "context:10:14", "")
+
+
 def test_language(spark, empty):
     kinds = {"aa": "ba la ma ka ta", "bb": "xyz zyx yxz qwx", "cc": "один два три"}
     r = np.random.default_rng(2)
