@@ -217,6 +217,14 @@ def test_pii_learns_from_seeds_without_digits(spark):
     assert (spans[60], spans[61], spans[62]) == ("context:15:24", "context:10:14", "")
 
 
+def test_pii_keeps_rare_contexts(spark):
+    """6 seeds of 24000 are enough for a context; instances found by contexts bring in those without a seed."""
+    rows = [" ".join(f"mail u{i}x{j}@site.org" for j in range(600)) for i in range(40)] + [f"badge {c}{c}@site.org" for c in "abcdef"]
+    rows += [f"token {c}@site.org" for c in "abcdefghijklmnopqrst"] + [f"{k} Q{i}" for k in ("token", "locker") for i in range(6)] + ["locker Z9"]
+    found = pii.learned_contexts(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    assert {"<mail", "<badge", "<token", "<locker"} <= set(found)
+
+
 def test_language(spark, empty):
     kinds = {"aa": "ba la ma ka ta", "bb": "xyz zyx yxz qwx", "cc": "один два три"}
     r = np.random.default_rng(2)
