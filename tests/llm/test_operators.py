@@ -61,6 +61,18 @@ def test_near_duplicates(docs, empty):
     assert minhash.linked(empty).count() == 0
 
 
+def test_near_copies_without_an_id(spark):
+    rows = []
+    for g in range(12):
+        w = [f"w{g}x{i}" for i in range(224)]
+        # the one without an id is near both others, which are not near each other
+        rows += [(2 * g, " ".join(w[:200])), (None, " ".join(w[12:212])), (2 * g + 1, " ".join(w[24:]))]
+    rows += [(None, " ".join(f"n{i}" for i in range(a, 200 + a))) for a in (0, 5, 5)]
+    found = [(r["doc_id"], r["component_id"]) for r in minhash.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(f for f in found if f[0] is not None) == [(i, i // 2 * 2) for i in range(24)]
+    assert sorted((c for i, c in found if i is None), key=str) == sorted([*range(0, 24, 2), None, None, None], key=str)
+
+
 def test_sketches_estimate():
     r = np.random.default_rng(5)
     for share in (0.3, 0.8, 0.95):
