@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ BATCH_ROWS = 1000
 #: Whether Spark removes a query's shuffle files when it ends; what the last part of a path of new_path() ends in.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 MADE = re.compile("-[0-9a-f]{32}$")
+#: Where the session keeps the name of its folder.
+FOLDER = "spark.tagquarry.folder"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """A folder of this session's in the one that all executors share, spark.checkpoint.dir; Spark removes it when it ends.
+
+    Where that is unset, a local session gets a folder of its own; elsewhere executors could not read each other's files.
+    """
+    if found := spark.conf.get(FOLDER, None):
+        return found
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tagquarry-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    found = f"{found.rstrip('/')}/tagquarry-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    spark.conf.set(FOLDER, found)
+    return found
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -111,3 +127,34 @@ def map_texts(docs: DataFrame, keep: list[str], made: Callable[[list[str | None]
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])])
     whole = StructType([docs.schema[c] for c in keep] + new.fields)
     return source.mapInArrow(run, whole)
+
+
+def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """run(group) for the rows of equal integer keys, which fit memory; one pass over sorted partitions."""
+    at = [df.columns.index(k) for k in keys]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from run(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            values = [b.column(i).to_numpy(zero_copy_only=False) for i in at]
+            cut = np.zeros(b.num_rows - 1, bool)
+            for v in values:
+                cut |= v[1:] != v[:-1]
+            edges = [0, *(np.flatnonzero(cut) + 1).tolist(), b.num_rows]
+            for low, high in zip(edges, edges[1:]):
+                key = tuple(v[low] for v in values)
+                if key != last:
+                    yield from done()
+                    held, last = [], key
+                held.append(b.slice(low, high - low))
+        yield from done()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(each, schema)

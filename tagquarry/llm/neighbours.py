@@ -26,8 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import join_by_share, saved, table
-from .minhash import _by_group
+from .common import by_group, join_by_share, saved, table
 
 #: Rows that the forest is fitted on, trees, sample rows of a leaf at most, leaves that a query visits, rows of a block.
 FIT_ROWS, TREES, LEAVES, VISITS, BLOCK = 50_000, 8, 64, 80, 4096
@@ -181,7 +180,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 10, trees: int = TREES, vis
             found = [(n, *p) for n, q in zip(names[at : at + 1024], v[at : at + 1024]) for p in exact(q, x, ids, k + 1)]
             yield pa.RecordBatch.from_pydict({"key": [f[0] for f in found], "score": pa.array([f[1] for f in found], pa.float64()), "vec_id": pa.array([f[2] for f in found], pa.int64())})
 
-    found = _by_group(index.unionByName(visits_df), ["leaf", "block"], [], ranked, "key string, score double, vec_id long").distinct()
+    found = by_group(index.unionByName(visits_df), ["leaf", "block"], ranked, "key string, score double, vec_id long").distinct()
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
     lists = best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("near"))
     lists = saved(lists.join(asked, "key"), "lists")
