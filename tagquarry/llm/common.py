@@ -24,6 +24,13 @@ MADE = re.compile("-[0-9a-f]{32}$")
 FOLDER = "spark.tagquarry.folder"
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of unsigned 64-bit integers that looks random."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,58 +1,55 @@
 """Packing of documents into windows by lexical retrieval.
 
-Documents are dealt into shards of bounded size by a hash. A shard is a BM25 inverted
-index over its documents' token ids, with document frequencies of the whole corpus. An
-unused document (the seed) opens a window; the documents of all shards that are nearest
-by BM25 over all the seed's terms, and still unused, fill it, nearest first. A document
-that passes the window's end is cut there and its rest seeds the next window.
-
-Windows are filled in rounds, many chains of windows side by side: each shard is asked for
-the best unused documents of all open windows, the answers are merged, and the driver
-gives them out, in the order of the chains. A window whose answers are used up before it
-is full asks again, so nothing is left out because a list was short. What is left in
-windows that cannot be filled any more is packed in a row, and its end cut at powers of
-two, so no sequence needs padding. Each window asks every shard, so the time grows with
-the square of the table; the driver holds a byte a document and the open windows.
+Documents are encoded as they lie, then dealt into shards by retrieval: each asks a BM25
+index of ANCHORS sampled documents and goes to the place of the one that it retrieves
+first, there in order of the rare terms that it holds. The order is cut into shards of
+bounded size, a task taking many one after the other. A shard is a BM25 inverted index
+over its documents' token ids, with document frequencies of the whole corpus. An unused
+document (the seed) opens a window; the documents of the shard that are nearest by BM25
+over all the seed's terms, and still unused, fill it, nearest first. A document that
+passes the window's end is cut there and its rest seeds the next window; an open window
+goes on with the next shard's documents. The end of a task's last window is cut at powers
+of two, so no sequence needs padding.
+
+A seed retrieves what its shard holds; the README says how often its best neighbour of the
+whole corpus lies there. In return the time grows with the table, and nothing but the
+vocabulary and the anchors goes through the driver.
 
 A null or empty text is its end id alone and is packed like any other. Equal
 documents are packed each for themselves. Very long texts fill several windows. An
-empty table gives no rows. Null and repeated doc_ids keep their rows.
+empty table gives no rows. Null and repeated doc_ids keep their rows, and no doc_id's
+rows need lie in one shard. Columns besides doc_id and text are ignored. Ties in BM25
+go to the document first in order.
 """
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from . import files
-from .common import new_path, saved, table
-from .tokens import by_file, loaded, public, stored
+from .common import mixed, new_path, partitions, saved, table
+from .tokens import by_file, encoder, loaded, public, stored
 
 WINDOW, END, VOCABULARY = 4096, 2, 49408
-#: Characters and documents of a shard, about.
-SHARD_CHARS, SHARD_DOCS = 6_000_000, 2000
+#: Ids and documents of a shard at most, but for a document that is larger alone.
+SHARD_IDS, SHARD_DOCS = 4_000_000, 8000
+#: Sampled documents by which the others are dealt.
+ANCHORS = 512
 #: BM25.
 K1, B = 1.2, 0.75
-#: Windows that a chain fills, about; chains and answers to them in a round, at most.
-CHAIN, CHAINS, ANSWERS = 16, 4096, 1 << 18
-#: Terms in more than this share of a shard's documents are scored densely; scores held at a time.
-COMMON, SCORES = 1 / 8, 1 << 21
 
 
-def corpus_statistics(manifest: DataFrame) -> tuple[np.ndarray, int, float]:
+def corpus_statistics(manifest: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, int, float]:
     """Document frequency of each id, number of documents and their mean length, over all files of ids."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, total = np.zeros(VOCABULARY, np.int64), 0, 0
+        seen, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
             for name in b.column(1).to_pylist():
                 for _, _, ids in loaded(name):
@@ -65,7 +62,7 @@ def corpus_statistics(manifest: DataFrame) -> tuple[np.ndarray, int, float]:
     # a row an id of the vocabulary, and two
     rows = by_file(manifest).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     found = {r["id"]: r["n"] for r in rows}
-    df = np.zeros(VOCABULARY)
+    df = np.zeros(size)
     for k, n in found.items():
         if k >= 0:
             df[k] = n
@@ -74,69 +71,43 @@ def corpus_statistics(manifest: DataFrame) -> tuple[np.ndarray, int, float]:
 
 
 class Index:
-    """BM25 over a shard's documents."""
+    """BM25 over some documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
         terms, tf = zip(*(np.unique(d, return_counts=True) for d in docs)) if docs else ((), ())
-        size = np.array([len(d) for d in docs], np.int64)
-        self.ends, self.sizes = np.cumsum([0, *[len(t) for t in terms]]).astype(np.int64), size
-        self.terms = np.concatenate([*terms, np.zeros(0, np.int64)]).astype("<u2")
+        self.n, self.ends = len(docs), np.cumsum([0, *[len(t) for t in terms]])
+        self.terms = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
         count = np.concatenate([*tf, np.zeros(0, np.int64)])
-        long = np.repeat(size, np.diff(self.ends))
-        self.weights = (idf[self.terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * long / max(mean, 1e-9)))).astype("<f4")
-
-    def write(self, name: str) -> None:
-        with files.create(name) as f:
-            for x in (np.array([len(self.sizes)], "<i8"), self.ends, self.sizes, self.terms, self.weights):
-                f.write(x.tobytes())
-
-    @classmethod
-    def read(cls, name: str) -> Index:
-        with files.reader(name) as f:
-            data = f.read()
-        self, n = cls.__new__(cls), int(np.frombuffer(data, "<i8", 1)[0])
-        self.ends, self.sizes = np.frombuffer(data, "<i8", n + 1, 8), np.frombuffer(data, "<i8", n, 16 + 8 * n)
-        at, m = 16 + 16 * n, int(self.ends[-1])
-        self.terms, self.weights = np.frombuffer(data, "<u2", m, at), np.frombuffer(data, "<f4", m, at + 2 * m)
-        return self
-
-    @property
-    def n(self) -> int:
-        return len(self.sizes)
-
-    def invert(self, keep: np.ndarray) -> None:
-        """Makes the lists of the documents to keep, by term; those of common terms as columns."""
-        rows = np.repeat(keep, np.diff(self.ends))
-        owner = np.repeat(np.arange(self.n), np.diff(self.ends))[rows]
-        terms, weights = self.terms[rows], self.weights[rows]
-        order = np.argsort(terms, kind="stable")
-        self.docs, self.lists = owner[order], weights[order].astype(np.float64)
-        self.starts = np.searchsorted(terms[order], np.arange(VOCABULARY + 1))
-        common = np.flatnonzero(np.diff(self.starts) > max(8, COMMON * self.n))
-        self.column = np.full(VOCABULARY, -1)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((self.n, len(common)), np.float32)
-        dense = self.column[terms] >= 0
-        self.dense[owner[dense], self.column[terms[dense]]] = weights[dense]
-
-    def scores(self, asks: list[np.ndarray]) -> np.ndarray:
-        """BM25 of each document for the terms of each ask, after invert()."""
-        out, ask = np.zeros((len(asks), self.n), np.float32), np.zeros((len(asks), self.dense.shape[1]), np.float32)
-        for i, terms in enumerate(asks):
-            column = self.column[terms]
-            ask[i, column[column >= 0]] = 1
-            rare = terms[column < 0].astype(np.int64)
-            a, size = self.starts[rare], self.starts[rare + 1] - self.starts[rare]
-            at = np.arange(size.sum()) + np.repeat(a - np.cumsum(size) + size, size)
-            out[i] = np.bincount(self.docs[at], self.lists[at], self.n)
-        return out + ask @ self.dense.T
+        owner = np.repeat(np.arange(self.n), np.diff(self.ends))
+        long = np.array([len(d) for d in docs], np.int64)[owner]
+        weights = idf[self.terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * long / max(mean, 1e-9)))
+        order = np.argsort(self.terms, kind="stable")
+        self.docs, self.lists = owner[order], weights[order]
+        self.starts = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
+
+    def terms_of(self, doc: int) -> np.ndarray:
+        return self.terms[self.ends[doc] : self.ends[doc + 1]]
+
+    def scores(self, terms: np.ndarray) -> np.ndarray:
+        """BM25 of each document for these terms."""
+        spans = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()) if a < b]
+        if not spans:
+            return np.zeros(self.n)
+        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.lists[s] for s in spans]), self.n)
+
+    def nearest(self, terms: np.ndarray, used: np.ndarray, some: int = 64) -> Iterator[int]:
+        """Unused documents that share one of the terms, best first; ties to the earlier. `some` are sorted before the others."""
+        scores = np.where(used, 0.0, self.scores(terms))
+        found = np.flatnonzero(scores)
+        if len(found) > some:
+            line = -np.partition(-scores[found], some)[some]
+            above = found[scores[found] > line]
+            yield from above[np.argsort(-scores[above], kind="stable")].tolist()
+            found = found[scores[found] <= line]
+        yield from found[np.argsort(-scores[found], kind="stable")].tolist()
 
     def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first; ties to the earlier."""
-        self.invert(~used)
-        scores = self.scores([self.terms[self.ends[seed] : self.ends[seed + 1]]])[0]
-        found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")]
+        return np.array(list(self.nearest(self.terms_of(seed), used)), np.int64)
 
 
 def powers(n: int) -> list[int]:
@@ -144,247 +115,162 @@ def powers(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-def _ranks(scores: np.ndarray, seeds: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Scores as integers that sort alike, ties by a hash of seed and document, so that seeds which are copies ask for different ones."""
-    with np.errstate(over="ignore"):
-        h = (seeds.astype(np.uint32) * np.uint32(0x85EBCA6B))[:, None] ^ (docs.astype(np.uint32) * np.uint32(0x9E3779B1))[None]
-        h = (h ^ (h >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return np.where(scores > 0, scores.view(np.int32).astype(np.int64) << 31 | (h >> np.uint32(1)), 0)
-
-
-class Shards:
-    """The written indexes of all shards; documents are numbered through."""
-
-    def __init__(self, spark: SparkSession, rows: list):
-        self.spark, self.names = spark, [r["index"] for r in rows]
-        self.places = np.array([r["place"] for r in rows], np.int64)
-        self.base = np.cumsum([0, *[r["n"] for r in rows]])
-        self.tasks = max(1, min(len(rows), 2 * spark.sparkContext.defaultParallelism))
-        self.opened = lru_cache(64)(files.reader)
-
-    def shard(self, doc: int) -> int:
-        return int(np.searchsorted(self.base, doc, "right")) - 1
-
-    def document(self, doc: int) -> tuple[int, np.ndarray]:
-        """Length, with the end id, and terms."""
-        s = self.shard(doc)
-        f, n, i = self.opened(self.names[s]), int(self.base[s + 1] - self.base[s]), int(doc - self.base[s])
-
-        def read(at: int, kind: str, count: int) -> np.ndarray:
-            f.seek(at)
-            return np.frombuffer(f.read(count * np.dtype(kind).itemsize), kind)
-
-        a, b = read(8 + 8 * i, "<i8", 2).tolist()
-        return int(read(16 + 8 * n + 8 * i, "<i8", 1)[0]) + 1, read(16 + 16 * n + 2 * a, "<u2", b - a)
-
-    def answers(self, seeds: list[int], asks: list[np.ndarray], used: np.ndarray, most: int) -> dict[int, list[tuple[int, int]]]:
-        """For each ask that has any, up to `most` unused documents of all shards, best first, with their lengths."""
-        shared = self.spark.sparkContext.broadcast((np.array(seeds, np.int64), asks, np.packbits(used)))
-        names, base, tasks = self.names, self.base, self.tasks
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seeds, asks, bits = shared.value
-            for b in batches:
-                for task in b.column(0).to_pylist():
-                    top = np.zeros((3, len(asks), 0), np.int64)  # ranks, documents, lengths
-                    for s in range(task, len(names), tasks):
-                        low, high = int(base[s]), int(base[s + 1])
-                        keep = ~np.unpackbits(bits[low >> 3 : (high + 7) >> 3])[low & 7 : (low & 7) + high - low].astype(bool)
-                        if not keep.any():
-                            continue
-                        index, docs = Index.read(names[s]), np.arange(low, high)
-                        index.invert(keep)
-                        found, step = [], max(1, SCORES // index.n)
-                        for at in range(0, len(asks), step):
-                            rank = _ranks(index.scores(asks[at : at + step]), seeds[at : at + step], docs)
-                            best = np.argpartition(-rank, most - 1, axis=1)[:, :most] if index.n > most else np.repeat(np.arange(index.n)[None], len(rank), 0)
-                            found.append(np.stack([np.take_along_axis(rank, best, 1), docs[best], index.sizes[best] + 1]))
-                        top = np.concatenate([top, np.concatenate(found, axis=1)], axis=2)
-                        if top.shape[2] > most:
-                            top = np.take_along_axis(top, np.argpartition(-top[0], most - 1, axis=1)[None, :, :most], 2)
-                    ask, at = np.nonzero(top[0])
-                    rank, doc, length = top[:, ask, at]
-                    yield pa.RecordBatch.from_pydict({"ask": pa.array(ask), "rank": pa.array(rank), "doc": pa.array(doc), "length": pa.array(length)})
-
-        rows = self.spark.range(0, tasks, 1, tasks).mapInArrow(run, "ask long, rank long, doc long, length long")
-        best = Window.partitionBy("ask").orderBy(F.desc("rank"), "doc")
-        # ANSWERS rows at most
-        got = rows.withColumn("i", F.row_number().over(best)).where(F.col("i") <= most).select("ask", "i", "doc", "length").toPandas().sort_values(["ask", "i"])
-        shared.destroy()
-        out: dict[int, list[tuple[int, int]]] = {}
-        for ask, doc, length in zip(got["ask"].tolist(), got["doc"].tolist(), got["length"].tolist()):
-            out.setdefault(ask, []).append((doc, length))
-        return out
-
-
-class Pieces:
-    """Writes pieces (place, document's place in its file, start, length, sequence, offset) as they become final."""
-
-    def __init__(self, shards: Shards, folder: str):
-        self.shards, self.folder, self.rows, self.files = shards, folder, [], 0
-
-    def add(self, rows: list[tuple[int, int, int, int, int]]) -> None:
-        self.rows += rows
-        if len(self.rows) >= 1 << 18:
-            self.flush()
-
-    def flush(self) -> None:
-        doc, start, length, sequence, offset = np.array(self.rows, np.int64).reshape(-1, 5).T
-        s = np.searchsorted(self.shards.base, doc, "right") - 1
-        columns = {"place": self.shards.places[s], "at": doc - self.shards.base[s], "start": start, "length": length, "sequence_id": sequence, "offset": offset}
-        with files.create(f"{self.folder}/part-{self.files:06d}.parquet") as f:
-            pq.write_table(pa.table({k: pa.array(v) for k, v in columns.items()}), f)
-        self.rows, self.files = [], self.files + 1
-
-
-class Chain:
-    """Windows one after the other; pieces (document, start, length, offset) of the open one."""
-
-    def __init__(self) -> None:
-        self.seed, self.terms, self.filled = -1, np.zeros(0, np.int64), 0
-        self.held: list[tuple[int, int, int, int]] = []
-
-    def take(self, doc: int, length: int, window: int) -> Iterator[list[tuple[int, int, int, int]]]:
-        """Puts a document at the end; yields windows that are full. Then its rest is the new seed, if there is one."""
-        start = 0
-        while start < length:
-            part = min(window - self.filled, length - start)
-            self.held.append((doc, start, part, self.filled))
+def chained(index: Index) -> np.ndarray:
+    """The places of an index's documents when each is followed by the nearest one that is left."""
+    used, place, at = np.zeros(index.n, bool), np.zeros(index.n, np.int64), 0
+    for i in range(index.n):
+        used[at], place[at] = True, i
+        left = np.flatnonzero(~used)
+        if len(left):
+            at = next(index.nearest(index.terms_of(at), used, 1), int(left[0]))
+    return place
+
+
+def anchors(manifest: DataFrame, total: int, idf: np.ndarray, mean: float) -> tuple[Index, np.ndarray]:
+    """The index of ANCHORS documents, drawn by a hash of where they lie, and their places."""
+    line = np.uint64(min(1.0, 2 * ANCHORS / max(1, total)) * (2**64 - 2**11))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for place, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                low = 0
+                for _, _, ids in loaded(name):
+                    h = mixed(np.arange(low, low + len(ids), dtype=np.uint64) + np.uint64(place << 40))
+                    low += len(ids)
+                    take = [i for i in np.flatnonzero(h <= line).tolist() if len(ids[i])]
+                    found = [np.unique(ids[i], return_counts=True) for i in take]
+                    yield pa.RecordBatch.from_pydict({
+                        "h": pa.array(h[take].astype(np.int64), pa.int64()), "terms": pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()),
+                        "tf": pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary()),
+                    })
+
+    rows = by_file(manifest).mapInArrow(drawn, "h long, terms binary, tf binary").orderBy("h", "terms").limit(ANCHORS).collect()
+    index = Index([np.repeat(np.frombuffer(r["terms"], "<u4"), np.frombuffer(r["tf"], "<u4")) for r in rows], idf, mean)
+    return index, chained(index)
+
+
+class Filler:
+    """Gives a task's documents, (doc_id, ids with the end id) in order, to windows; rows are pieces."""
+
+    def __init__(self, idf: np.ndarray, mean: float, window: int, first_sequence: int):
+        self.idf, self.mean, self.window, self.sequence = idf, mean, window, first_sequence
+        self.open: list[tuple[object, np.ndarray, int, int, int]] = []  # doc_id, ids, start, length, offset
+        self.filled, self.terms, self.rows = 0, None, []
+
+    def _emit(self, held: list, cut: list[int]) -> None:
+        """Makes rows of pieces in a row, cut into sequences of these sizes."""
+        ends = np.cumsum([0, *cut])
+        for key, ids, start, length, offset in held:
+            while length:
+                i = int(np.searchsorted(ends, offset, "right")) - 1
+                part = min(length, int(ends[i + 1]) - offset)
+                crc = zlib.crc32(ids[start : start + part].tobytes())
+                self.rows.append((key, start, part, crc, len(ids), self.sequence + i, offset - int(ends[i])))
+                start, length, offset = start + part, length - part, offset + part
+        self.sequence += len(cut)
+
+    def _put(self, key: object, ids: np.ndarray, terms: np.ndarray) -> bool:
+        """Puts a document at the end. Whether a window was filled; then its rest, if any, is the new seed."""
+        start, done = 0, False
+        while start < len(ids):
+            part = min(self.window - self.filled, len(ids) - start)
+            self.open.append((key, ids, start, part, self.filled))
             start, self.filled = start + part, self.filled + part
-            if self.filled == window:
-                yield self.held
-                self.held, self.filled, self.seed = [], 0, doc if start < length else -1
-
-
-def fill(shards: Shards, total: int, out: Pieces, window: int) -> None:
-    """Gives out all documents, of `total` ids, to windows."""
-    docs = int(shards.base[-1])
-    used = np.zeros(docs, bool)
-    most = int(np.clip(2 * window * docs // max(1, total), 16, 512))
-    chains = [Chain() for _ in range(max(1, min(CHAINS, ANSWERS // most, -(-total // (window * CHAIN)))))]
-    first, left, sequence = 0, total, 0
-
-    def put(chain: Chain, doc: int, length: int) -> bool:
-        """Whether the window is still open, with the same seed."""
-        nonlocal left, sequence
-        used[doc] = True
-        left -= length
-        done = False
-        for held in chain.take(doc, length, window):
-            out.add([(d, a, n, sequence, at) for d, a, n, at in held])
-            sequence, done = sequence + 1, True
-        if done and chain.seed >= 0:
-            chain.terms = shards.document(doc)[1]
-        return not done
-
-    def open_fresh(chain: Chain) -> None:
-        """Puts unused documents at the end until one, with terms, is the seed of a window that is not full."""
-        nonlocal first
-        while left:
-            while used[first]:
+            if self.filled == self.window:
+                self._emit(self.open, [self.window])
+                self.open, self.filled, self.terms, done = [], 0, None, True
+        if self.open and self.terms is None:
+            self.terms = terms
+        return done
+
+    def shard(self, docs: list[tuple[object, np.ndarray]]) -> None:
+        index = Index([x[:-1] for _, x in docs], self.idf, self.mean)
+        used, first = np.zeros(len(docs), bool), 0
+        while True:
+            while first < len(docs) and used[first]:
                 first += 1
-            doc = first
-            length, terms = shards.document(doc)
-            if put(chain, doc, length):
-                chain.seed, chain.terms = (doc, terms) if len(terms) else (-1, terms)
-            if chain.seed >= 0 and len(chain.terms):
+            if first == len(docs):
                 return
-
-    while left:
-        room, active = left, []
-        for chain in chains:
-            if room <= 0 or not left:
-                break
-            if chain.seed < 0:
-                open_fresh(chain)
-            room -= window - chain.filled
-            active.append(chain)
-        if not left:
-            break
-        found = shards.answers([c.seed for c in active], [c.terms for c in active], used, most)
-        for i, chain in enumerate(active):
-            last = -1
-            for doc, length in found.get(i, []):
-                if not used[doc]:
-                    last = doc
-                    if not put(chain, doc, length):
+            if self.terms is not None:
+                for doc in index.nearest(self.terms, used):
+                    used[doc] = True
+                    if self._put(*docs[doc], index.terms_of(doc)):
                         break
-            else:
-                if len(found.get(i, [])) < most:  # no other document shares a term with the seed
-                    if last >= 0:
-                        chain.seed, chain.terms = last, shards.document(last)[1]
-                    else:
-                        chain.seed = -1
-    # what is left in open windows, in a row; the end of that at powers of two
-    rest = Chain()
-    for chain in chains:
-        for doc, start, length, _ in chain.held:
-            while length:
-                part = min(window - rest.filled, length)
-                rest.held.append((doc, start, part, rest.filled))
-                start, length, rest.filled = start + part, length - part, rest.filled + part
-                if rest.filled == window:
-                    out.add([(d, a, n, sequence, at) for d, a, n, at in rest.held])
-                    rest.held, rest.filled, sequence = [], 0, sequence + 1
-    ends = np.cumsum([0, *powers(rest.filled)])
-    for doc, start, length, offset in rest.held:
-        while length:
-            i = int(np.searchsorted(ends, offset, "right")) - 1
-            part = min(length, int(ends[i + 1]) - offset)
-            out.add([(doc, start, part, sequence + i, offset - int(ends[i]))])
-            start, length, offset = start + part, length - part, offset + part
-    out.flush()
+                else:  # nothing left shares a term with the seed
+                    self.terms = None
+                continue
+            used[first] = True
+            self._put(*docs[first], index.terms_of(first))
+
+    def end(self) -> None:
+        if self.open:
+            self._emit(self.open, powers(self.filled))
+            self.open = []
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """docs (doc_id, text): a row a piece."""
-    spark = docs.sparkSession
-    chars, total = docs.agg(F.sum(F.length("text").cast("long")), F.count(F.lit(1))).first()
-    shards = max(1, round((chars or 0) / SHARD_CHARS), -(-total // SHARD_DOCS))
-    shard = F.pmod(F.xxhash64(F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(shards)).cast("int")
-    dealt = docs.select(shard.alias("mark"), "doc_id", "text").repartition(min(shards, 100_000), "mark").sortWithinPartitions("mark", "doc_id", "text")
-    folder = new_path(spark, "packing")
-    manifest = stored(dealt, path, False, folder)
-    df, total, mean = corpus_statistics(manifest)
-    shared = spark.sparkContext.broadcast((np.log1p((total - df + 0.5) / (df + 0.5)), mean))
-
-    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean = shared.value
-        for b in batches:
-            for place, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                ids = [x for _, _, found in loaded(name) for x in found]
-                made = f"{folder}/index-{place:06d}-{uuid.uuid4().hex}"
-                Index(ids, idf, mean).write(made)
-                yield pa.RecordBatch.from_pydict({"place": pa.array([place], pa.int64()), "file": [name], "index": [made], "n": pa.array([len(ids)], pa.int64())})
-
-    rows = saved(by_file(manifest).mapInArrow(indexed, "place long, file string, index string, n long"), "indexes").orderBy("place").collect()  # one a shard
-    pieces = new_path(spark, "pieces")
-    index = Shards(spark, rows)
-    fill(index, round(mean * total), Pieces(index, pieces), window)
-    named = spark.sparkContext.broadcast({r["place"]: r["file"] for r in rows})
+    spark, size = docs.sparkSession, encoder(path, False).size
+    width = "<u2" if size <= 1 << 16 else "<u4"
+    manifest = stored(docs.select(F.lit(0).alias("mark"), "doc_id", "text"), path, False, new_path(spark, "packing"))
+    df, total, mean = corpus_statistics(manifest, size)
+    idf = np.log1p((total - df + 0.5) / (df + 0.5))
+    with np.errstate(divide="ignore"):
+        rare = -np.log1p(-np.arange(1, size + 1) * 0.6180339887498949 % 1) / idf**2  # a fixed draw for each id, small for rare ones
+    shared = spark.sparkContext.broadcast((idf, mean, rare, *anchors(manifest, total, idf, mean)))
     kind = docs.schema["doc_id"].dataType
     key_type = to_arrow_type(kind)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        idf, mean, rare, index, places = shared.value
+        for b in batches:
+            for place, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                low = 0
+                for _, keys, ids in loaded(name):
+                    at = []
+                    for x in ids:
+                        terms = np.unique(x).astype(np.int64)
+                        best = int(places[np.argmax(index.scores(terms))]) if len(terms) and index.n else 0
+                        two = terms[np.argsort(rare[terms], kind="stable")[:2]].tolist() + [0, 0]
+                        at.append(best << 48 | (two[0] & 0xFFFFFF) << 24 | two[1] & 0xFFFFFF)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(at, pa.int64()), pa.array([place] * len(at), pa.int64()), pa.array(range(low, low + len(at)), pa.int64()), pa.array(keys, key_type), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())],
+                        names=["key", "place", "at", "doc_id", "ids"],
+                    )
+                    low += len(at)
+
+    order = ["key", "place", "at"]
+    schema = StructType([StructField(n, LongType()) for n in order] + [StructField("doc_id", kind), StructField("ids", BinaryType())])
+    lying = saved(by_file(manifest).mapInArrow(dealt, schema), "dealt")
     names = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    schema = StructType([StructField("doc_id", kind)] + [StructField(n, LongType()) for n in names])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, lying = None, iter(())
-        low, keys, ids = 0, [], []
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        filler = Filler(*shared.value[:2], window, TaskContext.get().partitionId() << 32)
+        held, count = [], 0
+
+        def made(least: int) -> Iterator[pa.RecordBatch]:
+            if len(filler.rows) >= least:
+                columns = list(zip(*filler.rows))
+                filler.rows = []
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", *names])
+
         for b in batches:
-            made: list[tuple] = []
-            for p, at, start, length, sequence, offset in zip(*(c.to_pylist() for c in b.columns)):
-                if p != place:
-                    place, lying, low, keys, ids = p, loaded(named.value[p]), 0, [], []
-                while at >= low + len(keys):
-                    low += len(keys)
-                    _, keys, ids = next(lying)
-                whole = np.append(ids[at - low], np.uint32(end)).astype("<u4")
-                made.append((keys[at - low], start, length, zlib.crc32(whole[start : start + length].tobytes()), len(whole), sequence, offset))
-            columns = list(zip(*made)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], key_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["doc_id", *names])
-
-    found = spark.read.schema("place long, at long, start long, length long, sequence_id long, offset long").parquet(pieces)
-    return found.repartition(min(len(rows), 100_000) or 1, "place").sortWithinPartitions("place", "at", "start").mapInArrow(run, schema)
+            for key, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                ids = np.append(np.frombuffer(raw.as_buffer(), width), end).astype("<u4")
+                if held and (count + len(ids) > SHARD_IDS or len(held) >= SHARD_DOCS):
+                    filler.shard(held)
+                    held, count = [], 0
+                    yield from made(10_000)
+                held.append((key, ids))
+                count += len(ids)
+        filler.shard(held)
+        filler.end()
+        yield from made(1)
+
+    rows = lying.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return rows.mapInArrow(filled, StructType([StructField("doc_id", kind)] + [StructField(n, LongType()) for n in names]))
 
 
 def query(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:

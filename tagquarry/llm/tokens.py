@@ -1,16 +1,16 @@
-"""Whole texts to token ids, quickly: a text falls apart at single spaces, and each
-different part goes through the tokenizers library once.
+"""Whole texts to token ids, quickly: a text falls apart where the tokenizer's own pattern
+always cuts, and each different piece goes through the tokenizers library once.
 
-Both tokenizers here start a new word at a space between two characters that are not
-white space, so the parts' ids in a row are the text's ids. Parts for which that could
-fail (empty, or with white space at an edge) send their text down the careful way,
-which cuts at safe spaces only; a text without any is encoded whole.
+Texts with characters that Python's patterns and the library's might class differently
+fall apart at safe spaces first: both tokenizers here start a new word at a space between
+two characters that are not white space. What holds such a character is encoded undivided.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,82 +22,101 @@ from pyspark.sql import DataFrame
 from . import files
 from .common import saved
 
-#: Parts kept by a worker, beyond which it starts anew; parts that are encoded as one text.
-CACHE, JOINED = 1_000_000, 2000
+#: Pieces kept by a worker, beyond which it starts anew, and their longest; pieces that are encoded as one text.
+PIECES, LONG, JOINED = 700_000, 48, 2000
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 SAFE = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
-EDGE = re.compile(f"[{_ODD}]")
+#: The patterns by which the two tokenizers cut, for characters of plain().
+SPACED = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+ENDED = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+
+
+@lru_cache(1)
+def plain() -> re.Pattern:
+    """Texts of characters that Python and the library class alike, that stay one when lower-cased and never compose."""
+    def alike(c: str) -> bool:
+        kind = unicodedata.category(c)[0]
+        if kind == "L":
+            fine = re.match(r"[^\W\d_]", c)
+        elif kind == "N":
+            fine = re.match(r"\d", c)
+        else:
+            fine = c in " \t\n\r" or kind in "PS" and re.match(r"[^\s\w]|_", c)
+        return bool(fine) and unicodedata.is_normalized("NFC", c) and len(c.lower()) == 1 and c != "\u03a3"
+
+    near = [*range(0x600), *range(0x2010, 0x2028), *range(0x20A0, 0x20C0), *range(0x3041, 0x3100), *range(0x4E00, 0xA000)]
+    return re.compile("[" + "".join(re.escape(chr(i)) for i in near if alike(chr(i))) + "]+")
 
 
 class Encoder:
     """Ids as bytes, each an unsigned 32-bit little-endian integer."""
 
     def __init__(self, path: str, spaces: bool):
-        """spaces: a space belongs to the word after it."""
+        """spaces: a space belongs to the word after it, a line break stands alone; else texts are lower-cased and a word's last id says that it ends."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.space = Tokenizer.from_file(path), " " if spaces else ""
-        # with words that hold their space, a line break stands alone; else a special token does
-        self.mark = "\n" if spaces else "<|endoftext|>"
-        self.mark_id = self.tokenizer.encode(self.mark, add_special_tokens=False).ids[-1]
-        self.first: dict[str, bytes | None] = {}
-        self.rest: dict[str, bytes | None] = {} if spaces else self.first
+        self.spaces, self.pattern, self.mark = spaces, SPACED if spaces else ENDED, "\n" if spaces else " "
+        self.size = 1 + max(self.tokenizer.get_vocab().values(), default=0)
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
+        self.cuts = np.zeros(self.size, bool)
+        if spaces:
+            self.cuts[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
+        else:
+            self.cuts[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self.pieces: dict[str, bytes] = {}
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _apart(self, parts: list[str], space: str) -> list[bytes]:
-        """Ids of parts without line breaks: many make one text, with a mark between whose one id no part has."""
+    def _apart(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces: many make one text, cut again after the ids that say so."""
         out: list[bytes] = []
-        for at in range(0, len(parts), JOINED):
-            some = parts[at : at + JOINED]
-            ids = np.array(self.tokenizer.encode_batch_fast([space + (self.mark + space).join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(some) - 1:
-                out += self._plain([space + p for p in some])
+        for at in range(0, len(pieces), JOINED):
+            some = pieces[at : at + JOINED]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(some) + self.mark], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.cuts[ids])
+            if len(ends) != len(some):
+                out += self._plain(some)
                 continue
-            raw, starts, ends = ids.tobytes(), np.append(0, cuts + 1) * 4, np.append(cuts, len(ids)) * 4
+            raw, starts = ids.tobytes(), np.append(0, ends[:-1] + 1) * 4
+            ends = ends * 4 if self.spaces else ends * 4 + 4
             out += [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         return out
 
-    def _learn(self, cache: dict, parts: set[str], space: str) -> None:
-        cache.update(dict.fromkeys(parts))
-        fine = [p for p in parts if p and not EDGE.match(p[0]) and not EDGE.match(p[-1])]
-        odd = [p for p in fine if "\n" in p or self.mark in p]
-        even = [p for p in fine if "\n" not in p and self.mark not in p]
-        cache.update(zip(even, self._apart(even, space)))
-        cache.update(zip(odd, self._plain([space + p for p in odd])))
-
-    def _careful(self, text: str) -> bytes:
-        head, *rest = SAFE.split(text)
-        return b"".join(self._plain([head, *[" " + p for p in rest]]))
+    def _cut(self, text: str, undivided: set[str]) -> list[str]:
+        """The pieces of a text; adds those that aren't to be joined with others."""
+        if not text:
+            return []
+        fine = plain().fullmatch
+        if fine(text) and not self.special.search(text):
+            return self.pattern.findall(text if self.spaces else text.lower())
+        out = []
+        for i, p in enumerate(SAFE.split(text)):
+            part = self.space + p if i else p
+            if fine(p) and not self.special.search(p):
+                out += self.pattern.findall(part if self.spaces else part.lower())
+            else:
+                out.append(part)
+                undivided.add(part)
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null: no ids."""
-        if len(self.first) + len(self.rest) > CACHE:
-            self.first.clear()
-            self.rest.clear()
-        split = [t.split(" ") if t else None for t in texts]
-        first, rest = set(), set()
-        for parts in split:
-            if parts:
-                first.add(parts[0])
-                rest.update(parts[1:])
-        if new := first.difference(self.first):
-            self._learn(self.first, new, "")
-        if new := rest.difference(self.rest):
-            self._learn(self.rest, new, self.space)
-        out = []
-        for text, parts in zip(texts, split):
-            if not parts:
-                out.append(b"")
-                continue
-            ids = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
-            try:
-                out.append(b"".join(ids))
-            except TypeError:  # a part that is not fine
-                out.append(self._careful(text))
+        if len(self.pieces) > PIECES:
+            self.pieces.clear()
+        undivided: set[str] = set()
+        split = [self._cut(t or "", undivided) for t in texts]
+        new = set().union(*split).difference(self.pieces)
+        alone = [x for x in new if x in undivided or x.isspace()]
+        joined = list(new.difference(alone))
+        self.pieces.update(zip(alone, self._plain(alone)))
+        self.pieces.update(zip(joined, self._apart(joined)))
+        out = [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
+        for x in new:
+            if len(x) > LONG:
+                del self.pieces[x]
         return out
 
 
@@ -119,13 +138,14 @@ def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
         from pyspark import TaskContext
 
         place, stream, writer = TaskContext.get().partitionId(), None, None
+        width = "<u2" if encoder(path, spaces).size <= 1 << 16 else "<u4"
         name = f"{folder}/ids-{place:06d}-{uuid.uuid4().hex}.arrows"  # another try of this task writes another file
         try:
             for b in batches:
                 for at in range(0, b.num_rows, 512):
                     part = b.slice(at, 512)
-                    ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in encoder(path, spaces).encode(part.column(2).to_pylist())]
-                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["mark", "doc_id", "ids"])
+                    ids = [np.frombuffer(x, "<u4").astype(width).tobytes() for x in encoder(path, spaces).encode(part.column(2).to_pylist())]
+                    out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["mark", "doc_id", "ids"]).replace_schema_metadata({"width": width})
                     if stream is None:
                         stream = files.create(name)
                         writer = pa.ipc.new_stream(stream, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
@@ -143,8 +163,9 @@ def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
 def loaded(name: str) -> Iterator[tuple[list, list, list[np.ndarray]]]:
     """Marks, doc_ids and ids of the batches of a file of stored()."""
     with files.reader(name) as f, pa.ipc.open_stream(f) as stream:
+        width = stream.schema.metadata[b"width"].decode()
         for b in stream:
-            yield b.column(0).to_pylist(), b.column(1).to_pylist(), [np.frombuffer(x, "<u2").astype("<u4") for x in b.column(2).to_pylist()]
+            yield b.column(0).to_pylist(), b.column(1).to_pylist(), [np.frombuffer(x, width).astype("<u4") for x in b.column(2).to_pylist()]
 
 
 def by_file(manifest: DataFrame) -> DataFrame:
