@@ -1,7 +1,7 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
 A text's letters are folded to lower case, runs of anything else to one space; its
-bigrams and trigrams are hashed into DIMS buckets, weighted (1 + log tf) * idf and
+bigrams and trigrams are hashed into DIMS buckets, weighted log(1 + tf) * idf and
 normalised. Document frequencies come from all labelled rows; the centroids (several
 a language, spherical k-means) are fitted on a bounded sample of them. A text goes to
 the language of its nearest centroid by cosine. It is rejected if it has no letter or
@@ -10,6 +10,9 @@ lies farther from every centroid than documents of its length were seen to lie.
 Null, empty and letterless texts: language `und`, score 0, rejected. Without any
 labelled row, every text is `und`. Ties go to the language first in sorted order.
 Very long texts are counted whole. Rows whose doc_id is null are predicted, not learned.
+Repeated rows are learned and predicted each for itself. Other columns pass through. Every
+language with a labelled text gets centroids, so the model grows with the number of
+languages (98 kB each), not with the rows.
 """
 
 from __future__ import annotations
@@ -20,15 +23,15 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import map_texts, table
 
 DIMS = 8192
 CENTROIDS = 3
-#: Rows that centroids are fitted on: so many a language, and in all, at most.
-SAMPLE_LANGUAGE, SAMPLE_ALL = 400, 4000
+#: Rows that centroids are fitted on, at most: so many a language, fewer where all would be more than so many, yet SAMPLE_LEAST.
+SAMPLE_LANGUAGE, SAMPLE_ALL, SAMPLE_LEAST = 400, 4000, 8
 #: How far below the least similar sample of like length a text may lie.
 SLACK = 0.5
 CHUNK = 128
@@ -117,23 +120,28 @@ def fit(labelled: DataFrame) -> Model:
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], idf, np.zeros((0, DIMS), np.float32), np.zeros(0, int), np.zeros(32))
-    each = max(8, min(SAMPLE_LANGUAGE, SAMPLE_ALL // len(sizes)))
-    # each language's share of the hash range holds about `each` rows
-    share = spark.createDataFrame([(lang, min(1.0, 1.2 * each / n)) for lang, n in sizes.items()], "lang string, share double")
+    each = max(SAMPLE_LEAST, min(SAMPLE_LANGUAGE, SAMPLE_ALL // len(sizes)))
+    # each language's share of the hash range holds a few times `each` rows, so that enough of them hold letters
+    share = spark.createDataFrame([(lang, min(1.0, 3.0 * each / n)) for lang, n in sizes.items()], "lang string, share double")
     mixed = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / (1 << 30)
     picked = labelled.join(F.broadcast(share), "lang").where(mixed < F.col("share")).select("lang", "key", "text")
+    first = Window.partitionBy("lang").orderBy("mixed", "key", F.xxhash64("at", "n"))
 
     def sparse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             got = [(lang, key, c) for lang, key, c in zip(x["lang"], x["key"], map(counts, x["text"])) if c is not None]
             yield pd.DataFrame({"lang": [g[0] for g in got], "key": [g[1] for g in got], "at": [np.flatnonzero(g[2]) for g in got], "n": [g[2][np.flatnonzero(g[2])] for g in got]})
 
-    sample = picked.mapInPandas(sparse, "lang string, key string, at array<int>, n array<int>").orderBy("lang", "key").limit(2 * SAMPLE_ALL).collect()
-    languages = sorted({r["lang"] for r in sample})
+    some = picked.mapInPandas(sparse, "lang string, key string, at array<int>, n array<int>").withColumn("mixed", F.xxhash64("key"))
+    sample = some.withColumn("i", F.row_number().over(first)).where(F.col("i") <= each).collect()
+    by_lang: dict[str, list] = {}
+    for r in sample:
+        by_lang.setdefault(r["lang"], []).append(r)
+    languages = sorted(by_lang)
     centroids, owner, all_found, all_cos = [], [], [], []
     for i, lang in enumerate(languages):
         of = []
-        for r in [r for r in sample if r["lang"] == lang][:each]:
+        for r in by_lang[lang]:
             c = np.zeros(DIMS, np.int64)
             c[r["at"]] = r["n"]
             of.append(c)
@@ -151,10 +159,10 @@ def fit(labelled: DataFrame) -> Model:
     return Model(languages, idf, np.concatenate(centroids).astype(np.float32), np.array(owner), floors)
 
 
-def predicted(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
-    """docs (text, and columns that pass through) with lang_pred, score and rejected, which replace columns so named."""
-    if taken := {"lang_pred", "score", "rejected"} & set(docs.columns):
-        docs = docs.drop(*taken)
+def predicted(docs: DataFrame, model: Model, keep_text: bool = False, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs (text, and columns that pass through) with a language, a score and whether it is rejected, under `names`, which docs must not hold."""
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"docs has columns named {sorted(taken)}; give other names")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[str | None]) -> dict[str, list]:
@@ -167,10 +175,10 @@ def predicted(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFra
             cos = vectors(some, m.idf) @ m.centroids.T
             for i, b, top, low in zip(rows, cos.argmax(1), cos.max(1), m.floors[band(some)]):
                 lang[i], score[i], rejected[i] = m.languages[m.owner[b]], float(min(1.0, max(0.0, top))), bool(top < low)
-        return {"lang_pred": lang, "score": score, "rejected": rejected}
+        return dict(zip(names, (lang, score, rejected)))
 
     keep = [c for c in docs.columns if c != "text" or keep_text]
-    return map_texts(docs, keep, run, "lang_pred string, score double, rejected boolean", CHUNK)
+    return map_texts(docs, keep, run, ", ".join(f"`{n}` {kind}" for n, kind in zip(names, ("string", "double", "boolean"))), CHUNK)
 
 
 def held_out() -> Column:
