@@ -8,10 +8,10 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from .operators.project import with_text
-from .operators.relation import Options, nodes
+from .operators.project import selected_html, selected_markdown, texts
+from .operators.relation import Options, trees
 from .plans.selectors import SelectorError, first, query
-from .sources.readers import files
+from .sources.readers import files, joined, write_text
 
 VERSION = "0.1.0"
 
@@ -25,26 +25,11 @@ def arguments() -> argparse.ArgumentParser:
     p.add_argument("--fragment", action="store_true")
     p.add_argument("--separator", default=" ")
     p.add_argument("--strip", action=argparse.BooleanOptionalAction, default=True)
+    p.add_argument("--output", help="a folder for a text file a partition, instead of standard output")
     p.add_argument("--version", action="version", version=VERSION)
     return p
 
 
-def rendered(html, options: Options, wanted: set[int] | None, form: str) -> list[str]:
-    """The wanted nodes of one document as HTML or Markdown."""
-    from .operators.relation import _parsed
-    from .operators.render import markdown, pretty
-
-    root, pre, found, todo = _parsed(html, options)[0], 0, [], []
-    todo = [root]
-    while todo:
-        n = todo.pop()
-        if pre in wanted if wanted is not None else n is root:
-            found.append(markdown(n) if form == "markdown" else pretty(n))
-        pre += 1
-        todo += ([n.content] if n.content is not None else []) + list(reversed(n.children))
-    return found
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = arguments().parse_args(argv)
     if not a.path:
@@ -53,25 +38,31 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.getOrCreate()
     options = Options(fragment=("div", None) if a.fragment else None)
     docs = spark.createDataFrame([("-", sys.stdin.buffer.read())], "path string, content binary") if a.path == "-" else files(spark, a.path)
-    rows = nodes(docs, "path", "content", options)
+    found = trees(docs, "path", "content", options)
     try:
-        found = query(rows, a.selector, "path") if a.selector else rows.where("pre = 0")
+        if a.format == "text":
+            rows = query(found, a.selector, "path", text="out", separator=a.separator, strip=a.strip) if a.selector else texts(found, "path", a.separator, a.strip, "out").withColumn("pre", F.lit(0))
+        elif a.format == "markdown":
+            rows = selected_markdown(found, a.selector, "path", "out")
+        else:
+            rows = selected_html(found, a.selector, "path", out="out")
     except SelectorError as e:
         print(e, file=sys.stderr)
         return 2
+    rows = rows.select("path", "pre", "out")
     if a.first:
-        found = first(found, "path")
-    if a.format == "text":
-        matched = with_text(rows, "path", "__out", a.separator, a.strip).join(found.select("path", "pre"), ["path", "pre"], "left_semi")
-        results = [r[0] for r in matched.orderBy("path", "pre").select("__out").toLocalIterator()]
-    else:
-        wanted = found.groupBy("path").agg(F.sort_array(F.collect_list("pre")).alias("pres"))
-        results = []
-        for r in docs.join(wanted, "path").orderBy("path").toLocalIterator():
-            results += rendered(r["content"], options, set(r["pres"]) if a.selector else None, a.format)
-    if not results:
+        rows = first(rows, "path")
+    separator = "\n\n" if a.format == "markdown" else "\n"
+    if a.output:
+        write_text(joined(rows, "path", "pre", "out", a.format == "markdown"), a.output)
+        return 0
+    results = (r["out"] for r in rows.orderBy("path", "pre").toLocalIterator())
+    if (one := next(results, None)) is None:
         return 1
-    print(("\n\n" if a.format == "markdown" else "\n").join(results))
+    print(one, end="")
+    for r in results:
+        print(separator + r, end="")
+    print()
     return 0
 
 

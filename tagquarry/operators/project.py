@@ -1,44 +1,31 @@
-"""Nodes to values: text, HTML, tree dump, Markdown.
+"""Trees to values: text, HTML, tree dump, Markdown.
 
-Text, compact HTML and the dump are aggregations over `nodes`; indented HTML and
-Markdown carry state through a tree and are Arrow passes over the documents.
+Text, compact HTML and the dump are array expressions over `trees`; indented HTML and
+Markdown carry state through a tree and are Arrow passes over documents or subtrees. All
+take `trees`, or rows of nodes, which are gathered by document first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.selectors import WS
-from .relation import Options, _exploded, _parsed
-from .render import markdown, pretty
+from ..plans.selectors import stripped, subtree_text, subtrees
+from .relation import TREE, Options, _exploded, _parsed, as_trees, built, nearest
+from .render import compact, markdown, pretty
 from .treebuilder import VOID
 
+__all__ = ["children", "compact_html", "escaped", "parents", "selected_html", "selected_markdown", "stripped", "texts", "to_html", "to_markdown", "tree_dump", "with_text"]
 
-def stripped(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+\\z", "")
 
-
-def node_text() -> Column:
-    return F.when(F.col("kind") == "text", F.coalesce("data", F.lit(""))).otherwise("")
-
-
-def texts(nodes: DataFrame, key: str, separator: str = " ", strip: bool = True, out: str = "text") -> DataFrame:
+def texts(found: DataFrame, key: str, separator: str = " ", strip: bool = True, out: str = "text") -> DataFrame:
     """(key, text) of whole documents, script and template content included."""
-    data = stripped(F.col("data")) if strip else F.col("data")
-    rows = nodes.select(key, F.when(F.col("kind") == "text", data).alias("t"), "pre")
-    listed = F.sort_array(F.collect_list(F.when(F.col("t") != "", F.struct("pre", "t"))))
-    return rows.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["t"]), separator).alias(out))
+    return as_trees(found, key).select(key, subtree_text(F.get(TREE, F.lit(0)), separator, strip).alias(out))
 
 
-def with_text(nodes: DataFrame, key: str, out: str = "text", separator: str = " ", strip: bool = True) -> DataFrame:
-    """nodes with the text of each row's subtree; a document's texts meet its rows once."""
-    data = stripped(F.col("data")) if strip else F.col("data")
-    own = nodes.where("kind = 'text'").select(key, "pre", data.alias("t")).where("t <> ''")
-    listed = own.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pre", "t"))).alias("__texts"))
-    inside = F.filter("__texts", lambda x: (x["pre"] >= F.col("pre")) & (x["pre"] <= F.col("last")))
-    joined = nodes.join(listed, key, "left")
-    return joined.withColumn(out, F.coalesce(F.array_join(F.transform(inside, lambda x: x["t"]), separator), F.lit(""))).drop("__texts")
+def with_text(found: DataFrame, key: str, out: str = "text", separator: str = " ", strip: bool = True) -> DataFrame:
+    """All nodes, a row each, with the text of their subtrees; query(text=...) gives that of matches alone."""
+    return as_trees(found, key).select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, subtree_text(x, separator, strip)))))
 
 
 def escaped(c: Column) -> Column:
@@ -53,40 +40,50 @@ def attribute_html(a: Column) -> Column:
     return F.concat(F.lit(" "), a["name"], F.when(F.coalesce(a["value"], F.lit("")) == "", "").otherwise(F.concat(F.lit("="), quoted)))
 
 
-def start_tag() -> Column:
-    return F.concat(F.lit("<"), F.col("name"), F.array_join(F.transform("attrs", attribute_html), ""), F.lit(">"))
+def start_tag(x: Column) -> Column:
+    return F.concat(F.lit("<"), x["name"], F.array_join(F.transform(x["attrs"], attribute_html), ""), F.lit(">"))
 
 
-def compact_html(nodes: DataFrame, key: str, out: str = "html") -> DataFrame:
+def compact_html(found: DataFrame, key: str, out: str = "html") -> DataFrame:
     """(key, html) of whole documents, on one line; template content is left out."""
-    rows = nodes.where("host is null")
-    hosts = nodes.where("host is not null").select(F.col(key).alias("__key"), F.col("pre").alias("__pre"))
-    inside = nodes.select(key, "pre", F.explode(F.concat("anc", F.array("pre"))).alias("__a")).join(hosts, [F.col(key) == F.col("__key"), F.col("__a") == F.col("__pre")]).select(key, "pre").distinct()
-    rows = rows.join(inside, [key, "pre"], "left_anti")
-    begin = F.when(F.col("kind") == "element", start_tag()).when(F.col("kind") == "text", escaped(F.col("data"))).when(F.col("kind") == "comment", F.concat(F.lit("<!--"), F.col("data"), F.lit("-->"))).when(F.col("kind") == "doctype", F.lit("<!DOCTYPE html>"))
-    end = F.when((F.col("kind") == "element") & ~F.col("name").isin(*sorted(VOID)), F.concat(F.lit("</"), F.col("name"), F.lit(">")))
-    parts = rows.select(key, F.explode(F.array(F.struct(F.col("pre").alias("a"), F.lit(0).alias("b"), F.lit(0).alias("c"), begin.alias("s")), F.struct(F.col("last").alias("a"), F.lit(1).alias("b"), (-F.col("depth")).alias("c"), end.alias("s")))).alias("p")).where("p.s is not null")
-    return parts.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["s"]), "").alias(out))
+    trees = as_trees(found, key).withColumn("__content", F.transform(TREE, lambda x: x["host"].isNotNull()))
+    trees = trees.withColumn("__in", nearest("parent", F.col("__content")))
+    shown = F.filter(TREE, lambda x: x["host"].isNull() & F.get("__in", x["pre"]).isNull())
+
+    def begin(x: Column) -> Column:
+        leaf = F.when(x["kind"] == "comment", F.concat(F.lit("<!--"), x["data"], F.lit("-->"))).when(x["kind"] == "doctype", F.lit("<!DOCTYPE html>"))
+        return F.when(x["kind"] == "element", start_tag(x)).when(x["kind"] == "text", escaped(x["data"])).otherwise(leaf)
 
+    def end(x: Column) -> Column:
+        return F.when((x["kind"] == "element") & ~x["name"].isin(*sorted(VOID)), F.concat(F.lit("</"), x["name"], F.lit(">")))
 
-def tree_dump(nodes: DataFrame, key: str, out: str = "dump") -> DataFrame:
+    def part(at: Column, kind: int, inner: Column, s: Column) -> Column:
+        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), inner.alias("inner"), s.alias("s"))
+
+    # where several elements end, the inner ones do so first
+    parts = F.flatten(F.transform(shown, lambda x: F.array(part(x["pre"], 0, F.lit(0), begin(x)), part(x["last"], 1, -x["depth"], end(x)))))
+    return trees.select(key, F.array_join(F.transform(F.sort_array(F.filter(parts, lambda p: p["s"].isNotNull())), lambda p: p["s"]), "").alias(out))
+
+
+def tree_dump(found: DataFrame, key: str, out: str = "dump") -> DataFrame:
     """(key, dump): a line a node or attribute, as tree-construction tests write them."""
-    kept = nodes.where("kind not in ('document', 'fragment')")
-    pad = F.concat(F.lit("| "), F.repeat(F.lit("  "), F.col("depth") - 1))
-    space = F.when(F.col("ns").isin("svg", "math"), F.concat("ns", F.lit(" "))).otherwise("")
-    ids = F.when(F.col("public_id").isNotNull() | F.col("system_id").isNotNull(), F.concat(F.lit(' "'), F.coalesce("public_id", F.lit("")), F.lit('" "'), F.coalesce("system_id", F.lit("")), F.lit('"'))).otherwise("")
-    body = (
-        F.when(F.col("kind") == "element", F.concat(F.lit("<"), space, F.col("name"), F.lit(">")))
-        .when(F.col("kind") == "text", F.concat(F.lit('"'), F.col("data"), F.lit('"')))
-        .when(F.col("kind") == "comment", F.concat(F.lit("<!-- "), F.col("data"), F.lit(" -->")))
-        .when(F.col("kind") == "doctype", F.concat(F.lit("<!DOCTYPE "), F.col("data"), ids, F.lit(">")))
-        .otherwise("content")
-    )
-    shown = F.when(F.col("ns").isin("svg", "math"), F.lit(True)).otherwise(False)
-    named = F.transform("attrs", lambda a: F.struct(F.when(shown & a["name"].rlike("^(xlink|xml|xmlns):"), F.regexp_replace(a["name"], "^([a-z]+):", "$1 ")).otherwise(a["name"]).alias("n"), a["value"].alias("v")))
-    lines = F.array_join(F.concat(F.array(F.concat(pad, body)), F.transform(F.array_sort(named), lambda a: F.concat(pad, F.lit("  "), a["n"], F.lit('="'), a["v"], F.lit('"')))), "\n")
-    listed = F.sort_array(F.collect_list(F.struct("pre", lines.alias("s"))))
-    return kept.groupBy(key).agg(F.array_join(F.transform(listed, lambda x: x["s"]), "\n").alias(out))
+    def lines(x: Column) -> Column:
+        pad = F.concat(F.lit("| "), F.repeat(F.lit("  "), x["depth"] - 1))
+        foreign = F.coalesce(x["ns"].isin("svg", "math"), F.lit(False))
+        space = F.when(foreign, F.concat(x["ns"], F.lit(" "))).otherwise("")
+        ids = F.when(x["public_id"].isNotNull() | x["system_id"].isNotNull(), F.concat(F.lit(' "'), F.coalesce(x["public_id"], F.lit("")), F.lit('" "'), F.coalesce(x["system_id"], F.lit("")), F.lit('"'))).otherwise("")
+        body = (
+            F.when(x["kind"] == "element", F.concat(F.lit("<"), space, x["name"], F.lit(">")))
+            .when(x["kind"] == "text", F.concat(F.lit('"'), x["data"], F.lit('"')))
+            .when(x["kind"] == "comment", F.concat(F.lit("<!-- "), x["data"], F.lit(" -->")))
+            .when(x["kind"] == "doctype", F.concat(F.lit("<!DOCTYPE "), x["data"], ids, F.lit(">")))
+            .otherwise("content")
+        )
+        named = F.transform(x["attrs"], lambda a: F.struct(F.when(foreign & a["name"].rlike("^(xlink|xml|xmlns):"), F.regexp_replace(a["name"], "^([a-z]+):", "$1 ")).otherwise(a["name"]).alias("n"), a["value"].alias("v")))
+        return F.concat(F.array(F.concat(pad, body)), F.transform(F.array_sort(named), lambda a: F.concat(pad, F.lit("  "), a["n"], F.lit('="'), a["v"], F.lit('"'))))
+
+    kept = F.filter(TREE, lambda x: ~x["kind"].isin("document", "fragment"))
+    return as_trees(found, key).select(key, F.array_join(F.flatten(F.transform(kept, lines)), "\n").alias(out))
 
 
 def to_markdown(docs: DataFrame, key: str, column: str = "html", options: Options = Options(), out: str = "markdown") -> DataFrame:
@@ -98,6 +95,22 @@ def to_html(docs: DataFrame, key: str, column: str = "html", options: Options =
     return _exploded(docs, key, column, f"{out} string", lambda v: [{out: pretty(_parsed(v, options)[0], indent_size)}], options)
 
 
+def _selected(found: DataFrame, selector: str | None, key: str, out: str, form, options: dict) -> DataFrame:
+    """(key, pre, out) of what a selector matches, or of whole documents."""
+    some = subtrees(found, selector, key, **options) if selector else as_trees(found, key).select(key, F.lit(0).alias("pre"), TREE)
+    packed = some.select(key, F.struct("pre", TREE).alias("one"))
+    return _exploded(packed, key, "one", f"pre int, {out} string", lambda v: [{"pre": v["pre"], out: form(built(v[TREE]))}], Options())
+
+
+def selected_html(found: DataFrame, selector: str | None, key: str, indent_size: int = 2, indented: bool = True, out: str = "html", **options) -> DataFrame:
+    """(key, pre, html) of what a selector matches, indented or on one line."""
+    return _selected(found, selector, key, out, (lambda n: pretty(n, indent_size)) if indented else compact, options)
+
+
+def selected_markdown(found: DataFrame, selector: str | None, key: str, out: str = "markdown", **options) -> DataFrame:
+    return _selected(found, selector, key, out, markdown, options)
+
+
 def children(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:
     """Rows whose parent is a row of `of`, with it as `of_pre`."""
     some = of.select(F.col(key).alias("__key"), F.col("pre").alias("of_pre"))
@@ -107,13 +120,3 @@ def children(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:
 def parents(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:
     some = of.select(F.col(key).alias("__key"), F.col("pre").alias("of_pre"), F.col("parent").alias("__parent"))
     return nodes.join(some, (F.col(key) == F.col("__key")) & (F.col("pre") == F.col("__parent"))).drop("__key", "__parent")
-
-
-def ordinals(nodes: DataFrame, key: str) -> DataFrame:
-    """elem_idx and type_idx anew by windows, after rows were changed."""
-    own = Window.partitionBy(key, "parent", F.col("kind").isin("element", "doctype"))
-    kind = F.col("kind").isin("element", "doctype") & F.col("parent").isNotNull()
-    out = nodes
-    for index, order, part in (("elem_idx", "pre", own), ("elem_ridx", None, own), ("type_idx", "pre", Window.partitionBy(key, "parent", F.col("kind").isin("element", "doctype"), "lname")), ("type_ridx", None, Window.partitionBy(key, "parent", F.col("kind").isin("element", "doctype"), "lname"))):
-        out = out.withColumn(index, F.when(kind, F.row_number().over(part.orderBy(F.col("pre") if order else F.desc("pre")))))
-    return out

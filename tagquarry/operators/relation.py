@@ -1,8 +1,10 @@
 """A parsed tree as rows in preorder, and the parse operators that make them.
 
-`nodes` numbers a document's nodes in preorder (children, then a template's content);
-a node's descendants are the rows with pre in (pre, last]. One Arrow pass parses each
-document once; everything after it is DataFrame operations.
+A document's nodes are numbered in preorder (children, then a template's content); a
+node's descendants are those with pre in (pre, last]. `trees` is a row a document, its
+nodes in one array in that order, so that `tree[pre]` is a node and `parent` and `prev`
+(the sibling element before) are places in it; `nodes` is a row a node. One Arrow pass
+parses each document once; everything after it is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -17,19 +19,19 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from ..functions.encoding import decode as decode_bytes
-from .tokenizer import Tokenizer
+from .tokenizer import Token, Tokenizer
 from .treebuilder import Node, parse
 
 NODE = (
-    "pre int, last int, parent int, host int, depth int, sib_idx int, elem_idx int, elem_ridx int, type_idx int, type_ridx int, anc array<int>, kind string, name string, lname string, ns string, "
+    "pre int, last int, parent int, host int, depth int, sib_idx int, elem_idx int, elem_ridx int, type_idx int, type_ridx int, prev int, kind string, name string, lname string, ns string, "
     "attrs array<struct<name:string,value:string>>, data string, public_id string, system_id string, is_top boolean, is_empty boolean"
 )
 ERROR = "ord int, source string, code string, line int, col int"
 EVENT = "ord int, event string, name string, attrs array<struct<name:string,value:string>>, data string, public_id string, system_id string"
 #: Documents that Spark hands to Python at a time, and nodes in a batch that goes back.
 DOCS, ROWS = 64, 20_000
-#: Ancestors kept of a node: a deeper tree keeps the nearest.
-NEAREST = 512
+#: The column of trees.
+TREE = "tree"
 
 
 @dataclass(frozen=True)
@@ -41,38 +43,31 @@ class Options:
     xml: bool = False
     keep_bom: bool = False
     strict: bool = False
+    #: The encoding that came with the bytes.
+    transport: str | None = None
 
 
-def flat(root: Node) -> list[dict]:
-    rows: list[dict] = []
-    todo: list = [(root, None, None, 0, 0, (), False)]
-    while todo:
-        n, parent, host, depth, sib, anc, top = todo.pop()
-        if n is None:  # the end of a node's descendants
-            rows[parent]["last"] = len(rows) - 1
-            continue
-        pre = len(rows)
-        doctype = n.kind == "doctype"
-        rows.append({
-            "pre": pre, "last": pre, "parent": parent, "host": host, "depth": depth, "sib_idx": sib, "elem_idx": None, "elem_ridx": None, "type_idx": None, "type_ridx": None, "anc": anc,
-            "kind": n.kind, "name": n.name, "lname": n.name.lower(), "ns": n.ns if n.kind == "element" else None, "attrs": [{"name": k, "value": v} for k, v in n.attrs.items()],
-            "data": (n.data.name or "") if doctype else n.data, "public_id": n.data.public if doctype else None, "system_id": n.data.system if doctype else None, "is_top": top,
-            "is_empty": not any(c.kind in ("element", "doctype") or (c.kind == "text" and c.data.strip()) for c in n.children),
-        })
-        todo.append((None, pre, None, 0, 0, (), False))
-        if n.content is not None:
-            todo.append((n.content, None, pre, depth + 1, 0, (), False))
-        inner = (pre, *anc[: NEAREST - 1])
-        outer = n.kind in ("document", "fragment", "content")
-        todo += [(c, pre, None, depth + 1, i, inner, outer) for i, c in reversed(list(enumerate(n.children)))]
+def related(rows: list[dict]) -> list[dict]:
+    """Rows in preorder, whose pre, parent, host, kind, lname and data are right, with all that follows from these."""
     children: dict[int, list[dict]] = {}
     for r in rows:
-        if r["parent"] is not None and r["kind"] in ("element", "doctype"):
+        up = r["parent"] if r["parent"] is not None else r["host"]
+        r.update(last=r["pre"], depth=0 if up is None else rows[up]["depth"] + 1, sib_idx=0, elem_idx=None, elem_ridx=None, type_idx=None, type_ridx=None, prev=None, is_empty=True)
+        r["is_top"] = r["parent"] is not None and rows[r["parent"]]["kind"] in ("document", "fragment", "content")
+        if r["parent"] is not None:
             children.setdefault(r["parent"], []).append(r)
-    for own in children.values():
+    for r in reversed(rows):
+        up = r["parent"] if r["parent"] is not None else r["host"]
+        if up is not None:
+            rows[up]["last"] = max(rows[up]["last"], r["last"])
+    for parent, every in children.items():
+        own = [r for r in every if r["kind"] in ("element", "doctype")]
+        rows[parent]["is_empty"] = not own and not any(r["kind"] == "text" and r["data"].strip() for r in every)
+        for i, r in enumerate(every):
+            r["sib_idx"] = i
         types: dict[str, list[dict]] = {}
         for i, r in enumerate(own):
-            r["elem_idx"], r["elem_ridx"] = i + 1, len(own) - i
+            r["elem_idx"], r["elem_ridx"], r["prev"] = i + 1, len(own) - i, own[i - 1]["pre"] if i else None
             types.setdefault(r["lname"], []).append(r)
         for same in types.values():
             for i, r in enumerate(same):
@@ -80,6 +75,36 @@ def flat(root: Node) -> list[dict]:
     return rows
 
 
+def flat(root: Node) -> list[dict]:
+    rows: list[dict] = []
+    todo: list = [(root, None, None)]
+    while todo:
+        n, parent, host = todo.pop()
+        pre, doctype = len(rows), n.kind == "doctype"
+        rows.append({
+            "pre": pre, "parent": parent, "host": host, "kind": n.kind, "name": n.name, "lname": n.name.lower(), "ns": n.ns if n.kind == "element" else None, "attrs": [{"name": k, "value": v} for k, v in n.attrs.items()],
+            "data": (n.data.name or "") if doctype else n.data, "public_id": n.data.public if doctype else None, "system_id": n.data.system if doctype else None,
+        })
+        if n.content is not None:
+            todo.append((n.content, None, pre))
+        todo += [(c, pre, None) for c in reversed(n.children)]
+    return related(rows)
+
+
+def built(rows: list[dict]) -> Node:
+    """The tree of rows in preorder; what their parent or host is missing of hangs below the first."""
+    made: dict[int, Node] = {}
+    for r in rows:
+        data = Token("doctype", name=r["data"], public=r["public_id"], system=r["system_id"]) if r["kind"] == "doctype" else r["data"]
+        made[r["pre"]] = n = Node(r["kind"], r["name"], r["ns"], {a["name"]: a["value"] for a in r["attrs"] or []}, data)
+        if r["parent"] in made:
+            n.parent = made[r["parent"]]
+            n.parent.children.append(n)
+        elif r["host"] in made:
+            made[r["host"]].content = n
+    return made[rows[0]["pre"]]
+
+
 def found_errors(builder) -> list[dict]:
     """Those of the tokenizer first, then those of the tree builder."""
     out = []
@@ -106,42 +131,81 @@ def events_of(html: str | None, keep_bom: bool = False, xml: bool = False) -> li
     return out
 
 
-def _exploded(docs: DataFrame, key: str, column: str, schema: str, rows_of, options: Options) -> DataFrame:
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = DOCS) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few documents and what becomes of them are held at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def _exploded(docs: DataFrame, key: str, column: str, schema: str | StructType, rows_of, options: Options) -> DataFrame:
     """A Python pass over (key, column): the rows that rows_of gives for each document, behind its key."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(DOCS))
-    whole = StructType([docs.schema[key], *StructType.fromDDL(schema).fields])
+    whole = StructType([docs.schema[key], *(StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields])
     arrow = to_arrow_schema(whole)
     names = [f.name for f in whole.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows: list[dict] = []
+            size = 0
             for k, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for r in rows_of(value):
                     r[names[0]] = k
                     rows.append(r)
-                if len(rows) >= ROWS:
+                    size += len(r[TREE]) if TREE in r else 1
+                if size >= ROWS:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                    rows = []
+                    rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
     return docs.select(key, column).mapInArrow(run, whole)
 
 
 def _parsed(value, o: Options):
-    html, _ = _html(value, None)
+    html, _ = _html(value, o.transport)
     return parse(html, fragment=o.fragment, srcdoc=o.srcdoc, xml=o.xml, keep_bom=o.keep_bom)
 
 
-def nodes(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
-    """(key, NODE) of each document's text or bytes; null is the empty document. Strict: documents with errors have no rows."""
+def trees(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
+    """(key, tree) of each document's text or bytes; null is the empty document. Strict: documents with errors have no row."""
     def rows_of(value):
         root, builder = _parsed(value, options)
         if options.strict and (builder.tokens.errors or builder.errors):
             return []
-        return flat(root)
+        return [{TREE: flat(root)}]
+
+    return _exploded(docs, key, column, f"{TREE} array<struct<{_typed(NODE)}>>", rows_of, options)
+
+
+def _typed(ddl: str) -> str:
+    return StructType.fromDDL(ddl).simpleString()[len("struct<") : -1]
+
+
+def nodes(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
+    """(key, NODE), a row a node."""
+    return exploded(trees(docs, key, column, options), key)
+
+
+def exploded(found: DataFrame, key: str) -> DataFrame:
+    return found.select(key, F.inline(TREE))
+
+
+def as_trees(found: DataFrame, key: str) -> DataFrame:
+    """Trees as they are; rows of nodes gathered by document, in order."""
+    if TREE in found.columns:
+        return found
+    others = [c for c in found.columns if c not in (key, "pre")]
+    return found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pre", *others))).alias(TREE))
+
+
+def nearest(start: str, hit: Column, hosts: bool = False) -> Column:
+    """For each node of a tree, the first one with `hit` (an array of booleans by place) on the way along `start` (parent or prev), or null. hosts: from a template's content on to the template.
 
-    return _exploded(docs, key, column, NODE, rows_of, options)
+    All pointers jump at once, each as far as the one it points at, until they stand on hits; so the rounds are the logarithm of the longest way."""
+    way = F.array_max(F.transform(TREE, lambda x: x["depth" if start == "parent" else "sib_idx"]))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(way + 2)).cast("int"))
+    first = F.transform(TREE, lambda x: F.coalesce(x[start], x["host"]) if hosts else x[start])
+    return F.aggregate(rounds, first, lambda now, _: F.transform(now, lambda j: F.when(j.isNull() | F.get(hit, j), j).otherwise(F.get(now, j))))
 
 
 def errors(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
@@ -149,13 +213,13 @@ def errors(docs: DataFrame, key: str, column: str = "html", options: Options = O
 
 
 def events(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
-    return _exploded(docs, key, column, EVENT, lambda v: events_of(_html(v, None)[0], options.keep_bom, options.xml), options)
+    return _exploded(docs, key, column, EVENT, lambda v: events_of(_html(v, options.transport)[0], options.keep_bom, options.xml), options)
 
 
 def documents(docs: DataFrame, key: str, column: str = "html", transport: str | None = None, options: Options = Options()) -> DataFrame:
     """A row a document: status (ok, or rejected by strict), encoding, quirks, errors and decoded text."""
     def rows_of(value):
-        html, encoding = _html(value, transport)
+        html, encoding = _html(value, transport or options.transport)
         _, builder = parse(html, fragment=options.fragment, srcdoc=options.srcdoc, xml=options.xml, keep_bom=options.keep_bom)
         found = found_errors(builder)
         return [{"status": "rejected" if options.strict and found else "ok", "encoding": encoding, "quirks": builder.quirks, "n_errors": len(found), "first_error": found[0]["code"] if found else None, "text": html}]
@@ -164,7 +228,7 @@ def documents(docs: DataFrame, key: str, column: str = "html", transport: str |
 
 
 def attribute(name: str, exact: bool = False, attrs: Column | None = None) -> Column:
-    """The value of an attribute, or null."""
+    """The value of an attribute, or null. attrs: of another node than the row's."""
     attrs = F.col("attrs") if attrs is None else attrs
     own = (lambda a: a["name"] == name) if exact else (lambda a: F.lower(a["name"]) == name.lower())
     return F.get(F.filter(attrs, own), F.lit(0))["value"]

@@ -1,55 +1,122 @@
-"""Changes of a tree as changes of its rows: each returns new `nodes`, numbered anew.
+"""Changes of trees: each returns new ones, numbered anew, in the form it was given (trees, or rows of nodes).
 
-Rows carry (order, depth, parent); a subtree moves by its interval. `renumbered`
-restores preorder numbers from fractional places with windows over a document.
+What is to change is decided by array expressions; the nodes of a changed document then
+get their numbers, parents and ordinals in one Arrow pass over the trees.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from ..plans.selectors import Compiled
-from .project import ordinals
-
-
-def within(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:
-    """(key, pre) of the rows of `of` and all below them."""
-    tops = of.groupBy(key).agg(F.collect_list(F.struct("pre", "last")).alias("__tops"))  # as many as a document has nodes, at most
-    inside = F.exists("__tops", lambda t: (F.col("pre") >= t["pre"]) & (F.col("pre") <= t["last"]))
-    return nodes.select(key, "pre").join(tops, key).where(inside).select(key, "pre")
-
-
-def renumbered(rows: DataFrame, key: str) -> DataFrame:
-    """rows whose `pre` are places in order, with gaps or fractions: pre, last, parent, host, anc and ordinals anew."""
-    order = Window.partitionBy(key).orderBy("pre")
-    numbered = rows.withColumn("__new", (F.row_number().over(order) - 1).cast("int"))
-    names = numbered.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pre").cast("string"), F.col("__new")))).alias("__map"), F.sort_array(F.collect_list("__new")).alias("__all"))
-    joined = numbered.join(names, key)
-    new = lambda c: F.try_element_at("__map", c.cast("double").cast("string") if dict(rows.dtypes)["pre"] == "double" else c.cast("string"))
-    out = joined.withColumn("parent", new(F.col("parent"))).withColumn("host", new(F.col("host")))
-    out = out.withColumn("anc", F.expr("filter(transform(anc, a -> try_element_at(__map, cast(cast(a as double) as string))), a -> a is not null)") if dict(rows.dtypes)["pre"] == "double" else F.expr("filter(transform(anc, a -> try_element_at(__map, cast(a as string))), a -> a is not null)"))
-    out = out.withColumn("pre", F.col("__new"))
-    inside = out.select(key, "pre", F.explode(F.concat(F.array("pre"), "anc")).alias("__a")).groupBy(key, "__a").agg(F.max("pre").alias("__last"))
-    out = out.join(inside.withColumnRenamed("__a", "pre"), [key, "pre"], "left").withColumn("last", F.coalesce("__last", "pre"))
-    sib = Window.partitionBy(key, "parent").orderBy("pre")
-    out = out.withColumn("sib_idx", F.when(F.col("parent").isNotNull(), F.row_number().over(sib) - 1).otherwise(0).cast("int"))
-    return ordinals(out, key).select(*[c for c in rows.columns])
+from collections.abc import Iterator
 
-
-def remove(nodes: DataFrame, selector: str, key: str) -> DataFrame:
-    """nodes without the subtrees that match."""
-    gone = within(nodes, Compiled(selector, key).select(nodes), key)
-    return renumbered(nodes.join(gone, [key, "pre"], "left_anti"), key)
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+from ..plans.selectors import Compiled, subtrees
+from .relation import NODE, TREE, as_trees, exploded, nearest, related, sliced
+
+
+def spliced(rows: list[dict], edits: list[dict]) -> list[dict]:
+    """Rows in preorder after edits (at, how, tree) in turn: the top nodes of an edit's tree become the last children of node `at`, stand before it or replace it."""
+    made = {r["pre"]: r for r in rows}
+    kids: dict[int, list[int]] = {}
+    content: dict[int, int] = {}
+
+    def hang(some: list[dict], shift: int, tops: list[int]) -> None:
+        for r in some:
+            r["pre"] += shift
+            made[r["pre"]] = r
+            r["parent"] = None if r["parent"] is None else r["parent"] + shift
+            r["host"] = None if r["host"] is None else r["host"] + shift
+            if r["parent"] in made:
+                kids.setdefault(r["parent"], []).append(r["pre"])
+            elif r["host"] in made:
+                content[r["host"]] = r["pre"]
+            else:
+                tops.append(r["pre"])
+
+    roots: list[int] = []
+    hang(rows, 0, roots)
+    for e in edits:
+        shift, tops = max(made) + 1, []
+        # a whole document or fragment gives its children
+        hang([dict(r) for r in e[TREE] if r["kind"] not in ("document", "fragment")], shift, tops)
+        if e["at"] not in made or e["how"] != "append" and made[e["at"]]["parent"] is None:
+            continue
+        up = e["at"] if e["how"] == "append" else made[e["at"]]["parent"]
+        for t in tops:
+            made[t]["parent"], made[t]["host"] = up, None
+        own = kids.setdefault(up, [])
+        at = len(own) if e["how"] == "append" else own.index(e["at"])
+        own[at : at + (e["how"] == "replace")] = tops
+    out, todo = [], list(reversed(roots))
+    while todo:
+        i = todo.pop()
+        out.append(made[i])
+        if i in content:
+            todo.append(content[i])
+        todo += reversed(kids.get(i, []))
+    return out
+
+
+def renumbered(trees: DataFrame, key: str) -> DataFrame:
+    """trees (key, tree, and edits of it, if any) whose nodes name their parents by `pre`, in order, with gaps: numbers and ordinals anew."""
+    has = "edits" in trees.columns
+    own = StructType.fromDDL(NODE)
+    others = [f for f in trees.schema[TREE].dataType.elementType.fields if f.name not in own.names]
+    whole = StructType([trees.schema[key], StructField(TREE, ArrayType(StructType(own.fields + others)))])
+    arrow = to_arrow_schema(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            done = []
+            for k, rows, edits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist() if has else [None] * b.num_rows):
+                rows = spliced(rows, edits or []) if edits else rows
+                new = {r["pre"]: i for i, r in enumerate(rows)}
+                for i, r in enumerate(rows):
+                    r.update(pre=i, parent=new.get(r["parent"]), host=new.get(r["host"]))
+                done.append({key: k, TREE: related(rows)})
+            yield pa.RecordBatch.from_pylist(done, schema=arrow)
+
+    return trees.select(key, TREE, *["edits"] * has).mapInArrow(run, whole)
+
+
+def _like(found: DataFrame, trees: DataFrame, key: str) -> DataFrame:
+    return trees if TREE in found.columns else exploded(trees, key)
+
+
+def remove(found: DataFrame, selector: str, key: str) -> DataFrame:
+    """Trees without the subtrees that match."""
+    c = Compiled(selector, key)
+    trees = c.marked(as_trees(found, key))
+    trees = trees.withColumn("__below", nearest("parent", c.flags(), hosts=True))
+    kept = F.filter(TREE, lambda x: ~F.get(c.flags(), x["pre"]) & F.get("__below", x["pre"]).isNull())
+    return _like(found, renumbered(trees.select(key, kept.alias(TREE)), key), key)
+
+
+def edited(found: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """Trees after edits (key, at, how, tree), in order of `at`: the nodes of `tree` (of relation.trees() of a fragment, or of subtrees()) are appended to node `at`, put before it, or replace it."""
+    trees = as_trees(found, key)
+    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "how", F.col(TREE).alias(TREE)))).alias("edits"))
+    return _like(found, renumbered(trees.join(listed, key, "left"), key), key)
+
+
+def insert(found: DataFrame, added: DataFrame, key: str, before: bool = False) -> DataFrame:
+    """Adds one childless node for each row of added: (key, at, kind, name, data), as the last child of node `at` or, with before, in front of it."""
+    own = {"pre": F.lit(0), "kind": F.col("kind"), "name": F.col("name"), "lname": F.lower("name"), "ns": F.when(F.col("kind") == "element", "html"), "attrs": F.array(), "data": F.col("data")}
+    node = F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(NODE).fields])
+    return edited(found, added.select(key, "at", F.lit("before" if before else "append").alias("how"), F.array(node).alias(TREE)), key)
 
 
 def set_text(nodes: DataFrame, where: Column, text: Column) -> DataFrame:
-    """nodes whose text rows that fit have another text."""
+    """Rows of nodes, of which text rows that fit have another text."""
     return nodes.withColumn("data", F.when((F.col("kind") == "text") & where, text).otherwise(F.col("data")))
 
 
 def set_attribute(nodes: DataFrame, where: Column, name: str, value: Column) -> DataFrame:
-    """nodes with an attribute set, in place or at the end; a null value removes it."""
+    """Rows of nodes with an attribute set, in place or at the end; a null value removes it."""
     others = F.filter("attrs", lambda a: a["name"] != name)
     one = F.struct(F.lit(name).alias("name"), value.cast("string").alias("value"))
     replaced = F.transform("attrs", lambda a: F.when(a["name"] == name, one).otherwise(a))
@@ -58,23 +125,12 @@ def set_attribute(nodes: DataFrame, where: Column, name: str, value: Column) ->
     return nodes.withColumn("attrs", F.when(where & (F.col("kind") == "element"), new).otherwise(F.col("attrs")))
 
 
-def insert(nodes: DataFrame, added: DataFrame, key: str, before: bool = False) -> DataFrame:
-    """Adds one childless node for each row of added: (key, at, kind, name, data), as the last child of node `at` or, with before, in front of it."""
-    target = nodes.select(F.col(key).alias("__key"), *[F.col(c).alias("__" + c) for c in ("pre", "last", "parent", "anc", "depth")])
-    a = added.join(target, (F.col(key) == F.col("__key")) & (F.col("at") == F.col("__pre")))
-    place = F.col("__pre") - 0.5 if before else F.col("__last") + 0.5
-    values = {
-        "pre": place, "last": place, "parent": F.col("__parent" if before else "__pre").cast("double"), "depth": F.col("__depth") + (0 if before else 1),
-        "anc": F.transform(F.col("__anc") if before else F.concat(F.array("__pre"), "__anc"), lambda x: x), "kind": F.col("kind"), "name": F.col("name"), "lname": F.lower("name"),
-        "ns": F.when(F.col("kind") == "element", "html"), "attrs": F.expr("cast(array() as array<struct<name:string,value:string>>)"), "data": F.col("data"), "is_top": F.lit(False), "is_empty": F.lit(True), "sib_idx": F.lit(0),
-    }
-    rows = nodes.withColumn("pre", F.col("pre").cast("double")).withColumn("last", F.col("last").cast("double")).withColumn("parent", F.col("parent").cast("double"))
-    types = dict(rows.dtypes)
-    new = a.select(key, *[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in nodes.columns if c != key])
-    out = renumbered(rows.unionByName(new), key)
-    return out.select(key, *[F.col(c).cast(t).alias(c) for c, t in nodes.dtypes if c != key])
-
-
-def cloned(nodes: DataFrame, key: str, new_key: Column) -> DataFrame:
-    """Copies of whole documents under other keys; the rest of the row stays."""
-    return nodes.withColumn(key, new_key)
+def cloned(found: DataFrame, key: str, new_key: Column) -> DataFrame:
+    """Copies of whole documents under other keys."""
+    return found.withColumn(key, new_key)
+
+
+def cloned_nodes(found: DataFrame, selector: str, key: str, deep: bool = True) -> DataFrame:
+    """(key, pre, tree): a copy of each match as a tree of its own, with all below it or, deep=False, alone."""
+    some = subtrees(found, selector, key, deep).select(F.struct(key, "pre").alias("__of"), TREE)
+    return renumbered(some, "__of").select("__of.*", TREE)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import html_unescape
 from ..operators import project, relation, rewrite
 from ..operators.relation import Options, attribute
-from .selectors import first, matches, query
+from .selectors import matches, query
 
 KEY = "page_id"
 
@@ -21,8 +21,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), KEY)
 
 
+def trees(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
+    return relation.trees(pages(spark, sf_dir), KEY, "html", options)
+
+
 def nodes(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
-    return relation.nodes(pages(spark, sf_dir), KEY, "html", options)
+    return relation.exploded(trees(spark, sf_dir, options), KEY)
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,11 +34,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _selected(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: query(nodes(s, d), selector, KEY, **options).select(KEY, *[c() if callable(c) else c for c in columns])
+    return lambda s, d: query(trees(s, d), selector, KEY, **options).select(KEY, *[c() if callable(c) else c for c in columns])
 
 
 def _counted(selector: str, out: str = "n", **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: query(nodes(s, d), selector, KEY, **options).groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
+    return lambda s, d: query(trees(s, d), selector, KEY, **options).groupBy(KEY).agg(F.count(F.lit(1)).alias(out))
 
 
 def attr(name: str) -> Callable:
@@ -46,11 +50,7 @@ HREF = attr("href")
 
 
 def with_text_of(selector: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(s: SparkSession, d: str) -> DataFrame:
-        found = nodes(s, d)
-        return project.with_text(found, KEY).join(query(found, selector, KEY).select(KEY, "pre"), [KEY, "pre"], "left_semi").select(KEY, "text")
-
-    return run
+    return lambda s, d: query(trees(s, d), selector, KEY, text="text").select(KEY, "text")
 
 
 def _kinds(s: SparkSession, d: str) -> DataFrame:
@@ -64,29 +64,30 @@ def _encodings(s: SparkSession, d: str) -> DataFrame:
 
 def _fragments(s: SparkSession, d: str) -> DataFrame:
     docs = pages(s, d).select(KEY, F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1).alias("part"))
-    found = relation.nodes(docs, KEY, "part", Options(fragment=("nav", None)))
+    found = relation.trees(docs, KEY, "part", Options(fragment=("nav", None)))
     return query(found, "li > a", KEY).select(KEY, HREF())
 
 
 def _pruned(s: SparkSession, d: str) -> DataFrame:
-    rest = rewrite.remove(nodes(s, d), "script, style, nav", KEY)
+    rest = relation.exploded(rewrite.remove(trees(s, d), "script, style, nav", KEY), KEY)
     return rest.groupBy(KEY).agg(F.count(F.when(F.col("lname") == "a", 1)).alias("links"), F.count(F.when(F.col("lname") == "h1", 1)).alias("headings"))
 
 
 def _links_by_language(s: SparkSession, d: str) -> DataFrame:
-    found = nodes(s, d)
-    lang = query(found, "html[lang]", KEY).select(KEY, attribute("lang").alias("lang"))
-    return query(found, "nav a[href]", KEY).select(KEY).join(lang, KEY).groupBy("lang").agg(F.count(F.lit(1)).alias("links"))
+    """Of each page its language and number of links, by one pass over its nodes, then a sum."""
+    marked = matches(matches(trees(s, d), "nav a[href]", KEY, "link"), "html[lang]", KEY, "root")
+    each = marked.groupBy(KEY).agg(F.max(F.when(F.col("root"), attribute("lang"))).alias("lang"), F.count(F.when(F.col("link"), 1)).alias("links"))
+    return each.where("lang is not null and links > 0").groupBy("lang").agg(F.sum("links").alias("links"))
 
 
 def _flags(s: SparkSession, d: str) -> DataFrame:
-    return matches(nodes(s, d), "nav li:first-child", KEY).groupBy("matches").agg(F.count(F.lit(1)).alias("n")).where("matches").select("n")
+    return matches(trees(s, d), "nav li:first-child", KEY).groupBy("matches").agg(F.count(F.lit(1)).alias("n")).where("matches").select("n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "nav_links": lambda s, d: events(s, d).where("event = 'start' and name = 'a'").select(KEY, HREF()),
     "nav_links_tree": _selected("nav > ul > li > a[href]", HREF),
-    "first_link": lambda s, d: first(query(nodes(s, d), "nav a", KEY), KEY).select(KEY, HREF()),
+    "first_link": lambda s, d: query(trees(s, d), "nav a", KEY, only_first=True).select(KEY, HREF()),
     "titles": with_text_of("title"),
     "h1_text": with_text_of("article h1"),
     "page_lang": _selected("html", attr("lang")),
@@ -121,18 +122,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     # without SQL: what the parse itself decides
     "node_kinds": _kinds,
     "dom_size": lambda s, d: nodes(s, d).groupBy(KEY).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("depth")),
-    "b_depth": lambda s, d: query(nodes(s, d), "b", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("depth").cast("long").alias("depth")),
+    "b_depth": lambda s, d: query(trees(s, d), "b", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("depth").cast("long").alias("depth")),
     "footer_in_b": _counted("b footer, footer b"),
     "root_nodes": _selected(":root", "kind", "lname"),
     "empty_elements": _counted(":empty"),
     "contains_text": _counted("article p:contains(the)"),
     "parse_errors": lambda s, d: relation.errors(pages(s, d), KEY).groupBy("source", "code").agg(F.count(F.lit(1)).alias("n")),
     "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True)).select(KEY, "status", "n_errors", "first_error"),
-    "page_text": lambda s, d: project.texts(nodes(s, d), KEY),
-    "compact_html": lambda s, d: project.compact_html(nodes(s, d), KEY),
+    "page_text": lambda s, d: project.texts(trees(s, d), KEY),
+    "compact_html": lambda s, d: project.compact_html(trees(s, d), KEY),
     "pretty_html": lambda s, d: project.to_html(pages(s, d), KEY),
     "markdown": lambda s, d: project.to_markdown(pages(s, d), KEY),
-    "tree_dump": lambda s, d: project.tree_dump(nodes(s, d), KEY),
+    "tree_dump": lambda s, d: project.tree_dump(trees(s, d), KEY),
 }
 
 

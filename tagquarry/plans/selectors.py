@@ -1,21 +1,25 @@
-"""CSS selectors: text to a plan on the driver, the plan to DataFrame operations.
-
-A compound selector is a predicate on rows of `nodes`. Combinators are structural
-joins: > and + by equality, a space over the list of ancestors, ~ by a window. As in
-the engine whose queries this answers, a step commits to the nearest match (`css`:
-any match). Doctypes count as elements unless `css` is set. Unknown pseudo-classes
-and bad syntax raise SelectorError when compiled.
+"""CSS selectors: text to a plan on the driver, the plan to array expressions over `trees`.
+
+A compound selector is a predicate on a node. Of a selector with combinators, each step
+makes an array of flags, one a node of the document: > and + look up the flag of the parent
+or of the sibling element before, a space and ~ that of the nearest fitting node on that
+way. So a document is parsed once and nothing is shuffled. As in the engine whose queries
+this answers, a step commits to the nearest match (`css`: any match). Doctypes count as
+elements unless `css` is set. Unknown pseudo-classes and bad syntax raise SelectorError
+when compiled.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relation import attribute
+from ..operators.relation import TREE, as_trees, attribute, nearest
 
 #: What str.strip() and str.split() take for white space.
 WS = r"\t\n\x0B\f\r\x1C-\x1F\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -196,10 +200,10 @@ def nth(text: str | None) -> tuple[int, int] | None:
     return (0, int(text)) if re.fullmatch(r"[+-]?[0-9]+", text) else None
 
 
-def _nth(index: str, value: str | None) -> Column:
+def _nth(i: Column, value: str | None) -> Column:
     if (found := nth(value)) is None:
         return F.lit(False)
-    (a, b), i = found, F.col(index)
+    a, b = found
     if a == 0:
         fits = i == b
     else:
@@ -207,12 +211,22 @@ def _nth(index: str, value: str | None) -> Column:
     return F.coalesce(fits, F.lit(False))
 
 
+def stripped(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+\\z", "")
+
+
+def subtree_text(x: Column, separator: str = " ", strip: bool = True) -> Column:
+    """The text of a node x of a tree and of all below it, script and template content included."""
+    data = F.transform(F.filter(F.slice(TREE, x["pre"] + 1, x["last"] - x["pre"] + 1), lambda y: y["kind"] == "text"), lambda y: stripped(y["data"]) if strip else y["data"])
+    return F.array_join(F.filter(data, lambda t: t != ""), separator)
+
+
 def words(value: Column) -> Column:
     return F.filter(F.split(value, f"[{WS}]+"), lambda w: w != "")
 
 
-def _attr(s: Simple) -> Column:
-    value, v = attribute(s.name), F.lit(s.value)
+def _attr(s: Simple, attrs: Column) -> Column:
+    value, v = attribute(s.name, attrs=attrs), F.lit(s.value)
     if not s.op:
         return value.isNotNull()
     if s.op == "=":
@@ -243,6 +257,7 @@ class Compiled:
         self.key, self.css, self.extensions = key, css, extensions
         self.list = Parser(selector).parse()
         self.inner: dict[str, Compiled] = {}
+        self.name = f"__{zlib.crc32(selector.encode()):08x}{int(css)}{int(extensions)}"
         for c in self.list:
             for compound in c.compounds:
                 for s in compound:
@@ -261,134 +276,139 @@ class Compiled:
             raise SelectorError(f"Unsupported pseudo-class: {s.name}")
 
     def local(self) -> bool:
-        """Whether a row alone decides."""
-        return all(not c.combinators for c in self.list) and all(s.name != "contains" or s.kind != "pseudo" for c in self.list for s in c.compounds[0]) and all(i.local() for i in self.inner.values())
+        """Whether a node alone decides."""
+        return all(not c.combinators for c in self.list) and all(i.local() for i in self.inner.values())
 
-    def one(self, s: Simple) -> Column:
+    def one(self, s: Simple, x: Column) -> Column:
         if s.kind == "tag":
-            return F.col("lname") == s.name
+            return x["lname"] == s.name
         if s.kind == "any":
             return F.lit(True)
         if s.kind == "id":
-            return F.coalesce(attribute("id", exact=True) == s.name, F.lit(False))
+            return F.coalesce(attribute("id", True, x["attrs"]) == s.name, F.lit(False))
         if s.kind == "class":
-            return F.coalesce(F.array_contains(words(attribute("class", exact=True)), s.name), F.lit(False))
+            return F.coalesce(F.array_contains(words(attribute("class", True, x["attrs"])), s.name), F.lit(False))
         if s.kind == "attr":
-            return _attr(s)
+            return _attr(s, x["attrs"])
         if s.name in INDEXED:
             out = F.lit(True)
             for index in INDEXED[s.name]:
-                out &= F.coalesce(F.col(index) == 1, F.lit(False))
+                out &= F.coalesce(x[index] == 1, F.lit(False))
             return out
         if s.name in NTH or s.name in EXTENSIONS:
-            return _nth((NTH | EXTENSIONS)[s.name], s.value)
+            return _nth(x[(NTH | EXTENSIONS)[s.name]], s.value)
         if s.name == "empty":
-            return F.col("is_empty")
+            return x["is_empty"]
         if s.name == "root":
-            return F.col("is_top")
+            return x["is_top"]
         if s.name == "contains":
             text = s.value[1:-1] if len(s.value) > 1 and s.value[0] == s.value[-1] and s.value[0] in "'\"" else s.value
-            return F.lit(True) if not text else F.coalesce(F.col("__text").contains(text), F.lit(False))
+            return F.lit(True) if not text else subtree_text(x).contains(text)
         if not s.value:
             return F.lit(True)
         inner = self.inner[s.value]
-        return ~inner.predicate() if inner.local() else ~F.coalesce(F.col(inner.flag()), F.lit(False))
-
-    def flag(self) -> str:
-        return "__not_" + format(abs(hash(repr(self.list))), "x")
+        return ~inner.predicate(x) if inner.local() else ~F.get(inner.flags(), x["pre"])
 
-    def compound(self, simples: list[Simple]) -> Column:
+    def compound(self, simples: list[Simple], x: Column) -> Column:
+        """The text of a subtree is only looked at where all else fits."""
         kinds = ["element"] if self.css else ["element", "doctype"]
-        out = F.col("kind").isin(kinds)
-        for s in simples:
-            out &= self.one(s)
+        out = x["kind"].isin(kinds)
+        for s in sorted(simples, key=lambda s: s.kind == "pseudo" and s.name == "contains"):
+            out &= self.one(s, x)
         return out
 
-    def predicate(self) -> Column:
+    def predicate(self, x: Column) -> Column:
         out = F.lit(False)
         for c in self.list:
-            out |= self.compound(c.compounds[0])
+            out |= self.compound(c.compounds[0], x)
         return out
 
-    def prepared(self, nodes: DataFrame) -> DataFrame:
-        """nodes with what the predicates need besides: subtree text, and flags of inner selectors with combinators."""
-        if any(s.kind == "pseudo" and s.name == "contains" for c in self.list for k in c.compounds for s in k) and "__text" not in nodes.columns:
-            from ..operators.project import with_text
+    def flags(self) -> Column:
+        """The array of flags that marked() adds."""
+        return F.col(self.name)
 
-            nodes = with_text(nodes, self.key, "__text")
+    def marked(self, trees: DataFrame) -> DataFrame:
+        """trees with an array that says of each node whether it matches."""
         for inner in self.inner.values():
-            if not inner.local() and inner.flag() not in nodes.columns:
-                found = inner.select(nodes).select(self.key, "pre", F.lit(True).alias(inner.flag()))
-                nodes = nodes.join(found, [self.key, "pre"], "left")
-        return nodes
+            if not inner.local() and inner.name not in trees.columns:
+                trees = inner.marked(trees)
+        whole, made = [], []
+
+        def add(name: str, value: Column) -> Column:
+            nonlocal trees
+            trees = trees.withColumn(name, value)
+            made.append(name)
+            return F.col(name)
+
+        def fitting(simples: list[Simple]) -> Column:
+            return F.transform(TREE, lambda x: self.compound(simples, x))
+
+        def after(now: Column, place: Callable[[Column], Column], simples: list[Simple]) -> Column:
+            return F.transform(TREE, lambda x: F.coalesce(F.get(now, place(x)), F.lit(False)) & self.compound(simples, x))
+
+        def neighbour(way: str) -> Callable[[Column], Column]:
+            return lambda x: x[way]
+
+        def on_the_way(places: Column) -> Callable[[Column], Column]:
+            return lambda x: F.get(places, x["pre"])
 
-    def select(self, nodes: DataFrame) -> DataFrame:
-        """The rows of nodes that match."""
-        if self.local():
-            return nodes.where(self.predicate())
-        rows = self.prepared(nodes)
-        flags, out = [], rows
-        plain = F.lit(False)
         for i, c in enumerate(self.list):
-            if not c.combinators:
-                plain |= self.compound(c.compounds[0])
-                continue
-            flags.append(f"__m{i}")
-            out = out.join(self.matched(rows, c).select(self.key, "pre").distinct().withColumn(flags[-1], F.lit(True)), [self.key, "pre"], "left")
-        keep = plain
-        for f in flags:
-            keep |= F.coalesce(F.col(f), F.lit(False))
-        return out.where(keep).select(*nodes.columns)
-
-    def matched(self, rows: DataFrame, c: Complex) -> DataFrame:
-        """(key, pre) of the rows that the whole of c matches."""
-        k = self.key
-        place = ["parent", "elem_idx", "anc"]
-        now = rows.where(self.compound(c.compounds[-1])).select(k, F.col("pre").alias("cand"), F.col("pre").alias("cur"), *place)
-        for combinator, simples in zip(reversed(c.combinators), reversed(c.compounds[:-1])):
-            fits = self.compound(simples)
-            left = rows.where(fits).select(F.col(k).alias("lkey"), F.col("pre").alias("lpre"), *[F.col(p).alias("l" + p) for p in place])
-            same = F.col(k) == F.col("lkey")
-            if combinator == ">":
-                now = now.join(left, same & (F.col("parent") == F.col("lpre")))
-            elif combinator == "+":
-                now = now.join(left, same & (F.col("parent") == F.col("lparent")) & (F.col("elem_idx") == F.col("lelem_idx") + 1))
-            elif combinator == " ":
-                now = now.select(k, "cand", "cur", F.explode("anc").alias("a")).join(left, same & (F.col("a") == F.col("lpre")))
-            else:
-                order = Window.partitionBy(k, "parent").orderBy("elem_idx").rowsBetween(Window.unboundedPreceding, -1)
-                some = rows.where("elem_idx is not null")
-                hit = F.when(fits, F.col("pre"))
-                some = some.withColumn("__before", (F.collect_list(hit).over(order) if self.css else F.array(F.last(hit, ignorenulls=True).over(order))))
-                seen = some.select(F.col(k).alias("skey"), F.col("pre").alias("p"), F.explode("__before").alias("a"))
-                hop = now.join(seen.where("a is not null"), (F.col(k) == F.col("skey")) & (F.col("cur") == F.col("p"))).select(k, "cand", "cur", "a")
-                now = hop.join(left, same & (F.col("a") == F.col("lpre")))
-            now = now.select(k, "cand", "cur", "lpre", *[F.col("l" + p) for p in place])
-            if combinator == " " and not self.css:
-                now = now.groupBy(k, "cand", "cur").agg(F.max(F.struct("lpre", *["l" + p for p in place])).alias("best")).select(k, "cand", "cur", "best.*")
-            now = now.select(k, "cand", F.col("lpre").alias("cur"), *[F.col("l" + p).alias(p) for p in place])
-            if self.css:
-                now = now.distinct()
-        return now.select(k, F.col("cand").alias("pre"))
-
-
-def query(nodes: DataFrame, selector: str, key: str, *, within: str | None = None, css: bool = False, extensions: bool = False) -> DataFrame:
-    """Rows of nodes that match, document roots excluded; within: only descendants of what another selector matches. Order by (key, pre) for document order."""
-    found = Compiled(selector, key, css, extensions).select(nodes)
-    if within is not None:
-        scopes = Compiled(within, key, css, extensions).select(nodes).select(F.col(key).alias("__key"), F.col("pre").alias("__scope"))
-        inside = found.select(key, "pre", F.explode("anc").alias("__a"))
-        inside = inside.join(scopes, (F.col(key) == F.col("__key")) & (F.col("__a") == F.col("__scope"))).select(key, "pre").distinct()
-        found = found.join(inside, [key, "pre"], "left_semi")
-    return found
+            name = f"{self.name}_{i}"
+            now = fits = add(f"{name}_0", fitting(c.compounds[0]))
+            for n, (combinator, simples) in enumerate(zip(c.combinators, c.compounds[1:]), 1):
+                way = "parent" if combinator in "> " else "prev"
+                place = neighbour(way) if combinator in ">+" else on_the_way(add(f"{name}_{n}_at", nearest(way, now if self.css else fits)))
+                if n < len(c.combinators) and not self.css:
+                    fits = add(f"{name}_{n}_fits", fitting(simples))
+                now = add(f"{name}_{n}", after(now, place, simples))
+            whole.append(now)
+        found = whole[0] if len(whole) == 1 else F.transform(TREE, lambda x: F.exists(F.array(*[F.get(w, x["pre"]) for w in whole]), lambda v: v))
+        return trees.withColumn(self.name, found).drop(*made)
+
+    def matching(self, trees: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
+        """trees, with flags where it needs some, and whether a node of them matches."""
+        if self.local():
+            return trees, self.predicate
+        return self.marked(trees), lambda x: F.get(self.flags(), x["pre"])
+
+
+def _found(found: DataFrame, selector: str, key: str, within: str | None, css: bool, extensions: bool) -> tuple[DataFrame, Callable[[Column], Column]]:
+    trees, fits = Compiled(selector, key, css, extensions).matching(as_trees(found, key))
+    if within is None:
+        return trees, fits
+    scope = Compiled(within, key, css, extensions)
+    trees = scope.marked(trees).withColumn("__inside", nearest("parent", scope.flags()))
+    return trees, lambda x: F.get("__inside", x["pre"]).isNotNull() & fits(x)
+
+
+def query(
+    found: DataFrame, selector: str, key: str, *, within: str | None = None, css: bool = False, extensions: bool = False, only_first: bool = False, text: str | None = None, separator: str = " ", strip: bool = True
+) -> DataFrame:
+    """Nodes of trees (or of rows of nodes) that match, a row each in document order; document roots never match.
+
+    within: only descendants of what another selector matches; only_first: the first match of each document; text: the name of a column for the text of each match."""
+    trees, fits = _found(found, selector, key, within, css, extensions)
+    some = F.filter(TREE, fits)
+    if only_first:
+        some = F.slice(some, 1, 1)
+    if text:
+        some = F.transform(some, lambda x: x.withField(text, subtree_text(x, separator, strip)))
+    return trees.select(key, F.inline(some))
 
 
 def first(found: DataFrame, key: str) -> DataFrame:
-    """The first match of each document."""
+    """The first match of each document, of rows that query() gave."""
     return found.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy("pre"))).where("__r = 1").drop("__r")
 
 
-def matches(nodes: DataFrame, selector: str, key: str, out: str = "matches", **options) -> DataFrame:
-    """nodes with a flag."""
-    found = query(nodes, selector, key, **options).select(key, "pre", F.lit(True).alias(out))
-    return nodes.join(found, [key, "pre"], "left").withColumn(out, F.coalesce(out, F.lit(False)))
+def matches(found: DataFrame, selector: str, key: str, out: str = "matches", within: str | None = None, css: bool = False, extensions: bool = False) -> DataFrame:
+    """All nodes with a flag."""
+    trees, fits = _found(found, selector, key, within, css, extensions)
+    return trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, F.coalesce(fits(x), F.lit(False))))))
+
+
+def subtrees(found: DataFrame, selector: str, key: str, deep: bool = True, **options) -> DataFrame:
+    """(key, pre, tree): for each match the nodes of its subtree, numbered as in the document; deep=False: itself alone."""
+    trees, fits = _found(found, selector, key, options.get("within"), options.get("css", False), options.get("extensions", False))
+    some = F.transform(F.filter(TREE, fits), lambda x: F.struct(x["pre"].alias("pre"), F.slice(TREE, x["pre"] + 1, x["last"] - x["pre"] + 1 if deep else F.lit(1)).alias(TREE)))
+    return trees.select(key, F.inline(some))
