@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.selectors import stripped, subtree_text, subtrees
-from .relation import TREE, Options, _exploded, _parsed, as_trees, built, nearest
+from .relation import TREE, Options, Steps, _exploded, _parsed, as_trees, built, nearest
 from .render import compact, markdown, pretty
 from .treebuilder import VOID
 
@@ -20,12 +20,12 @@ __all__ = ["children", "compact_html", "escaped", "parents", "selected_html", "s
 
 def texts(found: DataFrame, key: str, separator: str = " ", strip: bool = True, out: str = "text") -> DataFrame:
     """(key, text) of whole documents, script and template content included."""
-    return as_trees(found, key).select(key, subtree_text(F.get(TREE, F.lit(0)), separator, strip).alias(out))
+    return Steps(found, key).trees.select(key, subtree_text(F.get(TREE, F.lit(0)), separator, strip).alias(out))
 
 
 def with_text(found: DataFrame, key: str, out: str = "text", separator: str = " ", strip: bool = True) -> DataFrame:
     """All nodes, a row each, with the text of their subtrees; query(text=...) gives that of matches alone."""
-    return as_trees(found, key).select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, subtree_text(x, separator, strip)))))
+    return Steps(found, key).trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, subtree_text(x, separator, strip)))))
 
 
 def escaped(c: Column) -> Column:
@@ -46,10 +46,6 @@ def start_tag(x: Column) -> Column:
 
 def compact_html(found: DataFrame, key: str, out: str = "html") -> DataFrame:
     """(key, html) of whole documents, on one line; template content is left out."""
-    trees = as_trees(found, key).withColumn("__content", F.transform(TREE, lambda x: x["host"].isNotNull()))
-    trees = trees.withColumn("__in", nearest("parent", F.col("__content")))
-    shown = F.filter(TREE, lambda x: x["host"].isNull() & F.get("__in", x["pre"]).isNull())
-
     def begin(x: Column) -> Column:
         leaf = F.when(x["kind"] == "comment", F.concat(F.lit("<!--"), x["data"], F.lit("-->"))).when(x["kind"] == "doctype", F.lit("<!DOCTYPE html>"))
         return F.when(x["kind"] == "element", start_tag(x)).when(x["kind"] == "text", escaped(x["data"])).otherwise(leaf)
@@ -60,9 +56,13 @@ def compact_html(found: DataFrame, key: str, out: str = "html") -> DataFrame:
     def part(at: Column, kind: int, inner: Column, s: Column) -> Column:
         return F.struct(at.alias("at"), F.lit(kind).alias("kind"), inner.alias("inner"), s.alias("s"))
 
+    steps = Steps(found, key)
+    content = steps.add(F.transform(TREE, lambda x: x["host"].isNotNull()))
+    inside = steps.add(nearest("parent", content))
+    shown = steps.add(F.filter(TREE, lambda x: x["host"].isNull() & F.get(inside, x["pre"]).isNull()))
     # where several elements end, the inner ones do so first
     parts = F.flatten(F.transform(shown, lambda x: F.array(part(x["pre"], 0, F.lit(0), begin(x)), part(x["last"], 1, -x["depth"], end(x)))))
-    return trees.select(key, F.array_join(F.transform(F.sort_array(F.filter(parts, lambda p: p["s"].isNotNull())), lambda p: p["s"]), "").alias(out))
+    return steps.trees.select(key, F.array_join(F.transform(F.sort_array(F.filter(parts, lambda p: p["s"].isNotNull())), lambda p: p["s"]), "").alias(out))
 
 
 def tree_dump(found: DataFrame, key: str, out: str = "dump") -> DataFrame:
@@ -83,7 +83,7 @@ def tree_dump(found: DataFrame, key: str, out: str = "dump") -> DataFrame:
         return F.concat(F.array(F.concat(pad, body)), F.transform(F.array_sort(named), lambda a: F.concat(pad, F.lit("  "), a["n"], F.lit('="'), a["v"], F.lit('"'))))
 
     kept = F.filter(TREE, lambda x: ~x["kind"].isin("document", "fragment"))
-    return as_trees(found, key).select(key, F.array_join(F.flatten(F.transform(kept, lines)), "\n").alias(out))
+    return Steps(found, key).trees.select(key, F.array_join(F.flatten(F.transform(kept, lines)), "\n").alias(out))
 
 
 def to_markdown(docs: DataFrame, key: str, column: str = "html", options: Options = Options(), out: str = "markdown") -> DataFrame:

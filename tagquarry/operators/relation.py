@@ -198,6 +198,40 @@ def as_trees(found: DataFrame, key: str) -> DataFrame:
     return found.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("pre", *others))).alias(TREE))
 
 
+class Steps:
+    """Trees to which arrays are added, a value a node each, one after the other.
+
+    Each is a Generate of its own: as columns of projections, which Spark merges, an array that a lambda looks at would be computed anew for each element."""
+
+    def __init__(self, found: DataFrame, key: str):
+        self.trees, self.key, self.n = as_trees(found, key), key, 0
+        if TREE not in found.columns:
+            self.trees = self.trees.select(key, F.explode(F.array(TREE)).alias(TREE))
+
+    def add(self, value: Column) -> Column:
+        self.n += 1
+        name = f"__step{self.n}"
+        self.trees = self.trees.select("*", F.explode(F.array(value)).alias(name))
+        return F.col(name)
+
+
+class Steps:
+    """Trees to which arrays are added, a value a node each, one after the other.
+
+    Each is a Generate of its own: as columns of projections, which Spark merges, an array that a lambda looks at would be computed anew for each element."""
+
+    def __init__(self, found: DataFrame, key: str):
+        self.trees, self.key, self.n = as_trees(found, key), key, 0
+        if TREE not in found.columns:
+            self.trees = self.trees.select(key, F.explode(F.array(TREE)).alias(TREE))
+
+    def add(self, value: Column) -> Column:
+        self.n += 1
+        name = f"__step{self.n}"
+        self.trees = self.trees.select("*", F.explode(F.array(value)).alias(name))
+        return F.col(name)
+
+
 def nearest(start: str, hit: Column, hosts: bool = False) -> Column:
     """For each node of a tree, the first one with `hit` (an array of booleans by place) on the way along `start` (parent or prev), or null. hosts: from a template's content on to the template.
 

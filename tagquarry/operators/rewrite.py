@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructField, StructType
 
 from ..plans.selectors import Compiled, subtrees
-from .relation import NODE, TREE, as_trees, exploded, nearest, related, sliced
+from .relation import NODE, TREE, Steps, as_trees, exploded, nearest, related, sliced
 
 
 def spliced(rows: list[dict], edits: list[dict]) -> list[dict]:
@@ -89,11 +89,11 @@ def _like(found: DataFrame, trees: DataFrame, key: str) -> DataFrame:
 
 def remove(found: DataFrame, selector: str, key: str) -> DataFrame:
     """Trees without the subtrees that match."""
-    c = Compiled(selector, key)
-    trees = c.marked(as_trees(found, key))
-    trees = trees.withColumn("__below", nearest("parent", c.flags(), hosts=True))
-    kept = F.filter(TREE, lambda x: ~F.get(c.flags(), x["pre"]) & F.get("__below", x["pre"]).isNull())
-    return _like(found, renumbered(trees.select(key, kept.alias(TREE)), key), key)
+    steps = Steps(found, key)
+    gone = Compiled(selector, key).mark(steps)
+    below = steps.add(nearest("parent", gone, hosts=True))
+    kept = F.filter(TREE, lambda x: ~F.get(gone, x["pre"]) & F.get(below, x["pre"]).isNull())
+    return _like(found, renumbered(steps.trees.select(key, kept.alias(TREE)), key), key)
 
 
 def edited(found: DataFrame, edits: DataFrame, key: str) -> DataFrame:

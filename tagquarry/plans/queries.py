@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.sql import html_unescape
 from ..operators import project, relation, rewrite
-from ..operators.relation import Options, attribute
-from .selectors import matches, query
+from ..operators.relation import TREE, Options, Steps, attribute
+from .selectors import Compiled, matches, query
 
 KEY = "page_id"
 
@@ -74,9 +74,11 @@ def _pruned(s: SparkSession, d: str) -> DataFrame:
 
 
 def _links_by_language(s: SparkSession, d: str) -> DataFrame:
-    """Of each page its language and number of links, by one pass over its nodes, then a sum."""
-    marked = matches(matches(trees(s, d), "nav a[href]", KEY, "link"), "html[lang]", KEY, "root")
-    each = marked.groupBy(KEY).agg(F.max(F.when(F.col("root"), attribute("lang"))).alias("lang"), F.count(F.when(F.col("link"), 1)).alias("links"))
+    """The number of links of each page beside its language, by one pass over its nodes, then a sum."""
+    steps = Steps(trees(s, d), KEY)
+    link, root = Compiled("nav a[href]", KEY).fits(steps), Compiled("html[lang]", KEY).fits(steps)
+    lang = attribute("lang", attrs=F.get(F.filter(TREE, root), F.lit(0))["attrs"])
+    each = steps.trees.select(lang.alias("lang"), F.size(F.filter(TREE, link)).cast("long").alias("links"))
     return each.where("lang is not null and links > 0").groupBy("lang").agg(F.sum("links").alias("links"))
 
 

@@ -12,14 +12,13 @@ when compiled.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.relation import TREE, as_trees, attribute, nearest
+from ..operators.relation import TREE, Steps, attribute, nearest
 
 #: What str.strip() and str.split() take for white space.
 WS = r"\t\n\x0B\f\r\x1C-\x1F\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -257,7 +256,7 @@ class Compiled:
         self.key, self.css, self.extensions = key, css, extensions
         self.list = Parser(selector).parse()
         self.inner: dict[str, Compiled] = {}
-        self.name = f"__{zlib.crc32(selector.encode()):08x}{int(css)}{int(extensions)}"
+        self.made: Column | None = None  # flags that mark() has added to the trees in hand
         for c in self.list:
             for compound in c.compounds:
                 for s in compound:
@@ -307,7 +306,7 @@ class Compiled:
         if not s.value:
             return F.lit(True)
         inner = self.inner[s.value]
-        return ~inner.predicate(x) if inner.local() else ~F.get(inner.flags(), x["pre"])
+        return ~inner.predicate(x) if inner.local() else ~F.get(inner.made, x["pre"])
 
     def compound(self, simples: list[Simple], x: Column) -> Column:
         """The text of a subtree is only looked at where all else fits."""
@@ -323,28 +322,27 @@ class Compiled:
             out |= self.compound(c.compounds[0], x)
         return out
 
-    def flags(self) -> Column:
-        """The array of flags that marked() adds."""
-        return F.col(self.name)
-
-    def marked(self, trees: DataFrame) -> DataFrame:
-        """trees with an array that says of each node whether it matches."""
+    def mark(self, steps: Steps) -> Column:
+        """Adds an array that says of each node whether it matches."""
         for inner in self.inner.values():
-            if not inner.local() and inner.name not in trees.columns:
-                trees = inner.marked(trees)
-        whole, made = [], []
+            if not inner.local():
+                inner.made = inner.mark(steps)
+        each = [self._chain(c, steps) for c in self.list]
+        return each[0] if len(each) == 1 else steps.add(F.transform(TREE, lambda x: F.exists(F.array(*[F.get(e, x["pre"]) for e in each]), lambda v: v)))
 
-        def add(name: str, value: Column) -> Column:
-            nonlocal trees
-            trees = trees.withColumn(name, value)
-            made.append(name)
-            return F.col(name)
+    def fits(self, steps: Steps) -> Callable[[Column], Column]:
+        """Whether a node matches; adds what this needs."""
+        if self.local():
+            return self.predicate
+        flags = self.mark(steps)
+        return lambda x: F.get(flags, x["pre"])
 
+    def _chain(self, c: Complex, steps: Steps) -> Column:
         def fitting(simples: list[Simple]) -> Column:
-            return F.transform(TREE, lambda x: self.compound(simples, x))
+            return steps.add(F.transform(TREE, lambda x: self.compound(simples, x)))
 
         def after(now: Column, place: Callable[[Column], Column], simples: list[Simple]) -> Column:
-            return F.transform(TREE, lambda x: F.coalesce(F.get(now, place(x)), F.lit(False)) & self.compound(simples, x))
+            return steps.add(F.transform(TREE, lambda x: F.coalesce(F.get(now, place(x)), F.lit(False)) & self.compound(simples, x)))
 
         def neighbour(way: str) -> Callable[[Column], Column]:
             return lambda x: x[way]
@@ -352,33 +350,23 @@ class Compiled:
         def on_the_way(places: Column) -> Callable[[Column], Column]:
             return lambda x: F.get(places, x["pre"])
 
-        for i, c in enumerate(self.list):
-            name = f"{self.name}_{i}"
-            now = fits = add(f"{name}_0", fitting(c.compounds[0]))
-            for n, (combinator, simples) in enumerate(zip(c.combinators, c.compounds[1:]), 1):
-                way = "parent" if combinator in "> " else "prev"
-                place = neighbour(way) if combinator in ">+" else on_the_way(add(f"{name}_{n}_at", nearest(way, now if self.css else fits)))
-                if n < len(c.combinators) and not self.css:
-                    fits = add(f"{name}_{n}_fits", fitting(simples))
-                now = add(f"{name}_{n}", after(now, place, simples))
-            whole.append(now)
-        found = whole[0] if len(whole) == 1 else F.transform(TREE, lambda x: F.exists(F.array(*[F.get(w, x["pre"]) for w in whole]), lambda v: v))
-        return trees.withColumn(self.name, found).drop(*made)
-
-    def matching(self, trees: DataFrame) -> tuple[DataFrame, Callable[[Column], Column]]:
-        """trees, with flags where it needs some, and whether a node of them matches."""
-        if self.local():
-            return trees, self.predicate
-        return self.marked(trees), lambda x: F.get(self.flags(), x["pre"])
+        now = fits = fitting(c.compounds[0])
+        for n, (combinator, simples) in enumerate(zip(c.combinators, c.compounds[1:]), 1):
+            way = "parent" if combinator in "> " else "prev"
+            place = neighbour(way) if combinator in ">+" else on_the_way(steps.add(nearest(way, now if self.css else fits)))
+            if n < len(c.combinators) and c.combinators[n] in " ~" and not self.css:
+                fits = fitting(simples)
+            now = after(now, place, simples)
+        return now
 
 
-def _found(found: DataFrame, selector: str, key: str, within: str | None, css: bool, extensions: bool) -> tuple[DataFrame, Callable[[Column], Column]]:
-    trees, fits = Compiled(selector, key, css, extensions).matching(as_trees(found, key))
+def _matching(found: DataFrame, selector: str, key: str, within: str | None, css: bool, extensions: bool) -> tuple[Steps, Callable[[Column], Column]]:
+    steps = Steps(found, key)
+    own = Compiled(selector, key, css, extensions).fits(steps)
     if within is None:
-        return trees, fits
-    scope = Compiled(within, key, css, extensions)
-    trees = scope.marked(trees).withColumn("__inside", nearest("parent", scope.flags()))
-    return trees, lambda x: F.get("__inside", x["pre"]).isNotNull() & fits(x)
+        return steps, own
+    inside = steps.add(nearest("parent", Compiled(within, key, css, extensions).mark(steps)))
+    return steps, lambda x: F.get(inside, x["pre"]).isNotNull() & own(x)
 
 
 def query(
@@ -387,13 +375,13 @@ def query(
     """Nodes of trees (or of rows of nodes) that match, a row each in document order; document roots never match.
 
     within: only descendants of what another selector matches; only_first: the first match of each document; text: the name of a column for the text of each match."""
-    trees, fits = _found(found, selector, key, within, css, extensions)
+    steps, fits = _matching(found, selector, key, within, css, extensions)
     some = F.filter(TREE, fits)
     if only_first:
         some = F.slice(some, 1, 1)
     if text:
         some = F.transform(some, lambda x: x.withField(text, subtree_text(x, separator, strip)))
-    return trees.select(key, F.inline(some))
+    return steps.trees.select(key, F.inline(some))
 
 
 def first(found: DataFrame, key: str) -> DataFrame:
@@ -403,12 +391,12 @@ def first(found: DataFrame, key: str) -> DataFrame:
 
 def matches(found: DataFrame, selector: str, key: str, out: str = "matches", within: str | None = None, css: bool = False, extensions: bool = False) -> DataFrame:
     """All nodes with a flag."""
-    trees, fits = _found(found, selector, key, within, css, extensions)
-    return trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, F.coalesce(fits(x), F.lit(False))))))
+    steps, fits = _matching(found, selector, key, within, css, extensions)
+    return steps.trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, F.coalesce(fits(x), F.lit(False))))))
 
 
 def subtrees(found: DataFrame, selector: str, key: str, deep: bool = True, **options) -> DataFrame:
     """(key, pre, tree): for each match the nodes of its subtree, numbered as in the document; deep=False: itself alone."""
-    trees, fits = _found(found, selector, key, options.get("within"), options.get("css", False), options.get("extensions", False))
+    steps, fits = _matching(found, selector, key, options.get("within"), options.get("css", False), options.get("extensions", False))
     some = F.transform(F.filter(TREE, fits), lambda x: F.struct(x["pre"].alias("pre"), F.slice(TREE, x["pre"] + 1, x["last"] - x["pre"] + 1 if deep else F.lit(1)).alias(TREE)))
-    return trees.select(key, F.inline(some))
+    return steps.trees.select(key, F.inline(some))
