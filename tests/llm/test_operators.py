@@ -215,7 +215,7 @@ def test_pii_learns_contexts(spark, empty):
     assert "<account" in contexts
     rows = {r["doc_id"]: r["spans"] for r in pii.extracted(docs, contexts).collect()}
     assert rows[40] == "context:12:22" and rows[41] == "" and rows[42] == ""
-    assert pii.masked("the account ZX-9981234 now", contexts) == "the account <context> now"
+    assert pii.masked("the account ZX-9981234 now", pii.Model(contexts)) == "the account <context> now"
     assert pii.learned_contexts(empty) == {}
 
 
