@@ -39,22 +39,24 @@ from .tokens import by_file, encoder, loaded, public, stored
 
 WINDOW, END, VOCABULARY = 4096, 2, 49408
 #: Ids and documents of a shard at most, but for a document that is larger alone.
-SHARD_IDS, SHARD_DOCS = 4_000_000, 8000
+SHARD_IDS, SHARD_DOCS = 2_000_000, 8000
 #: Sampled documents by which the others are dealt.
-ANCHORS = 512
-#: BM25.
-K1, B = 1.2, 0.75
+ANCHORS = 256
+#: BM25; the share of an index's documents from which on a term's scores are held for all of them.
+K1, B, COMMON = 1.2, 0.75, 1 / 16
 
 
 def corpus_statistics(manifest: DataFrame, size: int = VOCABULARY) -> tuple[np.ndarray, int, float]:
     """Document frequency of each id, number of documents and their mean length, over all files of ids."""
+    width = width_of(size)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
             for name in b.column(1).to_pylist():
                 for _, _, ids in loaded(name):
                     for x in ids:
-                        seen[np.unique(x)] += 1
+                        seen[distinct(x, width)[0]] += 1
                         n, total = n + 1, total + len(x) + 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_pydict({"id": pa.array(np.append(at, [-1, -2]), pa.int64()), "n": pa.array(np.append(seen[at], [n, total]), pa.int64())})
@@ -70,11 +72,22 @@ def corpus_statistics(manifest: DataFrame, size: int = VOCABULARY) -> tuple[np.n
     return df, total, found.get(-2, 0) / max(1, total)
 
 
+def distinct(ids: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a document, in order, and how often each occurs; narrow integers are sorted by digits."""
+    x = np.sort(ids.astype(width), kind="stable")
+    at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+    return x[at].astype(np.int64), np.diff(np.append(at, len(x)))
+
+
+def width_of(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 class Index:
     """BM25 over some documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, tf = zip(*(np.unique(d, return_counts=True) for d in docs)) if docs else ((), ())
+        terms, tf = zip(*(distinct(d, width_of(len(idf))) for d in docs)) if docs else ((), ())
         self.n, self.ends = len(docs), np.cumsum([0, *[len(t) for t in terms]])
         self.terms = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
         count = np.concatenate([*tf, np.zeros(0, np.int64)])
@@ -84,16 +97,25 @@ class Index:
         order = np.argsort(self.terms, kind="stable")
         self.docs, self.lists = owner[order], weights[order]
         self.starts = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
+        common = np.flatnonzero(np.diff(self.starts) > max(8, COMMON * self.n))
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        at = self.row[self.terms]
+        self.dense[at[at >= 0], owner[at >= 0]] = weights[at >= 0]
 
     def terms_of(self, doc: int) -> np.ndarray:
         return self.terms[self.ends[doc] : self.ends[doc + 1]]
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of each document for these terms."""
-        spans = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()) if a < b]
-        if not spans:
-            return np.zeros(self.n)
-        return np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.lists[s] for s in spans]), self.n)
+        row = self.row[terms]
+        out = self.dense[row[row >= 0]].sum(0).astype(np.float64)
+        rare = terms[row < 0]
+        spans = [slice(a, b) for a, b in zip(self.starts[rare].tolist(), self.starts[rare + 1].tolist()) if a < b]
+        if spans:
+            out += np.bincount(np.concatenate([self.docs[s] for s in spans]), np.concatenate([self.lists[s] for s in spans]), self.n)
+        return out
 
     def nearest(self, terms: np.ndarray, used: np.ndarray, some: int = 64) -> Iterator[int]:
         """Unused documents that share one of the terms, best first; ties to the earlier. `some` are sorted before the others."""
@@ -138,7 +160,7 @@ def anchors(manifest: DataFrame, total: int, idf: np.ndarray, mean: float) -> tu
                     h = mixed(np.arange(low, low + len(ids), dtype=np.uint64) + np.uint64(place << 40))
                     low += len(ids)
                     take = [i for i in np.flatnonzero(h <= line).tolist() if len(ids[i])]
-                    found = [np.unique(ids[i], return_counts=True) for i in take]
+                    found = [distinct(ids[i], "<u4") for i in take]
                     yield pa.RecordBatch.from_pydict({
                         "h": pa.array(h[take].astype(np.int64), pa.int64()), "terms": pa.array([t.astype("<u4").tobytes() for t, _ in found], pa.binary()),
                         "tf": pa.array([n.astype("<u4").tobytes() for _, n in found], pa.binary()),
@@ -149,6 +171,20 @@ def anchors(manifest: DataFrame, total: int, idf: np.ndarray, mean: float) -> tu
     return index, chained(index)
 
 
+class Router:
+    """The anchor that a document retrieves first: the anchors' scores by term, in rows."""
+
+    def __init__(self, index: Index, places: np.ndarray, size: int):
+        known = np.unique(index.terms)
+        self.row, self.n, self.places = np.zeros(size, np.int64), index.n, places
+        self.row[known] = np.arange(1, len(known) + 1)
+        self.scores = np.zeros((len(known) + 1, index.n), np.float32)
+        self.scores[self.row[np.repeat(np.arange(size), np.diff(index.starts))], index.docs] = index.lists
+
+    def place(self, terms: np.ndarray) -> int:
+        return int(self.places[self.scores[self.row[terms]].sum(0).argmax()]) if self.n and len(terms) else 0
+
+
 class Filler:
     """Gives a task's documents, (doc_id, ids with the end id) in order, to windows; rows are pieces."""
 
@@ -211,26 +247,26 @@ class Filler:
 def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> DataFrame:
     """docs (doc_id, text): a row a piece."""
     spark, size = docs.sparkSession, encoder(path, False).size
-    width = "<u2" if size <= 1 << 16 else "<u4"
+    width = width_of(size)
     manifest = stored(docs.select(F.lit(0).alias("mark"), "doc_id", "text"), path, False, new_path(spark, "packing"))
     df, total, mean = corpus_statistics(manifest, size)
     idf = np.log1p((total - df + 0.5) / (df + 0.5))
     with np.errstate(divide="ignore"):
         rare = -np.log1p(-np.arange(1, size + 1) * 0.6180339887498949 % 1) / idf**2  # a fixed draw for each id, small for rare ones
-    shared = spark.sparkContext.broadcast((idf, mean, rare, *anchors(manifest, total, idf, mean)))
+    shared = spark.sparkContext.broadcast((idf, mean, rare, Router(*anchors(manifest, total, idf, mean), size)))
     kind = docs.schema["doc_id"].dataType
     key_type = to_arrow_type(kind)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        idf, mean, rare, index, places = shared.value
+        _, _, rare, router = shared.value
         for b in batches:
             for place, name in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 low = 0
                 for _, keys, ids in loaded(name):
                     at = []
                     for x in ids:
-                        terms = np.unique(x).astype(np.int64)
-                        best = int(places[np.argmax(index.scores(terms))]) if len(terms) and index.n else 0
+                        terms = distinct(x, width)[0]
+                        best = router.place(terms)
                         two = terms[np.argsort(rare[terms], kind="stable")[:2]].tolist() + [0, 0]
                         at.append(best << 48 | (two[0] & 0xFFFFFF) << 24 | two[1] & 0xFFFFFF)
                     yield pa.RecordBatch.from_arrays(
