@@ -1,36 +1,31 @@
-"""Functions for SQL: html_unescape, html_to_text, html_to_markdown, html_events."""
+"""Functions for SQL: html_unescape, html_to_text, html_to_markdown, and the table functions html_events and parse_html."""
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructType
 
-from ..operators.relation import events_of
-from ..operators.render import markdown
+from ..operators.relation import NODE, events_of, flat
+from ..operators.render import markdown, text_of
 from ..operators.treebuilder import parse
 from .entities import decode
 
+#: The columns of NODE.
+NAMES = [column.split()[0] for column in re.sub("<.*?>>", "", NODE).split(", ")]
+
 
 @F.pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else decode(t))
 
 
-def text_of(html: str | None, separator: str = " ", strip: bool = True) -> str:
-    out, todo = [], [parse(html)[0]]
-    while todo:
-        n = todo.pop()
-        if n.kind == "text" and (data := n.data.strip() if strip else n.data):
-            out.append(data)
-        todo += ([n.content] if n.content is not None else []) + list(reversed(n.children))
-    return separator.join(out)
-
-
 @F.pandas_udf(StringType())
 def html_to_text(html: pd.Series) -> pd.Series:
-    return html.map(text_of)
+    return html.map(lambda h: text_of(parse(h)[0], " ", True))
 
 
 @F.pandas_udf(StringType())
@@ -45,7 +40,17 @@ class HtmlEvents:
             yield e["ord"], e["event"], e["name"], e["data"]
 
 
+@F.udtf(returnType=NODE)
+class ParseHtml:
+    """The rows of relation.nodes() for one document."""
+
+    def eval(self, html: str):
+        for r in flat(parse(html)[0]):
+            yield tuple([(a["name"], a["value"]) for a in r["attrs"]] if name == "attrs" else r[name] for name in NAMES)
+
+
 def register(spark: SparkSession) -> None:
     for name, f in (("html_unescape", html_unescape), ("html_to_text", html_to_text), ("html_to_markdown", html_to_markdown)):
         spark.udf.register(name, f)
     spark.udtf.register("html_events", HtmlEvents)
+    spark.udtf.register("parse_html", ParseHtml)

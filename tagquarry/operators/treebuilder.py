@@ -13,6 +13,7 @@ SPECIAL = frozenset(
     "address applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img input keygen li link listing main marquee menu meta nav noembed noframes noscript object ol p param plaintext pre script search section select source style summary table tbody td template textarea tfoot th thead title tr track ul wbr xmp".split()
 )
 FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+MATH_TEXT = frozenset(["mi", "mo", "mn", "ms", "mtext"])
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SCOPE = frozenset([("html", n) for n in "applet caption html table td th marquee object template".split()] + [("math", n) for n in "mi mo mn ms mtext annotation-xml".split()] + [("svg", n) for n in "foreignObject desc title".split()])
 LIST_SCOPE = SCOPE | {("html", "ol"), ("html", "ul")}
@@ -31,8 +32,63 @@ SVG_ATTRS = {
     n.lower(): n
     for n in "attributeName attributeType baseFrequency baseProfile calcMode clipPathUnits diffuseConstant edgeMode filterUnits glyphRef gradientTransform gradientUnits kernelMatrix kernelUnitLength keyPoints keySplines keyTimes lengthAdjust limitingConeAngle markerHeight markerUnits markerWidth maskContentUnits maskUnits numOctaves pathLength patternContentUnits patternTransform patternUnits pointsAtX pointsAtY pointsAtZ preserveAlpha preserveAspectRatio primitiveUnits refX refY repeatCount repeatDur requiredExtensions requiredFeatures specularConstant specularExponent spreadMethod startOffset stdDeviation stitchTiles surfaceScale systemLanguage tableValues targetX targetY textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan".split()
 }
-QUIRKY_PREFIXES = tuple(
-    "+//silmaril//dtd html pro v0r11 19970101//|-//as//dtd html 3.0 aswedit + extensions//|-//advasoft ltd//dtd html 3.0 aswedit + extensions//|-//ietf//dtd html 2.0 level 1//|-//ietf//dtd html 2.0 level 2//|-//ietf//dtd html 2.0 strict level 1//|-//ietf//dtd html 2.0 strict level 2//|-//ietf//dtd html 2.0 strict//|-//ietf//dtd html 2.0//|-//ietf//dtd html 2.1e//|-//ietf//dtd html 3.0//|-//ietf//dtd html 3.2 final//|-//ietf//dtd html 3.2//|-//ietf//dtd html 3//|-//ietf//dtd html level 0//|-//ietf//dtd html level 1//|-//ietf//dtd html level 2//|-//ietf//dtd html level 3//|-//ietf//dtd html strict level 0//|-//ietf//dtd html strict level 1//|-//ietf//dtd html strict level 2//|-//ietf//dtd html strict level 3//|-//ietf//dtd html strict//|-//ietf//dtd html//|-//metrius//dtd metrius presentational//|-//microsoft//dtd internet explorer 2.0 html strict//|-//microsoft//dtd internet explorer 2.0 html//|-//microsoft//dtd internet explorer 2.0 tables//|-//microsoft//dtd internet explorer 3.0 html strict//|-//microsoft//dtd internet explorer 3.0 html//|-//microsoft//dtd internet explorer 3.0 tables//|-//netscape comm. corp.//dtd html//|-//netscape comm. corp.//dtd strict html//|-//o'reilly and associates//dtd html 2.0//|-//o'reilly and associates//dtd html extended 1.0//|-//o'reilly and associates//dtd html extended relaxed 1.0//|-//softquad software//dtd hotmetal pro 6.0::19990601::extensions to html 4.0//|-//softquad//dtd hotmetal pro 4.0::19971010::extensions to html 4.0//|-//spyglass//dtd html 2.0 extended//|-//sq//dtd html 2.0 hotmetal + extensions//|-//sun microsystems corp.//dtd hotjava html//|-//sun microsystems corp.//dtd hotjava strict html//|-//w3c//dtd html 3 1995-03-24//|-//w3c//dtd html 3.2 draft//|-//w3c//dtd html 3.2 final//|-//w3c//dtd html 3.2//|-//w3c//dtd html 3.2s draft//|-//w3c//dtd html 4.0 frameset//|-//w3c//dtd html 4.0 transitional//|-//w3c//dtd html experimental 19960712//|-//w3c//dtd html experimental 970421//|-//w3c//dtd w3 html//|-//w3o//dtd w3 html 3.0//|-//webtechs//dtd mozilla html 2.0//|-//webtechs//dtd mozilla html//".split("|")
+# Fixed values of the standard: beginnings of public identifiers, lower case.
+QUIRKY_PREFIXES = (
+    "+//silmaril//dtd html pro v0r11 19970101//",
+    "-//as//dtd html 3.0 aswedit + extensions//",
+    "-//advasoft ltd//dtd html 3.0 aswedit + extensions//",
+    "-//ietf//dtd html 2.0 level 1//",
+    "-//ietf//dtd html 2.0 level 2//",
+    "-//ietf//dtd html 2.0 strict level 1//",
+    "-//ietf//dtd html 2.0 strict level 2//",
+    "-//ietf//dtd html 2.0 strict//",
+    "-//ietf//dtd html 2.0//",
+    "-//ietf//dtd html 2.1e//",
+    "-//ietf//dtd html 3.0//",
+    "-//ietf//dtd html 3.2 final//",
+    "-//ietf//dtd html 3.2//",
+    "-//ietf//dtd html 3//",
+    "-//ietf//dtd html level 0//",
+    "-//ietf//dtd html level 1//",
+    "-//ietf//dtd html level 2//",
+    "-//ietf//dtd html level 3//",
+    "-//ietf//dtd html strict level 0//",
+    "-//ietf//dtd html strict level 1//",
+    "-//ietf//dtd html strict level 2//",
+    "-//ietf//dtd html strict level 3//",
+    "-//ietf//dtd html strict//",
+    "-//ietf//dtd html//",
+    "-//metrius//dtd metrius presentational//",
+    "-//microsoft//dtd internet explorer 2.0 html strict//",
+    "-//microsoft//dtd internet explorer 2.0 html//",
+    "-//microsoft//dtd internet explorer 2.0 tables//",
+    "-//microsoft//dtd internet explorer 3.0 html strict//",
+    "-//microsoft//dtd internet explorer 3.0 html//",
+    "-//microsoft//dtd internet explorer 3.0 tables//",
+    "-//netscape comm. corp.//dtd html//",
+    "-//netscape comm. corp.//dtd strict html//",
+    "-//o'reilly and associates//dtd html 2.0//",
+    "-//o'reilly and associates//dtd html extended 1.0//",
+    "-//o'reilly and associates//dtd html extended relaxed 1.0//",
+    "-//softquad software//dtd hotmetal pro 6.0::19990601::extensions to html 4.0//",
+    "-//softquad//dtd hotmetal pro 4.0::19971010::extensions to html 4.0//",
+    "-//spyglass//dtd html 2.0 extended//",
+    "-//sq//dtd html 2.0 hotmetal + extensions//",
+    "-//sun microsystems corp.//dtd hotjava html//",
+    "-//sun microsystems corp.//dtd hotjava strict html//",
+    "-//w3c//dtd html 3 1995-03-24//",
+    "-//w3c//dtd html 3.2 draft//",
+    "-//w3c//dtd html 3.2 final//",
+    "-//w3c//dtd html 3.2//",
+    "-//w3c//dtd html 3.2s draft//",
+    "-//w3c//dtd html 4.0 frameset//",
+    "-//w3c//dtd html 4.0 transitional//",
+    "-//w3c//dtd html experimental 19960712//",
+    "-//w3c//dtd html experimental 970421//",
+    "-//w3c//dtd w3 html//",
+    "-//w3o//dtd w3 html 3.0//",
+    "-//webtechs//dtd mozilla html 2.0//",
+    "-//webtechs//dtd mozilla html//",
 )
 QUIRKY_IDS = ("-//w3o//dtd w3 html strict 3.0//en//", "-/w3c/dtd html 4.0 transitional/en", "html")
 QUIRKY_SYSTEM = "http://www.ibm.com/data/dtd/v11/ibmxhtml1-transitional.dtd"
@@ -329,6 +385,11 @@ class Builder:
                 self.skip_newline = False
                 if token.type == "text" and token.data.startswith("\n"):
                     token.data = token.data[1:]
+            if token.type == "text" and self.in_math_text():
+                # neither stands in the text of these
+                token.data = token.data.replace("\0", "").replace("\f", "")
+                if not token.data:
+                    continue
             again = True
             while again:
                 again = self.foreign(token) if self.is_foreign(token) else self.mode(token)
@@ -345,6 +406,9 @@ class Builder:
                 c.parent = self.document
         return self.document
 
+    def in_math_text(self) -> bool:
+        return bool(self.open) and self.top.ns == "math" and self.top.name in MATH_TEXT
+
     def is_foreign(self, token: Token) -> bool:
         if not self.open or token.type == "eof":
             return False
@@ -352,7 +416,7 @@ class Builder:
         if n.ns == "html":
             return False
         start = token.type == "start"
-        if n.ns == "math" and n.name in ("mi", "mo", "mn", "ms", "mtext") and ((start and token.name not in ("mglyph", "malignmark")) or token.type == "text"):
+        if n.ns == "math" and n.name in MATH_TEXT and ((start and token.name not in ("mglyph", "malignmark")) or token.type == "text"):
             return False
         if n.ns == "math" and n.name == "annotation-xml" and start and token.name == "svg":
             return False
@@ -376,7 +440,7 @@ class Builder:
         elif t.type == "start":
             if t.name in BREAKOUT or (t.name == "font" and {"color", "face", "size"} & t.attrs.keys()):
                 self.error("unexpected-html-element-in-foreign-content", t)
-                while len(self.open) > 1 and self.top.ns != "html" and not self.html_point(self.top) and not (self.top.ns == "math" and self.top.name in ("mi", "mo", "mn", "ms", "mtext")):
+                while len(self.open) > 1 and self.top.ns != "html" and not self.html_point(self.top) and not (self.top.ns == "math" and self.top.name in MATH_TEXT):
                     self.open.pop()
                 self.tokens.foreign = False
                 self.switch_content(t)
@@ -972,7 +1036,9 @@ class Builder:
 
     def in_table_text(self, t: Token) -> bool:
         if t.type == "text":
-            t.data = t.data.replace("\0", "")
+            if "\f" in t.data:
+                self.error("invalid-codepoint-in-table-text", t)
+            t.data = t.data.replace("\0", "").replace("\f", "")
             self.table_text.append(t)
             return False
         data = "".join(x.data for x in self.table_text)
@@ -1174,6 +1240,12 @@ class Builder:
                 node = self.insert(t)
                 if name in FORMATTING:
                     self.remember(node)
+            elif name in ("br", "img", "menuitem", "plaintext"):
+                self.reconstruct()
+                self.insert(t)
+                if name in ("br", "img"):
+                    self.open.pop()
+                self.tokens.content = "plaintext" if name == "plaintext" else "data"
             else:
                 self.error("unexpected-start-tag-in-select", t)
                 self.tokens.content = "data"

@@ -33,8 +33,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation.events(pages(spark, sf_dir), KEY)
 
 
-def _selected(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda s, d: query(trees(s, d), selector, KEY, **options).select(KEY, *[c() if callable(c) else c for c in columns])
+def _selected(selector: str, *columns, only: tuple[str, ...] = (), **options) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda s, d: query(trees(s, d), selector, KEY, **options).select(KEY, *only, *[c() if callable(c) else c for c in columns])
 
 
 def _counted(selector: str, out: str = "n", **options) -> Callable[[SparkSession, str], DataFrame]:
@@ -105,7 +105,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "odd_li": _selected("nav li:nth-child(odd) > a", HREF),
     "li_not_first": _selected("nav li:not(:first-child) > a", HREF),
     "li_after_li": _counted("nav li + li"),
-    "li_siblings": _counted("nav li ~ li"),
+    "li_siblings": _counted("nav li:nth-child(2) ~ li"),
+    "every_element": _counted("*"),
+    "lang_en": _counted("[lang|=en]"),
+    "class_word": _counted("[class~=ad]"),
+    "second_p": _selected("article p:nth-of-type(2)", text="text", only=("text",)),
+    "links_within": lambda s, d: query(trees(s, d), "a[href]", KEY, within="nav").groupBy(KEY).agg(F.count(F.lit(1)).alias("n")),
+    "body_parts": _selected("body > *:not(nav):not(.ad)", "lname"),
+    "p_in_css": _counted("body p b", css=True),
     "h1_plus_p": _counted("h1 + p"),
     "style_or_script": _counted("style, script"),
     "links_prefix": _counted("nav a[href^='/t']"),
@@ -121,7 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encodings": _encodings,
     "escaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(project.escaped(F.col("text"))).alias("md5")),
     "unescaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(html_unescape(project.escaped(F.col("text")))).alias("md5")),
-    # without SQL: what the parse itself decides
     "node_kinds": _kinds,
     "dom_size": lambda s, d: nodes(s, d).groupBy(KEY).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("depth")),
     "b_depth": lambda s, d: query(trees(s, d), "b", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("depth").cast("long").alias("depth")),
@@ -133,12 +139,53 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True)).select(KEY, "status", "n_errors", "first_error"),
     "page_text": lambda s, d: project.texts(trees(s, d), KEY),
     "compact_html": lambda s, d: project.compact_html(trees(s, d), KEY),
+    # without SQL
     "pretty_html": lambda s, d: project.to_html(pages(s, d), KEY),
     "markdown": lambda s, d: project.to_markdown(pages(s, d), KEY),
     "tree_dump": lambda s, d: project.tree_dump(trees(s, d), KEY),
 }
 
 
+#: The pages' regular markup as the parser completes it: the <b> of a paragraph is never closed, so all that follows opens it again, three of them at most
+#: besides a new one; paragraphs end where the next begins; attributes lose their quotes and texts their entities.
+_BOLD = "len(list_filter(paras[1:{0}], lambda u: starts_with(u, '<p><b>')))"
+_DEPTH = f"least(3, {_BOLD.format('i')} - cast(starts_with(v, '<p><b>') as int)) + cast(starts_with(v, '<p><b>') as int)"
+_PARA = f"'<p>' || repeat('<b>', {_DEPTH}) || regexp_extract(v, '^<p>(?:<b>)?([^<]*)', 1) || case when starts_with(v, '<p><b>') then '<br>' else '' end || repeat('</b>', {_DEPTH}) || '</p>'"
+_LAST = f"least(3, {_BOLD.format('len(paras)')})"
+_WHOLE = f"head || array_to_string(list_transform(paras, lambda v, i: {_PARA}), '') || '</article><footer>' || repeat('<b>', {_LAST}) || foot || repeat('</b>', {_LAST}) || '</footer></body></html>'"
+_STEPS = [("replace", "\"</p>\"", "\"&lt;/p&gt;\""), ("replace", "&quot;", "\""), ("replace", "&#x27;", "'"), ("replace", "&copy;", "\u00a9"), ("replace", "&middot;", "\u00b7"), ("regexp_replace", "(lang|charset|class|href)=\"([^\"> '=\\s]+)\"", "\\1=\\2"), ("replace", "href=\"\"", "href")]
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _compact() -> str:
+    out = "h"
+    for kind, old, new in _STEPS:
+        more = ", 'g'" if kind == "regexp_replace" else ""
+        out = f"{kind}({out}, {_quoted(old)}, {_quoted(new)}{more})"
+    return out
+
+
+_CUT = "select page_id, regexp_extract(html, '(?s)^(.*?</h1>)', 1) as head, regexp_extract_all(html[strpos(html, '</h1>') :], '<p>(?:<b>)?[^<]*') as paras, regexp_extract(html, '<footer>([^<]*)', 1) as foot from pages"
+_PAGES = f"with cut as ({_CUT}), whole as (select page_id, {_WHOLE} as h from cut), made as (select page_id, {_compact()} as h from whole), parts as (select page_id, h, regexp_extract_all(h, '>([^<]+)<', 1) as t from made)"
+_TEXT = "trim(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(10) || chr(9))"
+
+
+def _of(pattern: str) -> str:
+    return f"len(regexp_extract_all(h, {_quoted(pattern)}))"
+
+
+def _made(n: str, out: str = "n", more: str = "") -> str:
+    return f"{_PAGES} select page_id, cast({n} as bigint) as {out}{more} from parts where {n} > 0"
+
+
+_DEEP = "case when contains(h, '<b><b><b><b>') then 8 when contains(h, '<b><b><b>') then 7 when contains(h, '<b><b>') then 6 else 5 end"
+_NODES = f"1 + len(regexp_extract_all(h, '<!DOCTYPE|<!--|<[a-z]')) + len(t)"
+_P = "regexp_extract_all(h, '<p>(?:<b>)*([^<]*)', 1)"
+
+
 _A = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 _PLAIN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
 
@@ -176,9 +223,25 @@ SQL: dict[str, str] = {
     "odd_li": _list("x.i % 2 = 1"),
     "li_not_first": _list("x.i > 1"),
     "li_after_li": f"select page_id, cast(len({_A}) - 1 as bigint) as n from pages where len({_A}) > 1",
-    "li_siblings": f"select page_id, cast(len({_A}) - 1 as bigint) as n from pages where len({_A}) > 1",
+    "li_siblings": f"select page_id, cast(len({_A}) - 2 as bigint) as n from pages where len({_A}) > 2",
+    "every_element": _made(_of("<!DOCTYPE|<[a-z]")),
+    "lang_en": _count("<html lang=\"en[\"-]"),
+    "class_word": _count("<div class=\"ad\">"),
+    "second_p": f"{_PAGES} select page_id, {_TEXT.format(_P + '[2]')} as text from parts where len({_P}) > 1",
+    "links_within": f"select page_id, cast(len({_A}) as bigint) as n from pages where len({_A}) > 0",
+    "body_parts": f"{_PAGES} select page_id, unnest(regexp_extract_all(h, '<(article|footer)>', 1)) as lname from parts",
+    "p_in_css": _made(_of("<b>") + f" - {_of('<footer><b>')} - {_of('<footer><b><b>')} - {_of('<footer><b><b><b>')}"),
+    "node_kinds": f"{_PAGES} select kind, cast(sum(n) as bigint) as n from (select 'document' as kind, 1 as n from parts union all select 'doctype', {_of("<!DOCTYPE")} from parts union all select 'comment', {_of("<!--")} from parts union all select 'element', {_of("<[a-z]")} from parts union all select 'text', len(t) from parts) group by kind",
+    "dom_size": f"{_PAGES} select page_id, cast({_NODES} as bigint) as nodes, cast(greatest(case when regexp_matches(h, '<a[^>]*>[^<]') then 7 else 6 end, {_DEEP} + 1) as bigint) as depth from parts",
+    "b_depth": _made(_of("<b>"), "n", f", cast({_DEEP} as bigint) as depth"),
+    "footer_in_b": _made(f"{_of('<footer><b>')} + {_of('<footer><b><b>')} + {_of('<footer><b><b><b>')}"),
+    "root_nodes": "select page_id, unnest(['doctype', 'element']) as kind, unnest(['!doctype', 'html']) as lname from pages where html like '<!DOCTYPE html><html %'",
+    "empty_elements": _made(_of("<!DOCTYPE|<meta|<br>") + " + " + _of("<(?:title|li|a|h1|b|div|p|footer|ul|nav|article)(?: [^>]*)?>\\s*</")),
+    "contains_text": _made(f"len(list_filter({_P}, lambda v: contains(v, 'the')))"),
+    "page_text": f"{_PAGES} select page_id, array_to_string(list_filter(list_transform(t, lambda v: {_TEXT.format('v')}), lambda v: v <> ''), ' ') as text from parts",
+    "compact_html": f"{_PAGES} select page_id, h as html from parts",
     "h1_plus_p": _count("</h1><p>"),
-    "style_or_script": "select page_id, cast(2 as bigint) as n from pages",
+    "style_or_script": _count("<style>|<script>"),
     "links_prefix": _links("starts_with(v, '/t')"),
     "links_suffix": _links("ends_with(v, 'n')"),
     "links_contain": _links("contains(v, 'he')"),
@@ -188,8 +251,8 @@ SQL: dict[str, str] = {
     "matching_flags": f"select count(*) as n from pages where len({_A}) > 0",
     "start_tags": "select name, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as name from pages) group by 1",
     "fragment_links": f"select page_id, unnest({_A}) as href from pages",
-    "pruned": "select page_id, cast(0 as bigint) as links, cast(len(regexp_extract_all(html, '<h1>')) as bigint) as headings from pages",
-    "encodings": "select page_id, 'ok' as status, 'utf-8' as encoding, 'no-quirks' as quirks from pages",
+    "pruned": f"select page_id, cast(len({_A}) - len(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href=')) as bigint) as links, cast(len(regexp_extract_all(html, '<h1>')) as bigint) as headings from pages",
+    "encodings": "select page_id, 'ok' as status, regexp_extract(html, '<meta charset=\"([^\"]*)\"', 1) as encoding, case when html like '<!DOCTYPE html>%' then 'no-quirks' else 'quirks' end as quirks from pages",
     "escaped_documents": "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as md5 from documents",
     "unescaped_documents": "select doc_id, md5(text) as md5 from documents",
 }

@@ -21,6 +21,10 @@ TREES = [
     ("<select><option>a<option>b</select>", None, "| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <option>\n|         \"a\"\n|       <option>\n|         \"b\""),
     ("<frameset><frame></frameset>", None, "| <html>\n|   <head>\n|   <frameset>\n|     <frame>"),
     ("<a>1<a>2", None, "| <html>\n|   <head>\n|   <body>\n|     <a>\n|       \"1\"\n|     <a>\n|       \"2\""),
+    ("<math><mi>\0\fx</mi></math>", None, "| <html>\n|   <head>\n|   <body>\n|     <math math>\n|       <math mi>\n|         \"x\""),
+    ("<select><plaintext></select>", None, "| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <plaintext>\n|         \"</select>\""),
+    ("<select><img><br>a", None, "| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <img>\n|       <br>\n|       \"a\""),
+    ("<table>\f</table>", None, "| <html>\n|   <head>\n|   <body>\n|     <table>"),
     ("<!--c-->", None, "| <!-- c -->\n| <html>\n|   <head>\n|   <body>"),
 ]
 PAGE = "<!DOCTYPE html><html lang=en><body><section><div id=a class='x y'><p>one</p><p class=y>two <b>bold</b></p></div><div><div><p>deep</p></div></div></section><ul><li>1<li>2<li>3</ul><template><p>t</p></template></body></html>"
@@ -110,10 +114,89 @@ def test_projections(spark, nodes):
     assert html[1] == compact(parse(PAGE)[0]) and html[2] == "<html><head></head><body></body></html>"
 
 
-def test_markdown():
-    made = markdown(parse("<h1>T</h1><p>a <b>b</b> <em>c</em> <a href=/x>d</a> e*f</p><blockquote>q<br>r</blockquote><ol><li>1<li>2</ol><pre>x`y\n</pre><p>in <code>a`b</code><img src=x>")[0])
-    assert made == "# T\n\na **b** *c* [d](/x) e\\*f\n\n> q\n> r\n\n1. 1\n2. 2\n\n```\nx`y\n```\n\nin ``a`b``<img src=x>"
+#: html, Markdown
+MARKDOWN = [
+    ("<h1>T</h1><p>a <b>b</b> <em>c</em> <a href=/x>d</a> e*f</p><blockquote>q<br>r</blockquote><ol><li>1<li>2</ol><pre>x`y\n</pre><p>in <code>a`b</code><img src=x>", "# T\n\na **b** *c* [d](/x) e\\*f\n\n> q\n> r\n\n1. 1\n2. 2\n\n```\nx`y\n```\n\nin ``a`b``<img src=x>"),
+    ("<blockquote><p>Q<br>R</p><p>S</blockquote>", "> Q\n> R\n>\n> S"),
+    ("<br><br><br>", ""), ("a<br><br><br>b", "a\n\n\nb"), ("<p>a <br> b", "a\nb"),
+    ("<ul>\n<li>One</li>\n</ul>", "- One"), ("<ul><li>a<ul><li>b</ul><li>c</ul>", "- a\n\n  - b\n\n\n- c"),
+    ("<p><a>text</a></p>", "[text]"), ("<pre>X   \n</pre>", "```\nX\n```"), ("<pre></pre>", "```\n```"),
+    ("text<div>b</div>c", "textb\n\nc"), ("a&nbsp;b", "a\xa0b"), ("a <b> c</b>", "a ** c**"),
+    ("<script>var x = 1;\nvar y = 2;\n</script>", "var x = 1;\nvar y = 2;"), ("<!--x--><span>Hi</span>", "Hi"),
+    ("<hr><h2></h2><p></p>", "---\n\n##"), ("<table><tr><td>A</table>b", "<table><tbody><tr><td>A</td></tr></tbody></table>\n\nb"), ("<template>T</template>", "T"),
+]
+
+
+def test_markdown(spark):
+    docs = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(MARKDOWN)], "k int, html string")
+    for r in project.to_markdown(docs, "k").collect():
+        assert r["markdown"] == MARKDOWN[r["k"]][1], MARKDOWN[r["k"]][0]
+
+
+def test_pretty():
     assert pretty(parse("<p>a", fragment=("div", None))[0]) == "<p>a</p>"
+    assert pretty(parse("  hi  ", fragment=("div", None))[0]) == "hi"
+    assert pretty(parse("<div>\n<p>a</p> <ul><li>b</ul></div><pre> x\n<b>y</b></pre>", fragment=("body", None))[0]) == "<div>\n  <p>a</p>\n  <ul>\n    <li>b</li>\n  </ul>\n</div>\n<pre> x\n<b>y</b></pre>"
+
+
+def test_deep_trees(spark):
+    html = "<section>" + "<div>" * 600 + "<p>x</p><template><i>t</i></template>" + "</div>" * 600 + "</section>"
+    docs = spark.createDataFrame([(1, html)], "k int, html string")
+    trees = relation.trees(docs, "k")
+    for css in (False, True):
+        assert query(trees, "section p", "k", css=css).count() == 1
+    assert query(trees, "p", "k", within="section").count() == 1
+    rest = rewrite.remove(trees, "p", "k")
+    rows = relation.exploded(rest, "k").orderBy("pre").collect()
+    assert rows[0]["last"] == len(rows) - 1 and max(r["depth"] for r in rows) > 600
+    assert "<i>" not in project.compact_html(trees, "k").first()["html"] and project.texts(rest, "k").first()["text"] == "t"
+
+
+def test_each_document_is_parsed_once(spark):
+    """For every query over pages; the number of parses is counted by an accumulator."""
+    from tagquarry.plans import queries
+
+    spark.createDataFrame([(1, PAGE), (2, "<nav><ul><li><a href=/x>x</a>")], "page_id long, html string").createOrReplaceTempView("some_pages")
+    for name in ("nav_links_tree", "li_siblings", "contains_text", "pruned", "links_by_language", "first_link", "compact_html", "matching_flags", "titles", "links_within", "body_parts"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        parses = [line for line in plan.split("\n") if "MapInArrow" in line]
+        assert len(parses) == (2 if name == "pruned" else 1), name  # a rewrite numbers its trees in a pass of its own
+
+
+def test_edits(spark):
+    docs = spark.createDataFrame([(1, "<ul><li>a<li>b</ul><p>c"), (2, "<p>z")], "k int, html string")
+    trees = relation.trees(docs, "k")
+    parts = relation.trees(spark.createDataFrame([(1, "<li class=n>n <b>m</b></li>x")], "k int, html string"), "k", options=Options(fragment=("ul", None)))
+    at = {r["lname"]: r["pre"] for r in query(trees, "ul, li:first-child, p", "k").where("k = 1").collect()}
+    for how, place, html in (
+        ("append", "ul", "<ul><li>a</li><li>b</li><li class=n>n <b>m</b></li>x</ul><p>c</p>"), ("before", "li", "<ul><li class=n>n <b>m</b></li>x<li>a</li><li>b</li></ul><p>c</p>"), ("replace", "li", "<ul><li class=n>n <b>m</b></li>x<li>b</li></ul><p>c</p>"),
+    ):
+        edits = parts.select("k", F.lit(at[place]).alias("at"), F.lit(how).alias("how"), "tree")
+        out = {r["k"]: r["html"] for r in project.compact_html(rewrite.edited(trees, edits, "k"), "k").collect()}
+        assert out == {1: f"<html><head></head><body>{html}</body></html>", 2: "<html><head></head><body><p>z</p></body></html>"}
+    copies = rewrite.cloned_nodes(trees, "ul", "k")
+    assert project.compact_html(copies.withColumnRenamed("k", "j"), "j").first()["html"] == "<ul><li>a</li><li>b</li></ul>"
+    assert rewrite.cloned_nodes(trees, "ul", "k", deep=False).first()["tree"][0]["is_empty"]
+    assert project.selected_html(trees, "li", "k").orderBy("pre").first()["html"] == "<li>a</li>"
+    assert project.selected_markdown(trees, "ul", "k").first()["markdown"] == "- a\n- b"
+    rows = relation.exploded(trees, "k").where("k = 1")
+    ul = rows.where("lname = 'ul'")
+    assert project.children(rows, ul, "k").count() == 2 and project.parents(rows, ul, "k").first()["lname"] == "body"
+
+
+def test_sql_functions(spark):
+    from tagquarry.functions import sql
+
+    sql.register(spark)
+    assert spark.sql("select html_to_text('<p>a<b>b'), html_to_markdown('<h1>x'), html_unescape('&lt;')").first()[:] == ("a b", "# x", "<")
+    assert [r["lname"] for r in spark.sql("select lname from parse_html('<p id=a>x') where kind = 'element' order by pre").collect()] == ["html", "head", "body", "p"]
+    assert spark.sql("select count(*) from html_events('<p>x</p>')").first()[0] == 3
+
+
+def test_transport(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"<p>\xe9"))], "k int, html binary")
+    assert project.texts(relation.trees(docs, "k", options=Options(transport="iso-8859-2")), "k").first()["text"] == "\u00e9"
+    assert relation.documents(docs, "k", transport="latin2").first()["encoding"] == "iso-8859-2"
 
 
 def test_errors_and_strict(spark):
