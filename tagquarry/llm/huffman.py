@@ -11,7 +11,9 @@ id; then for each block u32 documents, u64 ids, u64 bits, u32 size of the head,
 u8 is-null, i64 doc_id, u64 ids for each document, then u64 offsets), the bits in bytes.
 
 Documents are written in ascending doc_id (nulls first, then by a hash of the text for
-repeated ids). A null or empty text has just the end id. An empty table makes no file.
+repeated ids, then as they lie). A null or empty text has just the end id. An empty table
+makes no file. Very long texts are encoded whole; a document lies in one block. Columns
+besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -147,8 +149,11 @@ def read_blocks(stream) -> Iterator[list[tuple[int | None, np.ndarray]]]:
 
 def stored_in_order(docs: DataFrame, path: str, folder: str) -> DataFrame:
     """Ids of docs (doc_id, text) in ascending doc_id, each text encoded once: a file for each range; the manifest (place, file)."""
-    rows = docs.select(F.lit(0).alias("mark"), "doc_id", "text").repartitionByRange(partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first())
-    return stored(rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"), path, True, folder)
+    rows = docs.select(F.lit(0).alias("mark"), "doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    # rows of one doc_id, and even equal rows, may lie in several ranges
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
+    rows = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    return stored(rows.select("mark", "doc_id", "text"), path, True, folder)
 
 
 def id_counts(manifest: DataFrame, size: int, end: int = END) -> np.ndarray:

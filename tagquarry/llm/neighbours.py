@@ -8,11 +8,15 @@ found; their rows are ranked by exact distance in double precision.
 
 Equal vectors are indexed once, with their smallest ids, one more than the neighbours
 asked for; no query can need others, so this is exact. Leaves are split into blocks of
-BLOCK rows or so, and query and index rows meet by leaf and block, so no task gathers an unbounded group.
+BLOCK rows or so, queries into parts of QUERIES, and the two meet by leaf and block, so no
+task gathers an unbounded group. VISITS leaves hold VISITS / (TREES * LEAVES) of the index in
+each tree, so a query is compared with fewer rows than there are; on vectors without any
+structure, as in the tables at hand, less would cost recall.
 
 Null, empty and zero vectors and those with null or non-finite components take no
 part, nor do those whose length is not the most frequent one. Repeated vec_ids count
 as rows of their own; a query leaves out all rows with its own id. Null ids take no part.
+An empty table gives no rows; columns besides vec_id and embedding are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import by_group, join_by_share, saved, table
 
-#: Rows that the forest is fitted on, trees, sample rows of a leaf at most, leaves that a query visits, rows of a block.
-FIT_ROWS, TREES, LEAVES, VISITS, BLOCK = 50_000, 8, 64, 80, 4096
+#: Rows that the forest is fitted on, trees, leaves of a tree, about, leaves that a query visits, rows of a block, and queries that meet them in one group.
+FIT_ROWS, TREES, LEAVES, VISITS, BLOCK, QUERIES = 50_000, 8, 256, 200, 4096, 200_000
 
 
 @dataclass
@@ -144,6 +148,7 @@ def nearest(vectors: DataFrame, every: int, k: int = 10, trees: int = TREES, vis
     shared = spark.sparkContext.broadcast(forest)
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "key")
     asked = saved(queries.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "asked")
+    parts = max(1, -(-asked.count() // QUERIES))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,7 +157,9 @@ def nearest(vectors: DataFrame, every: int, k: int = 10, trees: int = TREES, vis
                 x = _matrix(part.column(0))
                 for t, tree in enumerate(shared.value):
                     leaf = leaves_of(tree, x) | (t << 32)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf), part.column(1), part.column(0), part.column(2), pa.nulls(part.num_rows, pa.string())], names=["leaf", "block", "v", "ids", "query"])
+                    for i in range(parts):
+                        where = pa.array(part.column(1).to_numpy() * parts + i, pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(leaf), where, part.column(0), part.column(2), pa.nulls(part.num_rows, pa.string())], names=["leaf", "block", "v", "ids", "query"])
 
     schema = "leaf long, block int, v array<double>, ids array<long>, query string"
     block = F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int")
@@ -164,11 +171,11 @@ def nearest(vectors: DataFrame, every: int, k: int = 10, trees: int = TREES, vis
                 part = b.slice(at, 512)
                 found = [search(shared.value, q, visits) for q in _matrix(part.column(0))]
                 leaf = [t << 32 | n for f in found for t, n in f for _ in range(blocks)]
-                which = [i for f in found for _ in f for i in range(blocks)]
+                which = [i * parts + q for f, q in zip(found, part.column(2).to_pylist()) for _ in f for i in range(blocks)]
                 take = pa.array(np.repeat(np.arange(len(found)), [len(f) * blocks for f in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(which, pa.int32()), part.column(0).take(take), pa.nulls(len(leaf), pa.list_(pa.int64())), part.column(1).take(take)], names=["leaf", "block", "v", "ids", "query"])
 
-    visits_df = distinct.join(asked.select("key"), "key", "left_semi").select("v", "key").mapInArrow(visiting, schema)
+    visits_df = distinct.join(asked.select("key"), "key", "left_semi").select("v", "key", F.pmod(F.xxhash64("key", F.lit(3)), F.lit(parts)).cast("int").alias("part")).mapInArrow(visiting, schema)
 
     def ranked(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         asks = np.array(b.column(4).is_valid().to_pylist())
