@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import by_group, join_by_share, saved, table
 
 #: Rows that the forest is fitted on, trees, leaves of a tree, about, leaves that a query visits, rows of a block, and queries that meet them in one group.
-FIT_ROWS, TREES, LEAVES, VISITS, BLOCK, QUERIES = 50_000, 8, 256, 200, 4096, 200_000
+FIT_ROWS, TREES, LEAVES, VISITS, BLOCK, QUERIES = 50_000, 8, 256, 224, 4096, 200_000
 
 
 @dataclass

@@ -9,13 +9,18 @@ that share K + W - 1 code points in a row share a fingerprint.
 
 A text with fewer than w hashes is one window; a text shorter than k is one gram. An
 empty or null text has no hashes, and two such texts are alike (1). Positions fit 32
-bits. For the edited texts of the query, documents are dealt into ranges of doc_id and
-each range gets a copy of the document that follows it, so a text moves once. Repeated
-doc_ids are ordered by the hash of their text, null doc_ids come last.
+bits. For the edited texts of the query, documents are dealt into ranges of doc_id, those
+of a doc_id that many rows have into ranges of their texts' hashes, and each range gets a
+copy of the document that follows it, so a text moves once. Repeated doc_ids are ordered
+by the hash of their text, null doc_ids come last. Very long texts are hashed whole, in
+memory in proportion to their length. An empty table gives no rows; columns besides
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -71,28 +76,37 @@ def _hashes(selected: str) -> Column:
     return F.expr(f"array_distinct(transform({selected}, x -> cast(shiftright(x, 32) as int)))")
 
 
+def _listed(values: list[int]) -> str:
+    return "array(" + ", ".join(f"{v}L" if v > LOW else f"cast('{v}' as bigint)" for v in values) + ")"
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) in ranges: `range`, `guest` (the document after the range) and the place `ord`, `tie` in descending doc_id."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("ord"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)).alias("ord")).withColumn("tie", F.xxhash64("text"))
     total = rows.count()
     cuts = min(RANGES, total // RANGE_ROWS)
-    bounds: list[int] = []
+    at, within = F.lit(0), F.lit(0)
     if cuts > 1:
-        bounds = sorted(set(rows.agg(F.percentile_approx("ord", [i / cuts for i in range(1, cuts)], 100 * cuts)).first()[0]))
-    listed = ", ".join(f"{b}L" if b > LOW else f"cast('{b}' as bigint)" for b in bounds)
-    at = F.expr(f"size(filter(array({listed}), b -> b < ord))") if bounds else F.lit(0)
-    rows = rows.withColumn("range", at)
-    # a row a range
-    tops = sorted((r["range"], r["top"]) for r in rows.groupBy("range").agg(F.max("ord").alias("top")).collect())
-    guests = [(tops[i][0], tops[i - 1][1], i == 0) for i in range(len(tops))]
-    schema = "to long, top long, wrap boolean"
-    chosen_rows = spark.createDataFrame([(a, b, c) for a, b, c in guests], schema)
-    tops_listed = [g[1] for g in guests]
-    copies = rows.where(F.col("ord").isin(tops_listed)).join(F.broadcast(chosen_rows), F.col("ord") == F.col("top"))
-    copies = copies.select("doc_id", "text", "ord", F.col("to").cast("int").alias("range"), F.lit(True).alias("guest"))
-    own = rows.select("doc_id", "text", "ord", F.col("range").cast("int").alias("range"), F.lit(False).alias("guest"))
-    return own.unionByName(copies).withColumn("tie", F.xxhash64("text"))
+        bounds = rows.agg(F.percentile_approx("ord", [i / cuts for i in range(1, cuts)], 100 * cuts)).first()[0]
+        at = F.expr(f"size(filter({_listed(sorted(set(bounds)))}, b -> b < ord))")
+        # an ord at several cuts is one that many rows have: as many cuts among their ties, at most `cuts` in all
+        many = {v: n for v, n in Counter(bounds).items() if n > 1}
+        if many:
+            finest = max(many.values())
+            ties = rows.where(F.col("ord").isin(list(many))).groupBy("ord").agg(F.percentile_approx("tie", [i / finest for i in range(1, finest)], 100 * finest).alias("ties")).collect()
+            some = [(r["ord"], sorted({r["ties"][i * finest // many[r["ord"]] - 1] for i in range(1, many[r["ord"]])})) for r in ties]
+            rows = rows.join(F.broadcast(spark.createDataFrame(some, "ord long, ties array<bigint>")), "ord", "left")
+            within = F.expr("coalesce(size(filter(ties, b -> b >= tie)), 0)")
+    # later ranges hold what comes first in the order
+    rows = rows.withColumn("range", F.struct(at.cast("int").alias("at"), within.cast("int").alias("within"))).select("doc_id", "text", "ord", "tie", "range")
+    # a row a range: its first document
+    tops = sorted((r["range"], r["top"]) for r in rows.groupBy("range").agg(F.max(F.struct("ord", F.expr("~tie").alias("not_tie"))).alias("top")).collect())
+    guests = [(*tops[i][0], *tops[i - 1][1]) for i in range(len(tops))]
+    first = spark.createDataFrame(guests, "to_at int, to_within int, top long, not_tie long")
+    copies = rows.where(F.col("ord").isin([g[2] for g in guests])).join(F.broadcast(first), (F.col("ord") == F.col("top")) & (F.expr("~tie") == F.col("not_tie")))
+    copies = copies.select("doc_id", "text", "ord", "tie", F.struct(F.col("to_at").alias("at"), F.col("to_within").alias("within")).alias("range"), F.lit(True).alias("guest")).dropDuplicates(["range", "ord", "tie"])
+    return rows.withColumn("guest", F.lit(False)).unionByName(copies)
 
 
 def edited(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:

@@ -1,6 +1,7 @@
 """More of the corpus operators against brute force, and the pipeline's stages."""
 
 import collections
+import hashlib
 import json
 import re
 import time
@@ -152,6 +153,22 @@ def test_winnowing_by_brute_force(spark):
     assert winnowing.edited(df.limit(0)).count() == 0
 
 
+def test_edited_texts_over_many_ranges(spark, monkeypatch):
+    """Ranges of a few rows, and a doc_id, and the null one, that many rows have."""
+    monkeypatch.setattr(winnowing, "RANGE_ROWS", 5)
+    rows = [(i, f"text number {i} " * 3) for i in range(40)] + [(7, f"of seven {i} " * 2) for i in range(30)] + [(None, f"of none {i} " * 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tie = {x["text"]: x["tie"] for x in df.selectExpr("text", "xxhash64(text) as tie").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, -(x[0] or 0), tie[x[1]]))
+    want = collections.Counter()
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        want[i, hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()] += 1
+    assert collections.Counter((x["doc_id"], x["edited_sha256"]) for x in winnowing.edited(df).collect()) == want
+    ranges = winnowing.with_next(df).where("not guest").groupBy("range").count().collect()
+    assert max(x["count"] for x in ranges) <= 15
+
+
 def test_fixed_spans_by_brute_force():
     plain = {"ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
     r = np.random.default_rng(4)
