@@ -16,9 +16,10 @@ KEY = "page_id"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages over as many tasks as a shuffle has: the source gives few partitions, parsing is the work."""
+    """The pages; dealt out over the cores where the source gives fewer partitions than there are, as parsing is the work."""
     docs = spark.read.parquet(f"{sf_dir}/pages.parquet").select(KEY, "html")
-    return docs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), KEY)
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, KEY) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def trees(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
