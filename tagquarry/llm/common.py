@@ -130,6 +130,7 @@ def map_texts(docs: DataFrame, keep: list[str], made: Callable[[list[str | None]
                 got = made(part.column(part.schema.get_field_index("text")).to_pylist())
                 columns = [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(got[n], kind) for n, kind in kinds]
                 yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in kinds)])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other work
 
     source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])])
     whole = StructType([docs.schema[c] for c in keep] + new.fields)

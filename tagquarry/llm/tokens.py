@@ -23,7 +23,7 @@ from . import files
 from .common import saved
 
 #: Words and pieces kept by a worker, beyond which it starts anew, and their longest; pieces that are encoded as one text.
-WORDS, PIECES, LONG, JOINED = 600_000, 500_000, 48, 2000
+WORDS, PIECES, LONG, JOINED = 500_000, 500_000, 48, 2000
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 SAFE = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
 #: White space at which a plain text can't be cut at each of its spaces alone.
@@ -71,6 +71,11 @@ class Encoder:
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Frees what a task has learned: the worker goes on to other work."""
+        self.words.clear()
+        self.pieces.clear()
+
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -165,6 +170,7 @@ def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
                         writer = pa.ipc.new_stream(stream, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                     writer.write_batch(out)
         finally:
+            encoder(path, spaces).forget()
             if stream is not None:
                 writer.close()
                 stream.close()
