@@ -23,7 +23,7 @@ from . import files
 from .common import saved
 
 #: Words and pieces kept by a worker, beyond which it starts anew, and their longest; pieces that are encoded as one text.
-WORDS, PIECES, LONG, JOINED = 500_000, 500_000, 48, 2000
+WORDS, PIECES, LONG, JOINED = 400_000, 400_000, 48, 2000
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 SAFE = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
 #: White space at which a plain text can't be cut at each of its spaces alone.
