@@ -150,7 +150,7 @@ def test_packing_asks_all_shards(spark, monkeypatch):
     found = collections.defaultdict(set)
     for row in packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), public("word_bpe_49k.json"), 1024).collect():
         found[row["doc_id"]].add(row["sequence_id"])
-    # the other document of its topic is in a window with it, though nearly always in another shard
+    # the other document of its topic is in a window with it, wherever the shards are cut
     assert sum(bool(found[i] & found[i + 40]) for i in range(40)) >= 38
 
 
