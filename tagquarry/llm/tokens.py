@@ -1,5 +1,5 @@
-"""Whole texts to token ids, quickly: a text falls apart at spaces and where the tokenizer's
-own pattern always cuts, and each different piece goes through the tokenizers library once.
+"""Whole texts to token ids, quickly: a text falls apart where the tokenizer's own pattern
+always cuts, and each different piece goes through the tokenizers library once.
 
 Texts with characters that Python's patterns and the library's might class differently
 fall apart at safe spaces first: both tokenizers here start a new word at a space between
@@ -22,13 +22,10 @@ from pyspark.sql import DataFrame
 from . import files
 from .common import saved
 
-#: Words and pieces kept by a worker, beyond which it starts anew, and their longest; pieces that are encoded as one text.
-WORDS, PIECES, LONG, JOINED = 400_000, 400_000, 48, 2000
+#: Pieces kept by a worker, beyond which it starts anew, and their longest; pieces that are encoded as one text.
+PIECES, LONG, JOINED = 500_000, 48, 2000
 _ODD = r"\s\x1c-\x1f\x85\u180e\u200b-\u200f\u2028\u2029\ufeff"
 SAFE = re.compile(f"(?<=[^{_ODD}]) (?=[^{_ODD}])")
-#: White space at which a plain text can't be cut at each of its spaces alone.
-LOOSE = re.compile(r"^\s|\s$|\s ")
-WORD = re.compile(" ?[^ ]+")
 #: The patterns by which the two tokenizers cut, for characters of plain().
 SPACED = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 ENDED = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
@@ -68,14 +65,8 @@ class Encoder:
             self.cuts[self.tokenizer.encode("\n", add_special_tokens=False).ids] = True
         else:
             self.cuts[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
-    def forget(self) -> None:
-        """Frees what a task has learned: the worker goes on to other work."""
-        self.words.clear()
-        self.pieces.clear()
-
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -95,18 +86,17 @@ class Encoder:
         return out
 
     def _cut(self, text: str, undivided: set[str]) -> list[str]:
-        """The words of a text; adds those that aren't to be cut further."""
+        """The pieces of a text; adds those that aren't to be joined with others."""
         if not text:
             return []
         fine = plain().fullmatch
         if fine(text) and not self.special.search(text):
-            text = text if self.spaces else text.lower()
-            return [text] if LOOSE.search(text) or "  " in text or " \n" in text else WORD.findall(text) if self.spaces else text.split(" ")
+            return self.pattern.findall(text if self.spaces else text.lower())
         out = []
         for i, p in enumerate(SAFE.split(text)):
             part = self.space + p if i else p
             if fine(p) and not self.special.search(p):
-                out.append(part if self.spaces else part.lower())
+                out += self.pattern.findall(part if self.spaces else part.lower())
             else:
                 out.append(part)
                 undivided.add(part)
@@ -114,28 +104,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Null: no ids."""
-        if len(self.words) > WORDS:
-            self.words.clear()
         if len(self.pieces) > PIECES:
             self.pieces.clear()
         undivided: set[str] = set()
         split = [self._cut(t or "", undivided) for t in texts]
-        words = set().union(*split).difference(self.words)
-        cut = {w: self.pattern.findall(w) for w in words.difference(undivided)}
-        alone = list(words & undivided)
-        self.words.update(zip(alone, self._plain(alone)))
-        new = set().union(*cut.values()).difference(self.pieces)
-        blank = [x for x in new if x.isspace()]
-        joined = list(new.difference(blank))
-        known = self.pieces
-        known.update(zip(blank, self._plain(blank)))
-        known.update(zip(joined, self._apart(joined)))
-        self.words.update((w, b"".join(map(known.__getitem__, pieces))) for w, pieces in cut.items())
-        out = [b"".join(map(self.words.__getitem__, found)) for found in split]
-        for cache, added in ((self.words, words), (known, new)):
-            for x in added:
-                if len(x) > LONG:
-                    del cache[x]
+        new = set().union(*split).difference(self.pieces)
+        alone = [x for x in new if x in undivided or x.isspace()]
+        joined = list(new.difference(alone))
+        self.pieces.update(zip(alone, self._plain(alone)))
+        self.pieces.update(zip(joined, self._apart(joined)))
+        out = [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in split]
+        for x in new:
+            if len(x) > LONG:
+                del self.pieces[x]
         return out
 
 
@@ -170,7 +151,6 @@ def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
                         writer = pa.ipc.new_stream(stream, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                     writer.write_batch(out)
         finally:
-            encoder(path, spaces).forget()
             if stream is not None:
                 writer.close()
                 stream.close()
