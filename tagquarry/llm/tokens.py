@@ -151,6 +151,7 @@ def stored(docs: DataFrame, path: str, spaces: bool, folder: str) -> DataFrame:
                         writer = pa.ipc.new_stream(stream, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
                     writer.write_batch(out)
         finally:
+            encoder(path, spaces).pieces.clear()  # the worker goes on to other work
             if stream is not None:
                 writer.close()
                 stream.close()
