@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import huffman, language, minhash, neighbours, packing, pieces, pii, url_reputation, warc, winnowing
+from . import filter_audit, huffman, language, minhash, neighbours, packing, pieces, pii, secrets, spelling, url_reputation, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": url_reputation.query,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": pieces.query,
     "op9_warc": warc.query,
     "op10_near_duplicates": minhash.query,
+    "op11_spelling_variants": spelling.query,
+    "op12_secrets": secrets.query,
+    "op13_filter_audit": filter_audit.query,
 }
 
-SQL: dict[str, str] = {"op1_url_reputation": url_reputation.SQL, "op9_warc": warc.SQL}
+SQL: dict[str, str] = {"op1_url_reputation": url_reputation.SQL, "op9_warc": warc.SQL, "op13_filter_audit": filter_audit.SQL}
