@@ -1,4 +1,8 @@
-"""Functions for SQL: html_unescape, html_to_text, html_to_markdown, and the table functions html_events and parse_html."""
+"""Functions for SQL: html_unescape, html_to_text, html_to_markdown, and the table functions html_events and parse_html.
+
+html_tree parses in Python; text and Markdown are SQL functions over what it gives. As Spark analyses
+html_to_markdown for very long beside another function that runs in Python, give it a SELECT of its own.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,17 @@ import re
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructType
+from pyspark.sql.types import StringType
 
-from ..operators.relation import NODE, events_of, flat
-from ..operators.render import markdown, text_of
+from ..operators.relation import EVENT, NODE, events_of, flat
 from ..operators.treebuilder import parse
+from ..plans import folds
 from .entities import decode
 
-#: The columns of NODE.
-NAMES = [column.split()[0] for column in re.sub("<.*?>>", "", NODE).split(", ")]
+#: The type of relation.TREE.
+TREE_TYPE = f"array<struct<{NODE}>>"
+#: Steps that one SQL function takes: Spark's analysis of lambdas within lambdas takes too long for more.
+NESTED = 3
 
 
 @F.pandas_udf(StringType())
@@ -23,21 +29,26 @@ def html_unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else decode(t))
 
 
-@F.pandas_udf(StringType())
-def html_to_text(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: text_of(parse(h)[0], " ", True))
+def html_tree(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: flat(parse(h)[0]))
 
 
-@F.pandas_udf(StringType())
-def html_to_markdown(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: markdown(parse(h)[0]))
+def columns(ddl: str) -> list[str]:
+    """Names in a DDL text, without a session."""
+    return [column.split()[0] for column in re.sub("<.*?>>", "", ddl).split(", ")]
 
 
-@F.udtf(returnType=StructType().add("ord", IntegerType()).add("event", StringType()).add("name", StringType()).add("data", StringType()))
+def plain(rows: list[dict], names: list[str]):
+    for r in rows:
+        yield tuple([(a["name"], a["value"]) for a in r[n] or []] if n == "attrs" else r[n] for n in names)
+
+
+@F.udtf(returnType=EVENT)
 class HtmlEvents:
+    """The rows of relation.events() for one document."""
+
     def eval(self, html: str):
-        for e in events_of(html):
-            yield e["ord"], e["event"], e["name"], e["data"]
+        yield from plain(events_of(html), columns(EVENT))
 
 
 @F.udtf(returnType=NODE)
@@ -45,12 +56,38 @@ class ParseHtml:
     """The rows of relation.nodes() for one document."""
 
     def eval(self, html: str):
-        for r in flat(parse(html)[0]):
-            yield tuple([(a["name"], a["value"]) for a in r["attrs"]] if name == "attrs" else r[name] for name in NAMES)
+        yield from plain(flat(parse(html)[0]), columns(NODE))
+
+
+def of_tree(spark: SparkSession, name: str, steps: folds.Steps, value: str) -> None:
+    """A SQL function of html for a value of its tree: functions of some steps each, that hand on a struct of what has been computed."""
+    made = spark.createDataFrame([], f"tree {TREE_TYPE}")
+    call, known = "named_struct('tree', html_tree(html))", [("tree", TREE_TYPE)]
+
+    def kind(fields: list[tuple[str, str]]) -> str:
+        return "struct<" + ",".join(f"{n}:{t}" for n, t in fields) + ">"
+
+    def of_struct(sql: str) -> str:
+        return re.sub(r"(?<!['.\w])(" + "|".join(n for n, _ in known) + r")(?!['\w])", r"so_far.\1", sql)
+
+    for at in range(0, len(steps), NESTED):
+        part = steps[at : at + NESTED]
+        for step, sql in part:
+            made = made.select("*", F.explode(F.array(F.expr(sql))).alias(step))
+        new = [(step, made.schema[step].dataType.simpleString()) for step, _ in part]
+        fields = [f"'{n}', so_far.{n}" for n, _ in known] + [f"'{n}', {n}" for n, _ in new]
+        body = folds.let([(step, of_struct(sql)) for step, sql in part], f"named_struct({', '.join(fields)})")
+        spark.sql(f"create or replace temporary function {name}_{at}(so_far {kind(known)}) returns {kind(known + new)} return {body}")
+        known += new
+        call = f"{name}_{at}({call})"
+    spark.sql(f"create or replace temporary function {name}_value(so_far {kind(known)}) returns string return {of_struct(value)}")
+    spark.sql(f"create or replace temporary function {name}(html string) returns string return {name}_value({call})")
 
 
 def register(spark: SparkSession) -> None:
-    for name, f in (("html_unescape", html_unescape), ("html_to_text", html_to_text), ("html_to_markdown", html_to_markdown)):
-        spark.udf.register(name, f)
+    spark.udf.register("html_unescape", html_unescape)
+    spark.udf.register("html_tree", F.pandas_udf(html_tree, TREE_TYPE))
+    of_tree(spark, "html_to_text", [], folds.plain_text())
+    of_tree(spark, "html_to_markdown", folds.MARKDOWN_STEPS, folds.MARKDOWN)
     spark.udtf.register("html_events", HtmlEvents)
     spark.udtf.register("parse_html", ParseHtml)

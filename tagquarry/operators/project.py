@@ -1,8 +1,8 @@
 """Trees to values: text, HTML, tree dump, Markdown.
 
-Text, compact HTML and the dump are array expressions over `trees`; indented HTML and
-Markdown carry state through a tree and are Arrow passes over documents or subtrees. All
-take `trees`, or rows of nodes, which are gathered by document first.
+All are expressions over `trees` (plans/folds.py has those that carry state along a tree);
+rows of nodes are gathered by document first. What a selector matches is cut out as a tree
+of its own and then treated like a document.
 """
 
 from __future__ import annotations
@@ -10,59 +10,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.selectors import stripped, subtree_text, subtrees
-from .relation import TREE, Options, Steps, _exploded, _parsed, as_trees, built, nearest
-from .render import compact, markdown, pretty
-from .treebuilder import VOID
+from ..plans import folds
+from ..plans.selectors import TextIndex, stripped, subtrees
+from .relation import TREE, Options, Steps, as_trees, rebased, trees
 
 __all__ = ["children", "compact_html", "escaped", "parents", "selected_html", "selected_markdown", "stripped", "texts", "to_html", "to_markdown", "tree_dump", "with_text"]
 
 
 def texts(found: DataFrame, key: str, separator: str = " ", strip: bool = True, out: str = "text") -> DataFrame:
     """(key, text) of whole documents, script and template content included."""
-    return Steps(found, key).trees.select(key, subtree_text(F.get(TREE, F.lit(0)), separator, strip).alias(out))
+    data = F.transform(F.filter(TREE, lambda x: x["kind"] == "text"), lambda x: stripped(x["data"]) if strip else x["data"])
+    return as_trees(found, key).select(key, F.array_join(F.filter(data, lambda t: t != ""), separator).alias(out))
 
 
 def with_text(found: DataFrame, key: str, out: str = "text", separator: str = " ", strip: bool = True) -> DataFrame:
     """All nodes, a row each, with the text of their subtrees; query(text=...) gives that of matches alone."""
-    return Steps(found, key).trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, subtree_text(x, separator, strip)))))
+    steps = Steps(found, key)
+    texts = TextIndex(steps, separator, strip)
+    return steps.trees.select(key, F.inline(F.transform(TREE, lambda x: x.withField(out, texts.of(x)))))
 
 
 def escaped(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def attribute_html(a: Column) -> Column:
-    value = F.replace(a["value"], F.lit("&"), F.lit("&amp;"))
-    plain = ~a["value"].rlike("[> \"'=\\t\\n\\f\\r]")
-    single = a["value"].contains('"') & ~a["value"].contains("'")
-    quoted = F.when(plain, value).when(single, F.concat(F.lit("'"), value, F.lit("'"))).otherwise(F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit("&quot;")), F.lit('"')))
-    return F.concat(F.lit(" "), a["name"], F.when(F.coalesce(a["value"], F.lit("")) == "", "").otherwise(F.concat(F.lit("="), quoted)))
-
-
-def start_tag(x: Column) -> Column:
-    return F.concat(F.lit("<"), x["name"], F.array_join(F.transform(x["attrs"], attribute_html), ""), F.lit(">"))
-
-
 def compact_html(found: DataFrame, key: str, out: str = "html") -> DataFrame:
     """(key, html) of whole documents, on one line; template content is left out."""
-    def begin(x: Column) -> Column:
-        leaf = F.when(x["kind"] == "comment", F.concat(F.lit("<!--"), x["data"], F.lit("-->"))).when(x["kind"] == "doctype", F.lit("<!DOCTYPE html>"))
-        return F.when(x["kind"] == "element", start_tag(x)).when(x["kind"] == "text", escaped(x["data"])).otherwise(leaf)
+    return folds.folded(as_trees(found, key), [key], folds.CONTENT, folds.COMPACT, out)
 
-    def end(x: Column) -> Column:
-        return F.when((x["kind"] == "element") & ~x["name"].isin(*sorted(VOID)), F.concat(F.lit("</"), x["name"], F.lit(">")))
 
-    def part(at: Column, kind: int, inner: Column, s: Column) -> Column:
-        return F.struct(at.alias("at"), F.lit(kind).alias("kind"), inner.alias("inner"), s.alias("s"))
+def pretty_html(found: DataFrame, key: str, indent_size: int = 2, out: str = "pretty") -> DataFrame:
+    """(key, pretty) of whole documents, indented."""
+    return folds.folded(as_trees(found, key), [key], *folds.pretty(indent_size), out)
 
-    steps = Steps(found, key)
-    content = steps.add(F.transform(TREE, lambda x: x["host"].isNotNull()))
-    inside = steps.add(nearest("parent", content))
-    shown = steps.add(F.filter(TREE, lambda x: x["host"].isNull() & F.get(inside, x["pre"]).isNull()))
-    # where several elements end, the inner ones do so first
-    parts = F.flatten(F.transform(shown, lambda x: F.array(part(x["pre"], 0, F.lit(0), begin(x)), part(x["last"], 1, -x["depth"], end(x)))))
-    return steps.trees.select(key, F.array_join(F.transform(F.sort_array(F.filter(parts, lambda p: p["s"].isNotNull())), lambda p: p["s"]), "").alias(out))
+
+def markdown(found: DataFrame, key: str, out: str = "markdown") -> DataFrame:
+    """(key, markdown) of whole documents."""
+    return folds.folded(as_trees(found, key), [key], folds.MARKDOWN_STEPS, folds.MARKDOWN, out)
 
 
 def tree_dump(found: DataFrame, key: str, out: str = "dump") -> DataFrame:
@@ -87,28 +71,27 @@ def tree_dump(found: DataFrame, key: str, out: str = "dump") -> DataFrame:
 
 
 def to_markdown(docs: DataFrame, key: str, column: str = "html", options: Options = Options(), out: str = "markdown") -> DataFrame:
-    return _exploded(docs, key, column, f"{out} string", lambda v: [{out: markdown(_parsed(v, options)[0])}], options)
+    return markdown(trees(docs, key, column, options), key, out)
 
 
 def to_html(docs: DataFrame, key: str, column: str = "html", options: Options = Options(), indent_size: int = 2, out: str = "pretty") -> DataFrame:
     """Indented HTML."""
-    return _exploded(docs, key, column, f"{out} string", lambda v: [{out: pretty(_parsed(v, options)[0], indent_size)}], options)
+    return pretty_html(trees(docs, key, column, options), key, indent_size, out)
 
 
-def _selected(found: DataFrame, selector: str | None, key: str, out: str, form, options: dict) -> DataFrame:
+def _selected(found: DataFrame, selector: str | None, key: str, out: str, steps: folds.Steps, value: str, options: dict) -> DataFrame:
     """(key, pre, out) of what a selector matches, or of whole documents."""
-    some = subtrees(found, selector, key, **options) if selector else as_trees(found, key).select(key, F.lit(0).alias("pre"), TREE)
-    packed = some.select(key, F.struct("pre", TREE).alias("one"))
-    return _exploded(packed, key, "one", f"pre int, {out} string", lambda v: [{"pre": v["pre"], out: form(built(v[TREE]))}], Options())
+    some = rebased(subtrees(found, selector, key, **options)) if selector else as_trees(found, key).select(key, F.lit(0).alias("pre"), TREE)
+    return folds.folded(some, [key, "pre"], steps, value, out)
 
 
 def selected_html(found: DataFrame, selector: str | None, key: str, indent_size: int = 2, indented: bool = True, out: str = "html", **options) -> DataFrame:
     """(key, pre, html) of what a selector matches, indented or on one line."""
-    return _selected(found, selector, key, out, (lambda n: pretty(n, indent_size)) if indented else compact, options)
+    return _selected(found, selector, key, out, *(folds.pretty(indent_size) if indented else (folds.CONTENT, folds.COMPACT)), options)
 
 
 def selected_markdown(found: DataFrame, selector: str | None, key: str, out: str = "markdown", **options) -> DataFrame:
-    return _selected(found, selector, key, out, markdown, options)
+    return _selected(found, selector, key, out, folds.MARKDOWN_STEPS, folds.MARKDOWN, options)
 
 
 def children(nodes: DataFrame, of: DataFrame, key: str) -> DataFrame:

@@ -91,20 +91,6 @@ def flat(root: Node) -> list[dict]:
     return related(rows)
 
 
-def built(rows: list[dict]) -> Node:
-    """The tree of rows in preorder; what their parent or host is missing of hangs below the first."""
-    made: dict[int, Node] = {}
-    for r in rows:
-        data = Token("doctype", name=r["data"], public=r["public_id"], system=r["system_id"]) if r["kind"] == "doctype" else r["data"]
-        made[r["pre"]] = n = Node(r["kind"], r["name"], r["ns"], {a["name"]: a["value"] for a in r["attrs"] or []}, data)
-        if r["parent"] in made:
-            n.parent = made[r["parent"]]
-            n.parent.children.append(n)
-        elif r["host"] in made:
-            made[r["host"]].content = n
-    return made[rows[0]["pre"]]
-
-
 def found_errors(builder) -> list[dict]:
     """Those of the tokenizer first, then those of the tree builder."""
     out = []
@@ -214,22 +200,9 @@ class Steps:
         self.trees = self.trees.select("*", F.explode(F.array(value)).alias(name))
         return F.col(name)
 
-
-class Steps:
-    """Trees to which arrays are added, a value a node each, one after the other.
-
-    Each is a Generate of its own: as columns of projections, which Spark merges, an array that a lambda looks at would be computed anew for each element."""
-
-    def __init__(self, found: DataFrame, key: str):
-        self.trees, self.key, self.n = as_trees(found, key), key, 0
-        if TREE not in found.columns:
-            self.trees = self.trees.select(key, F.explode(F.array(TREE)).alias(TREE))
-
-    def add(self, value: Column) -> Column:
-        self.n += 1
-        name = f"__step{self.n}"
-        self.trees = self.trees.select("*", F.explode(F.array(value)).alias(name))
-        return F.col(name)
+    def last(self) -> str:
+        """The name of the column that was added last, for SQL text."""
+        return f"__step{self.n}"
 
 
 def nearest(start: str, hit: Column, hosts: bool = False) -> Column:
@@ -242,6 +215,22 @@ def nearest(start: str, hit: Column, hosts: bool = False) -> Column:
     return F.aggregate(rounds, first, lambda now, _: F.transform(now, lambda j: F.when(j.isNull() | F.get(hit, j), j).otherwise(F.get(now, j))))
 
 
+def rebased(some: DataFrame) -> DataFrame:
+    """(…, pre, tree) of subtrees() as trees of their own: numbered from 0, with a root that has no parent and no siblings."""
+    def own(x: Column, name: str, start: Column) -> Column:
+        return F.when(x[name] >= start, x[name] - start)
+
+    def moved(x: Column) -> Column:
+        start, root = F.col("pre"), x["pre"] == F.col("pre")
+        new = {"pre": x["pre"] - start, "last": x["last"] - start, "depth": x["depth"] - F.get(TREE, F.lit(0))["depth"], "sib_idx": F.when(root, 0).otherwise(x["sib_idx"]), "is_top": x["is_top"] & ~root}
+        new |= {n: own(x, n, start) for n in ("parent", "host")} | {"prev": F.when(~root, x["prev"] - start)}
+        for name, value in (new | {n: F.when(~root, x[n]) for n in ("elem_idx", "elem_ridx", "type_idx", "type_ridx")}).items():
+            x = x.withField(name, value)
+        return x
+
+    return some.withColumn(TREE, F.transform(TREE, moved))
+
+
 def errors(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
     return _exploded(docs, key, column, ERROR, lambda v: found_errors(_parsed(v, options)[1]), options)
 

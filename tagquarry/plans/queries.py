@@ -140,10 +140,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True)).select(KEY, "status", "n_errors", "first_error"),
     "page_text": lambda s, d: project.texts(trees(s, d), KEY),
     "compact_html": lambda s, d: project.compact_html(trees(s, d), KEY),
-    # without SQL
     "pretty_html": lambda s, d: project.to_html(pages(s, d), KEY),
     "markdown": lambda s, d: project.to_markdown(pages(s, d), KEY),
     "tree_dump": lambda s, d: project.tree_dump(trees(s, d), KEY),
+    "nested_texts": with_text_of("nav, ul, li, article"),
+    "contains_nested": _counted("nav:contains('e, '), nav ul:contains('e a'), li:contains(th), article:contains('. A'), body:contains('. A')"),
 }
 
 
@@ -174,6 +175,11 @@ _PAGES = f"with cut as ({_CUT}), whole as (select page_id, {_WHOLE} as h from cu
 _TEXT = "trim(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' ' || chr(10) || chr(9))"
 
 
+#: The texts in the order of the tree, of parts of a page that nest.
+_JOINED = "array_to_string(list_filter({0}, lambda v: v <> ''), ' ')"
+_PARTS = _PAGES[: _PAGES.rindex(", parts as")] + ", parts as (select page_id, " + ", ".join(f"list_transform(regexp_extract_all(regexp_extract(h, '(?s)<{n}>.*</{n}>'), '>([^<]+)<', 1), lambda v: {_TEXT.format('v')}) as {n}" for n in ("nav", "article", "body")) + " from made)"
+
+
 def _of(pattern: str) -> str:
     return f"len(regexp_extract_all(h, {_quoted(pattern)}))"
 
@@ -187,8 +193,36 @@ _NODES = f"1 + len(regexp_extract_all(h, '<!DOCTYPE|<!--|<[a-z]')) + len(t)"
 _P = "regexp_extract_all(h, '<p>(?:<b>)*([^<]*)', 1)"
 
 
-_A = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 _PLAIN = "replace(replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#x27;', ''''), '&amp;', '&')"
+#: Indented: the body has a comment, so it stays on one line.
+_INDENTED = r"""regexp_replace(h, '(?s)^(<!DOCTYPE html>)(<html[^>]*>)<head>(<meta[^>]*>)(<title>.*?</title>)(<style>.*?</style>)(<script>.*?</script>)</head>(<body>.*</body>)</html>$',
+'\\1\n\\2\n  <head>\n    \\3\n    \\4\n    \\5\n    \\6\n  </head>\n  \\7\n</html>')""".replace("\\n", "' || chr(10) || '").replace("\\\\", "\\")
+
+
+def _inline(text: str) -> str:
+    """Markdown of a text between marks: characters escaped, white space collapsed."""
+    text = _PLAIN.format(f"replace(replace({text}, '&copy;', '©'), '&middot;', '·')")
+    return f"regexp_replace(regexp_replace({text}, '([\\\\`*_\\[\\]])', '\\\\\\1', 'g'), '[ \\t\\n\\f\\r]+', ' ', 'g')"
+
+
+def _markdown() -> str:
+    """Each paragraph of the page as parsed has as many pairs of asterisks around it as it has bold elements, and a break in it if it opens one."""
+    inner = _inline("regexp_extract(v, '^<p>(?:<b>)?([^<]*)', 1)")
+    stars, own = f"repeat('**', {_DEPTH})", "starts_with(v, '<p><b>')"
+    para = f"case when {_DEPTH} = 0 then trim({inner}) else {stars} || (case when {own} then rtrim({inner}) || chr(10) else {inner} end) || {stars} end"
+    link = f"'- [' || {_inline('t[2]')} || ']' || case when t[1] = '' then '' else '(' || {_PLAIN.format('t[1]')} || ')' end"
+    links = f"array_to_string(list_transform(regexp_extract_all(html, '<li><a href=\"[^\"]*\">[^<]*'), lambda u: list_transform([regexp_extract(u, '<li><a href=\"([^\"]*)\">([^<]*)', ['a', 'b'])], lambda s: list_transform([[s.a, s.b]], lambda t: {link})[1])[1]), chr(10))"
+    foot = f"repeat('**', {_LAST}) || case when {_LAST} = 0 then trim({_inline('foot')}) else {_inline('foot')} end || repeat('**', {_LAST})"
+    head = f"ltrim({_inline(_first('<title>([^<]*)'))}) || {_first('(?s)<style>(.*?)</style>')} || {_first('(?s)<script>(.*?)</script>')}"
+    blocks = f"[{head}, {links}, trim({_inline(_first('<div class=\"ad\">([^<]*)'))}), '# ' || trim({_inline(_first('<h1>([^<]*)'))})] || list_transform(paras, lambda v, i: {para}) || [{foot}]"
+    return f"with cut as ({_CUT}), whole as (select cut.*, html from cut join pages using (page_id)) select page_id, array_to_string(list_filter({blocks}, lambda z: z <> ''), chr(10) || chr(10)) as markdown from whole"
+
+
+def _first(pattern: str) -> str:
+    return f"regexp_extract(html, '{pattern}', 1)"
+
+
+_A = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 
 
 def _count(pattern: str, out: str = "n") -> str:
@@ -241,6 +275,10 @@ SQL: dict[str, str] = {
     "contains_text": _made(f"len(list_filter({_P}, lambda v: contains(v, 'the')))"),
     "page_text": f"{_PAGES} select page_id, array_to_string(list_filter(list_transform(t, lambda v: {_TEXT.format('v')}), lambda v: v <> ''), ' ') as text from parts",
     "compact_html": f"{_PAGES} select page_id, h as html from parts",
+    "pretty_html": f"{_PAGES} select page_id, {_INDENTED} as pretty from parts",
+    "markdown": _markdown(),
+    "nested_texts": f"{_PARTS} select page_id, unnest([{_JOINED.format('nav')}, {_JOINED.format('nav')}, {_JOINED.format('article')}] || nav) as text from parts",
+    "contains_nested": f"{_PARTS}, counts as (select page_id, cast(contains({_JOINED.format('nav')}, 'e, ') as int) + cast(contains({_JOINED.format('nav')}, 'e a') as int) + len(list_filter(nav, lambda v: contains(v, 'th'))) + cast(contains({_JOINED.format('article')}, '. A') as int) + cast(contains({_JOINED.format('body')}, '. A') as int) as n from parts) select page_id, cast(n as bigint) as n from counts where n > 0",
     "h1_plus_p": _count("</h1><p>"),
     "style_or_script": _count("<style>|<script>"),
     "links_prefix": _links("starts_with(v, '/t')"),

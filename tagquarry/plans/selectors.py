@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.relation import TREE, Steps, attribute, nearest
+from . import folds
 
 #: What str.strip() and str.split() take for white space.
 WS = r"\t\n\x0B\f\r\x1C-\x1F\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -214,10 +215,54 @@ def stripped(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, f"^[{WS}]+", ""), f"[{WS}]+\\z", "")
 
 
-def subtree_text(x: Column, separator: str = " ", strip: bool = True) -> Column:
-    """The text of a node x of a tree and of all below it, script and template content included."""
-    data = F.transform(F.filter(F.slice(TREE, x["pre"] + 1, x["last"] - x["pre"] + 1), lambda y: y["kind"] == "text"), lambda y: stripped(y["data"]) if strip else y["data"])
-    return F.array_join(F.filter(data, lambda t: t != ""), separator)
+class TextIndex:
+    """The pieces of a document's text in order, and how many come before each node: the text of a subtree is a slice of them.
+
+    To ask which subtrees contain a string, all places where it stands in the whole text are found once; a subtree has it if the first one from its beginning on ends before its end."""
+
+    def __init__(self, steps: Steps, separator: str = " ", strip: bool = True):
+        self.steps, self.separator = steps, separator
+        data = (lambda x: stripped(x["data"])) if strip else (lambda x: x["data"])
+        all_texts = F.transform(F.filter(TREE, lambda x: x["kind"] == "text"), lambda x: F.struct(x["pre"].alias("pre"), data(x).alias("t")))
+        texts = steps.add(F.filter(all_texts, lambda p: p["t"] != ""))
+        self.pieces = steps.add(F.transform(texts, lambda p: p["t"]))
+        steps.add(F.transform(texts, lambda p: p["pre"]))
+        self.before = steps.add(F.expr(folds.ranks(steps.last())))
+
+    def of(self, x: Column) -> Column:
+        """The text of a node x of a tree and of all below it, script and template content included."""
+        low, high = F.get(self.before, x["pre"]), F.get(self.before, x["last"] + 1)
+        return F.array_join(F.slice(self.pieces, low + 1, high - low), self.separator)
+
+    def having(self, text: str) -> Callable[[Column], Column]:
+        """Whether the text of a node and of all below it contains a string."""
+        add = self.steps.add
+        gap, n = len(self.separator), len(text)
+        lengths = add(F.transform(self.pieces, lambda t: F.length(t) + gap))
+        ends = add(running(lengths))
+        whole = add(F.array_join(self.pieces, self.separator))
+        # cut before each place where it stands, overlapping or not
+        cuts = add(F.split(whole, "(?=" + re.escape(text) + ")"))
+        stands = add(F.when(F.contains(whole, F.lit(text)), running(F.transform(cuts, F.length))).otherwise(F.array().cast("array<int>")))
+        # each place begins where a cut piece ends, the first one at 0 if the text begins with it
+        starts = add(F.concat(F.when(whole.startswith(text), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), F.slice(stands, 1, F.greatest(F.size(stands) - 1, F.lit(0)))))
+        edges = F.transform(self.pieces, lambda t, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("at"), F.lit(0).alias("kind"), i.alias("i")))
+        merged = F.array_sort(F.concat(edges, F.transform(starts, lambda s, i: F.struct(s.alias("at"), F.lit(1).alias("kind"), i.alias("i")))))
+        # in sorted order piece i has i pieces before it, so all others before it are places
+        passed = F.filter(F.transform(merged, lambda m, p: F.struct(m["kind"].alias("kind"), (p - m["i"]).alias("n"))), lambda m: m["kind"] == 0)
+        ahead = add(F.transform(passed, lambda m: F.get(starts, m["n"]) + n))
+
+        def has(x: Column) -> Column:
+            low, high = F.get(self.before, x["pre"]), F.get(self.before, x["last"] + 1)
+            return F.coalesce((high > low) & (F.get(ahead, low) <= F.get(ends, high - 1) - gap), F.lit(False))
+
+        return has
+
+
+def running(numbers: Column) -> Column:
+    """Sums up to each of an array's numbers, in rounds that double what has been added."""
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(numbers) + F.lit(1))).cast("int"))
+    return F.aggregate(rounds, numbers, lambda now, r: F.transform(now, lambda v, i: v + F.coalesce(F.get(now, i - F.pow(2, r).cast("int")), F.lit(0))))
 
 
 def words(value: Column) -> Column:
@@ -249,6 +294,10 @@ NTH = {"nth-child": "elem_idx", "nth-of-type": "type_idx"}
 EXTENSIONS = {"nth-last-child": "elem_ridx", "nth-last-of-type": "type_ridx"}
 
 
+def unquoted(text: str) -> str:
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "'\"" else text
+
+
 class Compiled:
     """A selector over `nodes` rows of documents named by `key`."""
 
@@ -257,6 +306,7 @@ class Compiled:
         self.list = Parser(selector).parse()
         self.inner: dict[str, Compiled] = {}
         self.made: Column | None = None  # flags that mark() has added to the trees in hand
+        self.having: dict[str, Callable[[Column], Column]] = {}  # what looks up the texts of :contains there
         for c in self.list:
             for compound in c.compounds:
                 for s in compound:
@@ -301,21 +351,36 @@ class Compiled:
         if s.name == "root":
             return x["is_top"]
         if s.name == "contains":
-            text = s.value[1:-1] if len(s.value) > 1 and s.value[0] == s.value[-1] and s.value[0] in "'\"" else s.value
-            return F.lit(True) if not text else subtree_text(x).contains(text)
+            text = unquoted(s.value)
+            return self.having[text](x) if text else F.lit(True)
         if not s.value:
             return F.lit(True)
         inner = self.inner[s.value]
         return ~inner.predicate(x) if inner.local() else ~F.get(inner.made, x["pre"])
 
     def compound(self, simples: list[Simple], x: Column) -> Column:
-        """The text of a subtree is only looked at where all else fits."""
         kinds = ["element"] if self.css else ["element", "doctype"]
         out = x["kind"].isin(kinds)
-        for s in sorted(simples, key=lambda s: s.kind == "pseudo" and s.name == "contains"):
+        for s in simples:
             out &= self.one(s, x)
         return out
 
+    def wanted(self) -> set[str]:
+        """The texts that :contains asks for."""
+        own = {unquoted(s.value) for c in self.list for compound in c.compounds for s in compound if s.kind == "pseudo" and s.name == "contains"}
+        return own.union(*(i.wanted() for i in self.inner.values())) - {""}
+
+    def look_up(self, having: dict[str, Callable[[Column], Column]]) -> None:
+        self.having = having
+        for inner in self.inner.values():
+            inner.look_up(having)
+
+    def prepare(self, steps: Steps) -> None:
+        """Adds the index of texts, if any is asked for."""
+        if texts := self.wanted() - set(self.having):
+            index = TextIndex(steps)
+            self.look_up(self.having | {t: index.having(t) for t in sorted(texts)})
+
     def predicate(self, x: Column) -> Column:
         out = F.lit(False)
         for c in self.list:
@@ -324,6 +389,7 @@ class Compiled:
 
     def mark(self, steps: Steps) -> Column:
         """Adds an array that says of each node whether it matches."""
+        self.prepare(steps)
         for inner in self.inner.values():
             if not inner.local():
                 inner.made = inner.mark(steps)
@@ -332,6 +398,7 @@ class Compiled:
 
     def fits(self, steps: Steps) -> Callable[[Column], Column]:
         """Whether a node matches; adds what this needs."""
+        self.prepare(steps)
         if self.local():
             return self.predicate
         flags = self.mark(steps)
@@ -380,7 +447,8 @@ def query(
     if only_first:
         some = F.slice(some, 1, 1)
     if text:
-        some = F.transform(some, lambda x: x.withField(text, subtree_text(x, separator, strip)))
+        texts = TextIndex(steps, separator, strip)
+        some = F.transform(some, lambda x: x.withField(text, texts.of(x)))
     return steps.trees.select(key, F.inline(some))
 
 

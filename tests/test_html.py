@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,6 @@ from tagquarry.functions import encoding
 from tagquarry.functions.entities import decode
 from tagquarry.operators import project, relation, rewrite
 from tagquarry.operators.relation import Options, events_of, flat
-from tagquarry.operators.render import compact, markdown, pretty
 from tagquarry.operators.treebuilder import parse
 from tagquarry.plans.selectors import Compiled, SelectorError, first, nth, query
 from tagquarry.streaming import parse as streaming
@@ -111,7 +112,11 @@ def test_projections(spark, nodes):
     own = project.with_text(nodes, "k").where("lname = 'div'").orderBy("pre").first()["text"]
     assert own == "one two bold"
     html = {r["k"]: r["html"] for r in project.compact_html(nodes, "k").collect()}
-    assert html[1] == compact(parse(PAGE)[0]) and html[2] == "<html><head></head><body></body></html>"
+    assert html[1] == (
+        "<!DOCTYPE html><html lang=en><head></head><body><section><div id=a class=\"x y\"><p>one</p><p class=y>two <b>bold</b></p></div><div><div><p>deep</p></div></div></section>"
+        "<ul><li>1</li><li>2</li><li>3</li></ul><template></template></body></html>"
+    )
+    assert html[2] == "<html><head></head><body></body></html>"
 
 
 #: html, Markdown
@@ -124,6 +129,16 @@ MARKDOWN = [
     ("text<div>b</div>c", "textb\n\nc"), ("a&nbsp;b", "a\xa0b"), ("a <b> c</b>", "a ** c**"),
     ("<script>var x = 1;\nvar y = 2;\n</script>", "var x = 1;\nvar y = 2;"), ("<!--x--><span>Hi</span>", "Hi"),
     ("<hr><h2></h2><p></p>", "---\n\n##"), ("<table><tr><td>A</table>b", "<table><tbody><tr><td>A</td></tr></tbody></table>\n\nb"), ("<template>T</template>", "T"),
+    # quotations: white space at their ends and what is deeper within them than a gap falls away
+    ("a<blockquote> <br>b</blockquote>c", "a\n\n> b\n\nc"), ("<blockquote>a<blockquote>b<pre>c  \n d</pre></blockquote></blockquote>", "> a\n>\n> > b\n> >\n> > ```\n> > c\n> >  d\n> > ```"),
+    ("a<blockquote><br></blockquote>b", "a\n\nb"), ("<blockquote><ul><li>a<ul><li>b</ul></ul></blockquote>", "> - a\n>\n>   - b"), ("<ul><li>x<blockquote><ul><li>y</ul></blockquote></ul>", "- x\n\n> - y"),
+    ("<blockquote><script>a \n\nb </script> c</blockquote>", "> a\n>\n> b  c"), ("<blockquote><blockquote>a</blockquote><blockquote></blockquote>b</blockquote>", "> > a\n>\n> b"),
+    # texts, marks and white space between them
+    ("<b> a </b> <i>b</i>", "** a ** *b*"), ("a<i> b</i>", "a* b*"), ("<p> a \n b\t</p> <p>c", "a b\n\nc"), ("<a href='/x y'>l</a>", "[l](/x y)"), ("<a href>l</a>", "[l]"),
+    ("<code>`x</code>", "`` `x ``"), ("<code></code>x", "``x"), ("<code>a <b>b</b>\n</code>", "`a b\n`"), ("<p>\\ _a_ [b]", "\\\\ \\_a\\_ \\[b\\]"), ("<div>a</div> b", "a\n\nb"), ("<h3>a<br>b</h3>", "### a\nb"),
+    ("<ul>x<li>a</li><p>no</p><li>b</ul>", "- a\n- b"), ("<ol><li>a<li><li>c</ol>", "1. a\n2.\n3. c"), ("<li>a</li>b", "a\n\nb"), ("<textarea> a *b* </textarea><p>c", "a *b*\n\nc"), ("a <img src='x y'> b", "a <img src=\"x y\"> b"),
+    ("<table><tr><td>a<template>t</template></table>", "<table><tbody><tr><td>a<template></template></td></tr></tbody></table>"), ("<template><table><td>a</table></template>", "<table><tbody><tr><td>a</td></tr></tbody></table>"),
+    ("<pre>\n\n a</pre>", "```\n\n a\n```"), ("<pre>a\n\n</pre>b", "```\na\n```\n\nb"), ("<pre>   </pre>", "```\n\n```"), ("", ""), (" \n", ""),
 ]
 
 
@@ -131,12 +146,28 @@ def test_markdown(spark):
     docs = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(MARKDOWN)], "k int, html string")
     for r in project.to_markdown(docs, "k").collect():
         assert r["markdown"] == MARKDOWN[r["k"]][1], MARKDOWN[r["k"]][0]
+    plan = project.to_markdown(docs, "k")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+
+
+#: html of a fragment, indented
+PRETTY = [
+    ("<p>a", "<p>a</p>"), ("  hi  ", "hi"), ("", ""), ("<br>", "<br>"), ("<!--c--> <hr>", "<!--c-->\n<hr>"), ("a<p>b", "a\n<p>b</p>"),
+    ("<div>\n<p>a</p> <ul><li>b</ul></div><pre> x\n<b>y</b></pre>", "<div>\n  <p>a</p>\n  <ul>\n    <li>b</li>\n  </ul>\n</div>\n<pre> x\n<b>y</b></pre>"),
+    ("<div><p>a</p><span>b</span></div>", "<div><p>a</p><span>b</span></div>"), ("<div><!--c--><p>a</p></div>", "<div><!--c--><p>a</p></div>"), ("<div> <p></p>\n</div>", "<div>\n  <p></p>\n</div>"),
+    ("<section><div><p>a</p>b</div></section>", "<section>\n  <div><p>a</p>b</div>\n</section>"), ("<textarea>\n\n a</textarea>", "<textarea>\n a</textarea>"),
+    ("<div> \n </div>", "<div> \n </div>"), ("<div><template><p>t</template><p>x&nbsp;</div>", "<div>\n  <template></template>\n  <p>x\xa0</p>\n</div>"), ("<p title='a\"b&' id=\"'\">&lt;&amp;", "<p title='a\"b&amp;' id=\"'\">&lt;&amp;</p>"),
+]
 
 
-def test_pretty():
-    assert pretty(parse("<p>a", fragment=("div", None))[0]) == "<p>a</p>"
-    assert pretty(parse("  hi  ", fragment=("div", None))[0]) == "hi"
-    assert pretty(parse("<div>\n<p>a</p> <ul><li>b</ul></div><pre> x\n<b>y</b></pre>", fragment=("body", None))[0]) == "<div>\n  <p>a</p>\n  <ul>\n    <li>b</li>\n  </ul>\n</div>\n<pre> x\n<b>y</b></pre>"
+def test_pretty(spark):
+    docs = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PRETTY)], "k int, html string")
+    for r in project.to_html(docs, "k", options=Options(fragment=("div", None))).collect():
+        assert r["pretty"] == PRETTY[r["k"]][1], PRETTY[r["k"]][0]
+    assert project.to_html(docs.where("k = 6"), "k", options=Options(fragment=("div", None)), indent_size=1).first()["pretty"].startswith("<div>\n <p>a</p>\n <ul>\n  <li>")
+    # a match is indented as if it were alone, whatever it stands in
+    trees = relation.trees(spark.createDataFrame([(1, "<p>x <b>y</b></p><span><div><ul><li>a</ul></div></span>")], "k int, html string"), "k")
+    assert [r["html"] for r in project.selected_html(trees, "div, li, b", "k").orderBy("pre").collect()] == ["<b>y</b>", "<div>\n  <ul>\n    <li>a</li>\n  </ul>\n</div>", "<li>a</li>"]
 
 
 def test_deep_trees(spark):
@@ -188,7 +219,10 @@ def test_sql_functions(spark):
     from tagquarry.functions import sql
 
     sql.register(spark)
-    assert spark.sql("select html_to_text('<p>a<b>b'), html_to_markdown('<h1>x'), html_unescape('&lt;')").first()[:] == ("a b", "# x", "<")
+    assert spark.sql("select html_to_text('<p>a<b>b'), html_unescape('&lt;')").first()[:] == ("a b", "<")
+    spark.createDataFrame([(1, "<h1>x</h1><blockquote>a<br>b"), (2, None)], "k int, html string").createOrReplaceTempView("some_html")
+    assert [r[:] for r in spark.sql("select k, html_to_markdown(html) as m from some_html order by k").collect()] == [(1, "# x\n\n> a\n> b"), (2, "")]
+    assert [tuple(r["attrs"][0]) for r in spark.sql("select attrs from some_html, lateral html_events('<p id=a>') where k = 1").collect()] == [("id", "a")]
     assert [r["lname"] for r in spark.sql("select lname from parse_html('<p id=a>x') where kind = 'element' order by pre").collect()] == ["html", "head", "body", "p"]
     assert spark.sql("select count(*) from html_events('<p>x</p>')").first()[0] == 3
 
@@ -238,3 +272,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "<p>a</p>\n"
     assert cli.main([str(tmp_path), "--selector", "p:bogus"], spark) == 2
     assert cli.main([str(tmp_path), "--selector", "table"], spark) == 1
+
+
+def test_text_of_deep_trees(spark):
+    """The time of :contains and of texts is linear in the nodes, however deep they are: 20,000 levels, each with a text."""
+    deep = "".join(f"<span>{'needle' if i == 15_000 else 'x'}" for i in range(20_000))
+    trees = relation.trees(spark.createDataFrame([(1, deep)], "k int, html string"), "k")
+    assert query(trees, "span:contains(needle)", "k").count() == 15_001
+    assert query(trees, "span:contains('x needle x')", "k").agg(F.max("pre")).first()[0] == 4 + 2 * 14_999
+    assert query(trees, "span span:contains('needle')", "k", text="t", only_first=True).first()["t"].count("x") == 19_998
+    assert project.markdown(trees, "k").first()["markdown"].startswith("xxxx")
+    assert project.pretty_html(trees, "k").first()["pretty"].endswith("</span></body>\n</html>")
+
+
+def test_contains_by_brute_force(spark):
+    """Texts that overlap themselves and run over several nodes, against the text of each subtree."""
+    r = random.Random(8)
+    docs = [(k, "".join(r.choice(["<p>", "</p>", "<b>", "</b>", "<div>", "</div>", "a", "aa", " ", "a b", "<template>", "</template>", "&lt;[", "\\"]) for _ in range(40))) for k in range(60)]
+    trees = relation.trees(spark.createDataFrame(docs, "k int, html string"), "k")
+    texts = {(x["k"], x["pre"]): x["text"] for x in project.with_text(trees, "k").where("kind = 'element'").collect()}
+    for needle in ("a", "aa", "a a", "a a a", "a b", "b a", "<", "\\", "a <[ a", " ", "zz"):
+        found = {(x["k"], x["pre"]) for x in query(trees, f"*:contains('{needle}')", "k", css=True).collect()}
+        assert found == {at for at, text in texts.items() if needle in text}, needle
+    rows = relation.exploded(trees, "k").where("kind = 'text'").collect()
+    last = {(x["k"], x["pre"]): x["last"] for x in relation.exploded(trees, "k").collect()}
+    for at, text in texts.items():
+        inside = sorted((x["pre"], x["data"].strip()) for x in rows if x["k"] == at[0] and at[1] < x["pre"] <= last[at])
+        assert text == " ".join(t for _, t in inside if t)
