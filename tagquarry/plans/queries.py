@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.sql import html_unescape
 from ..operators import project, relation, rewrite
 from ..operators.relation import TREE, Options, Steps, attribute
+from ..sources.store import stored
 from .selectors import Compiled, matches, query
 
 KEY = "page_id"
@@ -34,6 +35,20 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relation.events(pages(spark, sf_dir), KEY)
 
 
+def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of all pages as a table that is written once."""
+    return stored(spark, f"nodes {sf_dir}", lambda: nodes(spark, sf_dir))
+
+
+def _stored(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
+    """Matches, or without columns their number, among stored nodes."""
+    def run(s: SparkSession, d: str) -> DataFrame:
+        found = query(stored_nodes(s, d), selector, KEY, **options)
+        return found.select(KEY, *[c() for c in columns]) if columns else found.groupBy(KEY).agg(F.count(F.lit(1)).alias("n"))
+
+    return run
+
+
 def _selected(selector: str, *columns, only: tuple[str, ...] = (), **options) -> Callable[[SparkSession, str], DataFrame]:
     return lambda s, d: query(trees(s, d), selector, KEY, **options).select(KEY, *only, *[c() if callable(c) else c for c in columns])
 
@@ -143,6 +158,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pretty_html": lambda s, d: project.to_html(pages(s, d), KEY),
     "markdown": lambda s, d: project.to_markdown(pages(s, d), KEY),
     "tree_dump": lambda s, d: project.tree_dump(trees(s, d), KEY),
+    "stored_nav_links": _stored("nav > ul > li > a[href]", HREF),
+    "stored_li_siblings": _stored("nav li:nth-child(2) ~ li"),
+    "stored_footer_in_b": _stored("b footer, footer b"),
+    "stored_links": _stored("ul li:not(p li) + li a, nav li:first-child > a", HREF, within="nav"),
+    "stored_contains": _stored("nav:contains('e, '), nav ul:contains('e a'), li:contains(th), article:contains('. A'), body:contains('. A')"),
     "nested_texts": with_text_of("nav, ul, li, article"),
     "contains_nested": _counted("nav:contains('e, '), nav ul:contains('e a'), li:contains(th), article:contains('. A'), body:contains('. A')"),
 }
@@ -287,6 +307,10 @@ SQL: dict[str, str] = {
     "ad_class": _count("<div class=\"ad\">"),
     "only_nav": _count("<nav>"),
     "links_by_language": f"select regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, cast(sum(len({_A})) as bigint) as links from pages where len({_A}) > 0 group by 1",
+    "stored_nav_links": f"select page_id, unnest({_A}) as href from pages",
+    "stored_li_siblings": f"select page_id, cast(len({_A}) - 2 as bigint) as n from pages where len({_A}) > 2",
+    "stored_footer_in_b": _made(f"{_of('<footer><b>')} + {_of('<footer><b><b>')} + {_of('<footer><b><b><b>')}"),
+    "stored_links": f"select page_id, unnest({_A}) as href from pages",
     "matching_flags": f"select count(*) as n from pages where len({_A}) > 0",
     "start_tags": "select name, count(*) as n from (select unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) as name from pages) group by 1",
     "fragment_links": f"select page_id, unnest({_A}) as href from pages",
@@ -295,3 +319,4 @@ SQL: dict[str, str] = {
     "escaped_documents": "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as md5 from documents",
     "unescaped_documents": "select doc_id, md5(text) as md5 from documents",
 }
+SQL["stored_contains"] = SQL["contains_nested"]

@@ -305,7 +305,7 @@ class Compiled:
         self.key, self.css, self.extensions = key, css, extensions
         self.list = Parser(selector).parse()
         self.inner: dict[str, Compiled] = {}
-        self.made: Column | None = None  # flags that mark() has added to the trees in hand
+        self.made: Column | str | None = None  # flags that mark() has added to the trees in hand, or the name of a column of rows
         self.having: dict[str, Callable[[Column], Column]] = {}  # what looks up the texts of :contains there
         for c in self.list:
             for compound in c.compounds:
@@ -356,7 +356,7 @@ class Compiled:
         if not s.value:
             return F.lit(True)
         inner = self.inner[s.value]
-        return ~inner.predicate(x) if inner.local() else ~F.get(inner.made, x["pre"])
+        return ~(inner.predicate(x) if inner.local() else F.col(inner.made) if isinstance(inner.made, str) else F.get(inner.made, x["pre"]))
 
     def compound(self, simples: list[Simple], x: Column) -> Column:
         kinds = ["element"] if self.css else ["element", "doctype"]
@@ -441,7 +441,13 @@ def query(
 ) -> DataFrame:
     """Nodes of trees (or of rows of nodes) that match, a row each in document order; document roots never match.
 
-    within: only descendants of what another selector matches; only_first: the first match of each document; text: the name of a column for the text of each match."""
+    within: only descendants of what another selector matches; only_first: the first match of each document; text: the name of a column for the text of each match.
+    Rows of nodes stay rows (structural.py), unless texts are wanted, for which they are gathered by document."""
+    if TREE not in found.columns and not text:
+        from .structural import selected
+
+        some = selected(found, selector, key, within, css, extensions)
+        return first(some, key) if only_first else some
     steps, fits = _matching(found, selector, key, within, css, extensions)
     some = F.filter(TREE, fits)
     if only_first:

@@ -299,3 +299,34 @@ def test_contains_by_brute_force(spark):
     for at, text in texts.items():
         inside = sorted((x["pre"], x["data"].strip()) for x in rows if x["k"] == at[0] and at[1] < x["pre"] <= last[at])
         assert text == " ".join(t for _, t in inside if t)
+
+
+def random_pages(seed, n):
+    r = random.Random(seed)
+    tags = ["div", "p", "b", "ul", "li", "span", "template", "table", "td"]
+
+    def piece():
+        t = r.choice(tags)
+        return r.choice([f"<{t}>", f"<{t} class='x {r.choice('yz')}'>", f"<{t} id={r.choice('ab')}>", f"</{t}>", "a", "b a", " ", "<!--c-->", "<br>"])
+
+    return [(k, "<!DOCTYPE html>" * (k % 2) + "".join(piece() for _ in range(r.randint(0, 60)))) for k in range(n)]
+
+
+def test_rows_of_nodes_answer_like_trees(spark):
+    """Structural joins on rows against arrays, on random trees, and without gathering documents."""
+    trees = relation.trees(spark.createDataFrame(random_pages(1, 40), "k int, html string"), "k").cache()
+    rows = relation.exploded(trees, "k").cache()
+    r = random.Random(2)
+    simple = ["div", "p", "*", ".x", ".y", "#a", "li:first-child", "b:last-of-type", ":nth-child(2n+1)", ":empty", "span:not(.x)", ":not(div p)", ":contains(a)", ":contains('a b')", "td"]
+    found = 0
+    for i in range(30):
+        selector = r.choice(simple) + "".join(r.choice([" ", " > ", " + ", " ~ "]) + r.choice(simple) for _ in range(r.randint(0, 3)))
+        options = {"css": bool(i % 2), "within": r.choice([None, None, "div", ".x p"])}
+        expected = {(x["k"], x["pre"]) for x in query(trees, selector, "k", **options).select("k", "pre").collect()}
+        some = query(rows, selector, "k", **options)
+        assert {(x["k"], x["pre"]) for x in some.select("k", "pre").collect()} == expected, (selector, options)
+        found += bool(expected)
+    assert found > 15
+    plan = query(rows, "div p > b ~ li + li", "k", within="div")._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert query(rows, "p", "k", only_first=True).count() == query(trees, "p", "k", only_first=True).count()
