@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 #: Rows that Spark hands to Python at a time: whole texts are long, and several tasks share an executor's memory.
@@ -31,6 +31,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Column names as they stand in expressions, whatever characters they hold."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -114,27 +119,29 @@ def join_by_share(left: DataFrame, right: DataFrame, key: str, rows: str, total:
         left.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
         .withColumn("__key", F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key).cast("string")).otherwise(dealt))
         .join(cold.hint("merge"), F.col("__key") == F.col("__cold"), "left")
-        .select(*left.columns, *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in others])
+        .select(*quoted(left.columns), *[F.when(F.col("__hot").isNotNull(), F.col(f"__hot_{c}")).otherwise(F.col(c)).alias(c) for c in others])
     )
 
 
 def map_texts(docs: DataFrame, keep: list[str], made: Callable[[list[str | None]], dict[str, list]], schema: str, rows: int = 512) -> DataFrame:
     """The columns `keep` of docs unchanged, and those of `schema` that `made` returns for so many rows' `text` at a time."""
     new = StructType.fromDDL(schema)
-    kinds = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+    # under plain names, as mapInArrow can't take all
+    source = docs.select(*[F.col(c).alias(f"in{i}") for i, c in enumerate(quoted([*keep, "text"]))])
+    whole = StructType([StructField(f"out{i}", f.dataType) for i, f in enumerate([docs.schema[c] for c in keep] + new.fields)])
+    names = whole.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, rows):
                 part = b.slice(at, rows)
-                got = made(part.column(part.schema.get_field_index("text")).to_pylist())
-                columns = [part.column(part.schema.get_field_index(c)) for c in keep] + [pa.array(got[n], kind) for n, kind in kinds]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *(n for n, _ in kinds)])
+                got = made(part.column(len(keep)).to_pylist())
+                columns = part.columns[: len(keep)] + [pa.array(got[f.name], kind) for f, kind in zip(new.fields, kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
         pa.default_memory_pool().release_unused()  # the worker goes on to other work
 
-    source = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])])
-    whole = StructType([docs.schema[c] for c in keep] + new.fields)
-    return source.mapInArrow(run, whole)
+    return source.mapInArrow(run, whole).toDF(*keep, *new.names)
 
 
 def by_group(df: DataFrame, keys: list[str], run: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

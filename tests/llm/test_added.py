@@ -278,3 +278,28 @@ def test_audit_shares_states(spark):
     assert filter_audit.audit(rows.limit(0)).count() == 0
     three = filter_audit.audit(rows.select("part", "A", "B", "C", "good", "toxic"), "ABC")
     assert three.count() == 18 and three.agg(F.sum("removed")).first()[0] == 6 * 28
+
+
+def test_pipeline_stages_with_any_columns(spark, tmp_path):
+    """Columns of maps, and names with dots and quotes, through all stages that return documents."""
+    import corpus_pipeline
+
+    words = {"aa": "ba la ma ka ta na sa".split(), "bb": "xyz zyx yxz qwx wqx xqw".split()}
+    r = random.Random(9)
+    rows = []
+    for i in range(80):
+        lang = "ab"[i % 2] * 2
+        rows.append((i, " ".join(w + str(r.randint(0, 40)) for w in r.choices(words[lang], k=30)), lang, "s", {"k": i, "j": None}, "x.y", [{"m": i}]))
+    rows += [(100 + i, rows[i][1], rows[i][2], "s", rows[i][4], None, None) for i in range(0, 20, 2)] + [rows[4]] * 3 + [(None, rows[5][1], None, None, {"k": 5}, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tags map<string,int>, `a.b` string, `c``d` array<map<string,int>>")
+    docs.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for stage in (corpus_pipeline.by_language, corpus_pipeline.without_near_duplicates, corpus_pipeline.without_personal_data):
+        out = stage(spark, read, str(tmp_path))
+        assert out.columns == read.columns
+        kept = sorted((x["doc_id"] is None, x["doc_id"] or 0, str(x["tags"]), x["a.b"] or "") for x in out.collect())
+        if stage is corpus_pipeline.without_near_duplicates:
+            assert [x[1] for x in kept] == list(range(80))
+        else:
+            assert len(kept) == len(rows)
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
