@@ -1,86 +1,73 @@
 """Changes of trees: each returns new ones, numbered anew, in the form it was given (trees, or rows of nodes).
 
-What is to change is decided by array expressions; the nodes of a changed document then
-get their numbers, parents and ordinals in one Arrow pass over the trees.
+Nodes keep the order of keys: a node's own key is its number, and what is inserted gets a key
+between those of its neighbours, so an edit takes nodes away and adds others without touching
+the rest, and one sort puts all in place. Their order and depths are a tree; `numbered` gets
+parents, ends and ordinals back from these alone: by sorts, in which a node's place tells how
+many of another kind come before it, and by pointers that jump. Documents without edits pass
+through as they are, as rows without being gathered.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import StructType
 
+from ..plans import folds
 from ..plans.selectors import Compiled, subtrees
-from .relation import NODE, TREE, Steps, as_trees, exploded, nearest, related, sliced
-
-
-def spliced(rows: list[dict], edits: list[dict]) -> list[dict]:
-    """Rows in preorder after edits (at, how, tree) in turn: the top nodes of an edit's tree become the last children of node `at`, stand before it or replace it."""
-    made = {r["pre"]: r for r in rows}
-    kids: dict[int, list[int]] = {}
-    content: dict[int, int] = {}
-
-    def hang(some: list[dict], shift: int, tops: list[int]) -> None:
-        for r in some:
-            r["pre"] += shift
-            made[r["pre"]] = r
-            r["parent"] = None if r["parent"] is None else r["parent"] + shift
-            r["host"] = None if r["host"] is None else r["host"] + shift
-            if r["parent"] in made:
-                kids.setdefault(r["parent"], []).append(r["pre"])
-            elif r["host"] in made:
-                content[r["host"]] = r["pre"]
-            else:
-                tops.append(r["pre"])
-
-    roots: list[int] = []
-    hang(rows, 0, roots)
-    for e in edits:
-        shift, tops = max(made) + 1, []
-        # a whole document or fragment gives its children
-        hang([dict(r) for r in e[TREE] if r["kind"] not in ("document", "fragment")], shift, tops)
-        if e["at"] not in made or e["how"] != "append" and made[e["at"]]["parent"] is None:
-            continue
-        up = e["at"] if e["how"] == "append" else made[e["at"]]["parent"]
-        for t in tops:
-            made[t]["parent"], made[t]["host"] = up, None
-        own = kids.setdefault(up, [])
-        at = len(own) if e["how"] == "append" else own.index(e["at"])
-        own[at : at + (e["how"] == "replace")] = tops
-    out, todo = [], list(reversed(roots))
-    while todo:
-        i = todo.pop()
-        out.append(made[i])
-        if i in content:
-            todo.append(content[i])
-        todo += reversed(kids.get(i, []))
-    return out
-
-
-def renumbered(trees: DataFrame, key: str) -> DataFrame:
-    """trees (key, tree, and edits of it, if any) whose nodes name their parents by `pre`, in order, with gaps: numbers and ordinals anew."""
-    has = "edits" in trees.columns
-    own = StructType.fromDDL(NODE)
-    others = [f for f in trees.schema[TREE].dataType.elementType.fields if f.name not in own.names]
-    whole = StructType([trees.schema[key], StructField(TREE, ArrayType(StructType(own.fields + others)))])
-    arrow = to_arrow_schema(whole)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            done = []
-            for k, rows, edits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist() if has else [None] * b.num_rows):
-                rows = spliced(rows, edits or []) if edits else rows
-                new = {r["pre"]: i for i, r in enumerate(rows)}
-                for i, r in enumerate(rows):
-                    r.update(pre=i, parent=new.get(r["parent"]), host=new.get(r["host"]))
-                done.append({key: k, TREE: related(rows)})
-            yield pa.RecordBatch.from_pylist(done, schema=arrow)
-
-    return trees.select(key, TREE, *["edits"] * has).mapInArrow(run, whole)
+from .relation import NODE, TREE, Steps, as_trees, exploded, nearest, rebased
+
+
+def grouped(name: str, rows: str, same: str) -> folds.Steps:
+    """Steps for sorted rows (…, i): for each node i its rank in its group (from 0), the group's size, and the node before it there; by node."""
+    first = f"k = 0 or not ({same})".replace("before.", f"{name}_rows[k - 1].")
+    return [
+        (f"{name}_rows", rows),
+        (f"{name}_firsts", f"filter(transform({name}_rows, (e, k) -> if({first}, k, null)), k -> k is not null)"),
+        (f"{name}_spans", f"flatten(transform({name}_firsts, (f, k) -> array_repeat(struct(f as low, coalesce(get({name}_firsts, k + 1), size({name}_rows)) as high), coalesce(get({name}_firsts, k + 1), size({name}_rows)) - f)))"),
+        (name, f"""array_sort(transform({name}_rows, (e, k) -> struct(e.i as i, k - {name}_spans[k].low as rank, {name}_spans[k].high - {name}_spans[k].low as size,
+            if(k > {name}_spans[k].low, {name}_rows[k - 1].i, null) as previous)))"""),
+        (f"{name}_places", f"transform({name}, e -> e.i)"),
+        (f"{name}_before", folds.ranks(f"{name}_places")),
+    ]
+
+
+def at(name: str) -> str:
+    """What grouped() found of node i, or null."""
+    return f"if({name}_before[i + 1] > {name}_before[i], {name}[{name}_before[i]], null)"
+
+
+OWN = "x.kind in ('element', 'doctype') and ups[i] is not null"
+NUMBERS: folds.Steps = [
+    # nodes give themselves to their level and ask the level above; in order of levels, a question's place less the questions before it says which giver comes last before it
+    ("levels", "array_sort(flatten(transform(tree, (x, i) -> array(struct(x.depth as level, i as i, 0 as asks), struct(x.depth - 1 as level, i as i, 1 as asks)))))"),
+    ("givers", "transform(filter(levels, e -> e.asks = 0), e -> e.i)"),
+    ("questions", "filter(transform(levels, (e, m) -> struct(e.i as i, e.asks as asks, e.level as level, m as m)), e -> e.asks = 1)"),
+    ("ups", "transform(array_sort(transform(questions, (e, j) -> struct(e.i as i, if(e.level < 0, null, givers[e.m - j - 1]) as up))), e -> e.up)"),
+    *grouped("family", "array_sort(transform(tree, (x, i) -> struct(coalesce(ups[i], -1) as up, i as i)))", "e.up = before.up"),
+    ("nexts", "transform(array_sort(transform(family_rows, (e, k) -> struct(e.i as i, if(k + 1 < family_spans[k].high, family_rows[k + 1].i, null) as next))), e -> e.next)"),
+    # a node ends before its next sibling, or else where its parent does
+    ("ends", """transform(aggregate(sequence(1, coalesce(cast(ceil(log2(array_max(transform(tree, x -> x.depth)) + 2)) as int), 1)),
+        transform(nexts, (v, i) -> struct(if(v is null, ups[i], null) as j, case when v is not null then v - 1 when ups[i] is null then size(tree) - 1 end as last)),
+        (now, r) -> transform(now, c -> if(c.j is null, c, now[c.j]))), c -> c.last)"""),
+    *grouped("elements", f"array_sort(filter(transform(tree, (x, i) -> if({OWN}, struct(ups[i] as up, i as i), null)), e -> e is not null))", "e.up = before.up"),
+    *grouped("types", f"array_sort(filter(transform(tree, (x, i) -> if({OWN}, struct(ups[i] as up, x.lname as lname, i as i), null)), e -> e is not null))", "e.up = before.up and e.lname <=> before.lname"),
+    ("holders", f"array_sort(array_distinct(filter(transform(tree, (x, i) -> if(x.kind in ('element', 'doctype') or x.kind = 'text' and {folds.stripped('x.data')} <> '', ups[i], null)), v -> v is not null)))"),
+    ("holds", folds.scattered("holders")),
+]
+FIELDS = {
+    "pre": "i", "last": "ends[i]", "parent": "if(x.kind = 'content', null, ups[i])", "host": "if(x.kind = 'content', ups[i], null)", "sib_idx": "if(x.kind = 'content' or ups[i] is null, 0, family[i].rank)",
+    "elem_idx": f"{at('elements')}.rank + 1", "elem_ridx": f"({at('elements')}.size - {at('elements')}.rank)", "type_idx": f"{at('types')}.rank + 1", "type_ridx": f"({at('types')}.size - {at('types')}.rank)",
+    "prev": f"{at('elements')}.previous", "is_top": "coalesce(x.kind <> 'content' and tree[ups[i]].kind in ('document', 'fragment', 'content'), false)", "is_empty": "not holds[i]",
+}
+
+
+def numbered(trees: DataFrame, keep: list[str], out: str = TREE) -> DataFrame:
+    """Trees whose nodes are in order and have their depths, but numbers, parents and ordinals of before."""
+    names = trees.schema[TREE].dataType.elementType.names
+    fields = ", ".join(f"'{n}', {FIELDS.get(n, f'x.{n}')}" for n in names)
+    return folds.folded(trees, keep, NUMBERS, f"transform(tree, (x, i) -> named_struct({fields}))", out)
 
 
 def _like(found: DataFrame, trees: DataFrame, key: str) -> DataFrame:
@@ -93,21 +80,56 @@ def remove(found: DataFrame, selector: str, key: str) -> DataFrame:
     gone = Compiled(selector, key).mark(steps)
     below = steps.add(nearest("parent", gone, hosts=True))
     kept = F.filter(TREE, lambda x: ~F.get(gone, x["pre"]) & F.get(below, x["pre"]).isNull())
-    return _like(found, renumbered(steps.trees.select(key, kept.alias(TREE)), key), key)
+    return _like(found, numbered(steps.trees.select(key, kept.alias(TREE)), [key]), key)
+
+
+#: Steps before NUMBERS for a tree and its edits, in order.
+EDITS: folds.Steps = [
+    ("replaced", "array_sort(array_distinct(filter(transform(edits, e -> if(e.how = 'replace' and get(tree, e.at).parent is not null, e.at, null)), v -> v is not null)))"),
+    ("gone", folds.scattered("replaced")),
+    ("lower", folds.within("gone", True)),
+    ("contents", "filter(tree, x -> x.host is not null)"),
+]
 
 
 def edited(found: DataFrame, edits: DataFrame, key: str) -> DataFrame:
-    """Trees after edits (key, at, how, tree), in order of `at`: the nodes of `tree` (of relation.trees() of a fragment, or of subtrees()) are appended to node `at`, put before it, or replace it."""
-    trees = as_trees(found, key)
-    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "how", F.col(TREE).alias(TREE)))).alias("edits"))
-    return _like(found, renumbered(trees.join(listed, key, "left"), key), key)
+    """Trees after edits (key, at, how, tree, and ord, if their order matters): the nodes of `tree` (of relation.trees() of a fragment, or of subtrees()) are appended to node `at`, put before it, or replace it.
+
+    Edits at one place take effect in the order of `ord`, or of `how`. Those of nodes that aren't there, or lie within what is replaced, have no effect; `before` and `replace` need a parent."""
+    order = ["ord", "at", "how"] if "ord" in edits.columns else ["at", "how"]
+    listed = edits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, TREE))).alias("edits"))
+    rows = TREE not in found.columns
+    touched = found.join(listed.select(key), key, "left_semi") if rows else found
+    trees = as_trees(touched, key).join(listed, key, "left")
+    element = trees.schema[TREE].dataType.elementType
+    own = StructType.fromDDL(NODE).names
+    node = ", ".join(f"'{f.name}', " + ("cast(top + y.depth - base as int)" if f.name == "depth" else f"y.{f.name}" if f.name in own else f"cast(null as {f.dataType.simpleString()})") for f in element.fields)
+    place = f"""case when e.how <> 'append' then struct(x.pre as a, -1 as b, 0 as c)
+        when exists(contents, c -> c.host = x.pre) then struct(filter(contents, c -> c.host = x.pre)[0].pre as a, -2 as b, 0 as c)
+        else struct(x.last as a, 1 as b, -x.depth as c) end"""
+    added = folds.let(
+        [("top", "if(e.how = 'append', x.depth + 1, x.depth)"), ("base", "e.tree[0].depth + if(e.tree[0].kind in ('document', 'fragment'), 1, 0)"), ("place", place)],
+        f"transform(filter(e.tree, y -> y.kind not in ('document', 'fragment')), (y, j) -> struct(place.a as a, place.b as b, place.c as c, k as k, j as j, named_struct({node}) as x))",
+    )
+    fits = "x is not null and not lower[x.pre] and if(e.how = 'append', not gone[x.pre], x.parent is not null)"
+    kept = "transform(filter(tree, x -> not gone[x.pre] and not lower[x.pre]), x -> struct(x.pre as a, 0 as b, 0 as c, 0 as k, 0 as j, x as x))"
+    all_added = f"flatten(transform(edits, (e, k) -> {folds.let([('x', 'get(tree, e.at)')], f'if({fits}, {added}, slice(kept, 1, 0))')}))"
+    # of a document without edits nothing is looked at
+    work = trees.select(key, F.col(TREE).alias("whole"), "edits", F.expr(f"if(edits is null, slice({TREE}, 1, 0), {TREE})").alias(TREE))
+    steps = [*EDITS, ("kept", kept), ("ordered", f"transform(array_sort(concat(kept, coalesce({all_added}, slice(kept, 1, 0)))), p -> p.x)")]
+    ordered = folds.folded(work, [key, "whole", "edits"], steps, "ordered", TREE)
+    done = numbered(ordered, [key, "whole", "edits"], "made").select(key, F.expr("if(edits is null, whole, made)").alias(TREE))
+    if not rows:
+        return done
+    return found.join(listed.select(key), key, "left_anti").unionByName(exploded(done, key).select(*found.columns))
 
 
 def insert(found: DataFrame, added: DataFrame, key: str, before: bool = False) -> DataFrame:
-    """Adds one childless node for each row of added: (key, at, kind, name, data), as the last child of node `at` or, with before, in front of it."""
-    own = {"pre": F.lit(0), "kind": F.col("kind"), "name": F.col("name"), "lname": F.lower("name"), "ns": F.when(F.col("kind") == "element", "html"), "attrs": F.array(), "data": F.col("data")}
+    """Adds one childless node for each row of added: (key, at, kind, name, data, and ord, if their order matters), as the last child of node `at` or, with before, in front of it."""
+    own = {"pre": F.lit(0), "depth": F.lit(0), "kind": F.col("kind"), "name": F.col("name"), "lname": F.lower("name"), "ns": F.when(F.col("kind") == "element", "html"), "attrs": F.array(), "data": F.col("data")}
     node = F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(NODE).fields])
-    return edited(found, added.select(key, "at", F.lit("before" if before else "append").alias("how"), F.array(node).alias(TREE)), key)
+    order = ["ord"] if "ord" in added.columns else []
+    return edited(found, added.select(key, *order, "at", F.lit("before" if before else "append").alias("how"), F.array(node).alias(TREE)), key)
 
 
 def set_text(nodes: DataFrame, where: Column, text: Column) -> DataFrame:
@@ -132,5 +154,7 @@ def cloned(found: DataFrame, key: str, new_key: Column) -> DataFrame:
 
 def cloned_nodes(found: DataFrame, selector: str, key: str, deep: bool = True) -> DataFrame:
     """(key, pre, tree): a copy of each match as a tree of its own, with all below it or, deep=False, alone."""
-    some = subtrees(found, selector, key, deep).select(F.struct(key, "pre").alias("__of"), TREE)
-    return renumbered(some, "__of").select("__of.*", TREE)
+    copies = rebased(subtrees(found, selector, key, deep))
+    if deep:
+        return copies
+    return copies.withColumn(TREE, F.transform(TREE, lambda x: x.withField("last", F.lit(0)).withField("is_empty", F.lit(True))))

@@ -40,6 +40,31 @@ def stored_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, f"nodes {sf_dir}", lambda: nodes(spark, sf_dir))
 
 
+def stored_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, f"trees {sf_dir}", lambda: trees(spark, sf_dir))
+
+
+def _inserted(s: SparkSession, d: str) -> DataFrame:
+    """Two list items at the end of each list and one before each first item, in this order."""
+    found = stored_trees(s, d)
+    places = query(found, "nav ul, nav li:first-child", KEY).select(KEY, F.col("pre").alias("at"), "lname")
+    item = F.struct(F.lit("element").alias("kind"), F.lit("li").alias("name"), F.lit(None).cast("string").alias("data"))
+    rule = F.struct(F.lit("element").alias("kind"), F.lit("hr").alias("name"), F.lit(None).cast("string").alias("data"))
+    ends = places.where("lname = 'ul'").select(KEY, "at", F.posexplode(F.array(item, rule)).alias("ord", "node")).select(KEY, "at", "ord", "node.*")
+    starts = places.where("lname = 'li'").select(KEY, "at", F.lit("comment").alias("kind"), F.lit("#comment").alias("name"), F.lit("first").alias("data"))
+    # the second edit is of a tree that has been numbered anew: places before the lists' ends are as they were
+    return project.compact_html(rewrite.insert(rewrite.insert(found, ends, KEY), starts, KEY, before=True), KEY)
+
+
+def _replaced(s: SparkSession, d: str) -> DataFrame:
+    """Each page's heading replaced by one of its own number and a rule."""
+    found = stored_trees(s, d)
+    parts = found.select(KEY, F.concat(F.lit("<h2>page <b>"), KEY, F.lit("</b></h2><hr>")).alias("part"))
+    new = relation.trees(parts, KEY, "part", Options(fragment=("div", None)))
+    edits = query(found, "h1", KEY).select(KEY, F.col("pre").alias("at"), F.lit("replace").alias("how")).join(new, KEY)
+    return query(rewrite.edited(found, edits, KEY), "article > hr + p, article > h2:first-child + hr, article:not(h1) > p:nth-of-type(2)", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("elem_idx").cast("long").alias("at"))
+
+
 def _stored(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
     """Matches, or without columns their number, among stored nodes."""
     def run(s: SparkSession, d: str) -> DataFrame:
@@ -141,6 +166,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "start_tags": lambda s, d: events(s, d).where("event = 'start'").groupBy("name").agg(F.count(F.lit(1)).alias("n")),
     "fragment_links": _fragments,
     "pruned": _pruned,
+    "pruned_links": lambda s, d: query(rewrite.remove(trees(s, d), "nav li:first-child, script, article", KEY), "nav ul > li:first-child > a", KEY).select(KEY, HREF()),
+    "pruned_html": lambda s, d: project.compact_html(rewrite.remove(trees(s, d), "nav li:nth-child(2), style, article > p, div.ad", KEY), KEY),
+    "inserted": _inserted,
+    "replaced": _replaced,
     "encodings": _encodings,
     "escaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(project.escaped(F.col("text"))).alias("md5")),
     "unescaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(html_unescape(project.escaped(F.col("text")))).alias("md5")),
@@ -319,4 +348,8 @@ SQL: dict[str, str] = {
     "escaped_documents": "select doc_id, md5(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) as md5 from documents",
     "unescaped_documents": "select doc_id, md5(text) as md5 from documents",
 }
+SQL["pruned_links"] = _list("x.i = 2")
+SQL["pruned_html"] = f"{_PAGES} select page_id, regexp_replace(regexp_replace(regexp_replace(h, '(?s)<style>.*?</style>|<div class=ad>[^<]*</div>', '', 'g'), '<p>(?:<b>)*[^<]*(?:<br>)?(?:</b>)*</p>', '', 'g'), '(<ul><li>[^\\n]*?</li>)<li>.*?</li>', '\\1') as html from parts"
+SQL["inserted"] = f"{_PAGES} select page_id, replace(replace(h, '</ul>', '<li></li><hr></ul>'), '<ul><li>', '<ul><!--first--><li>') as html from parts"
+SQL["replaced"] = f"select page_id, cast(case when len(paras) > 1 then 3 when len(paras) > 0 then 2 else 1 end as bigint) as n, cast(case when len(paras) > 1 then 4 when len(paras) > 0 then 3 else 2 end as bigint) as at from ({_CUT})"
 SQL["stored_contains"] = SQL["contains_nested"]

@@ -191,7 +191,7 @@ def test_each_document_is_parsed_once(spark):
     for name in ("nav_links_tree", "li_siblings", "contains_text", "pruned", "links_by_language", "first_link", "compact_html", "matching_flags", "titles", "links_within", "body_parts"):
         plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         parses = [line for line in plan.split("\n") if "MapInArrow" in line]
-        assert len(parses) == (2 if name == "pruned" else 1), name  # a rewrite numbers its trees in a pass of its own
+        assert len(parses) == 1, name
 
 
 def test_edits(spark):
@@ -215,6 +215,40 @@ def test_edits(spark):
     assert project.children(rows, ul, "k").count() == 2 and project.parents(rows, ul, "k").first()["lname"] == "body"
 
 
+def test_numbers_from_order_and_depth(spark):
+    """Numbers and ordinals as the parser gives them, of trees that have lost all but order and depths."""
+    trees = relation.trees(spark.createDataFrame(random_pages(5, 60), "k int, html string"), "k")
+    lost = trees.withColumn("tree", F.transform("tree", lambda x: x.withField("pre", F.lit(7)).withField("last", F.lit(7)).withField("parent", F.lit(7)).withField("prev", F.lit(7)).withField("sib_idx", F.lit(7)).withField("elem_idx", F.lit(7)).withField("is_empty", F.lit(None).cast("boolean")).withField("is_top", F.lit(None).cast("boolean")).withField("host", F.lit(None).cast("int"))))
+    expected = {r["k"]: r["tree"] for r in trees.collect()}
+    for r in rewrite.numbered(lost, ["k"]).collect():
+        assert r["tree"] == expected[r["k"]]
+    assert rewrite.numbered(lost.withColumn("tree", F.slice("tree", 1, 0)), ["k"]).where("size(tree) > 0").count() == 0
+
+
+def test_many_edits(spark):
+    """Several at one place, in order; within what is replaced, at nodes that aren't there, in templates; other documents are left alone."""
+    docs = spark.createDataFrame([(1, "<ul><li>a<b>c</b></ul><template><i>t</i></template><p>"), (2, "<p>z"), (3, "")], "k int, html string")
+    trees = relation.trees(docs, "k").cache()
+    at = {r["lname"]: r["pre"] for r in query(trees, "ul, li, b, template, p", "k").where("k = 1").collect()}
+    cases = [
+        (0, "append", "ul", "<li>1"), (1, "append", "li", "<u>2</u>x"), (2, "append", "ul", "<li>3"), (3, "before", "b", "<hr>"), (4, "before", "b", "<br>"), (5, "append", "template", "<s>4</s>"), (6, "append", "p", "5"),
+        (7, "replace", "p", "<h2>6</h2>"), (8, "replace", "p", "7"), (9, "before", "p", "8"), (10, "append", "nowhere", "9"),
+    ]
+    edits = spark.createDataFrame([(1, o, at.get(p, 999), h, x) for o, h, p, x in cases], "k int, ord int, at int, how string, html string")
+    parsed = relation.trees(edits.select("ord", "html"), "ord", options=Options(fragment=("ul", None)))
+    given = edits.drop("html").join(parsed, "ord")
+    expected = "<html><head></head><body><ul><li>a<hr><br><b>c</b><u>2</u>x</li><li>1</li><li>3</li></ul><template><s>4</s></template><h2>6</h2>78</body></html>"
+    for found in (trees, relation.exploded(trees, "k")):
+        done = rewrite.edited(found, given, "k")
+        assert set(done.columns) == set(found.columns)
+        out = {r["k"]: r["html"] for r in project.compact_html(done, "k").collect()}
+        assert out == {1: expected, 2: "<html><head></head><body><p>z</p></body></html>", 3: "<html><head></head><body></body></html>"}
+    assert [r["data"] for r in query(rewrite.edited(trees, given, "k"), "template ~ h2", "k").collect()] == [None]
+    new = rewrite.edited(trees, given, "k")
+    again = {r["k"]: r["tree"] for r in rewrite.numbered(new, ["k"]).collect()}
+    assert {r["k"]: r["tree"] for r in new.collect()} == again
+
+
 def test_sql_functions(spark):
     from tagquarry.functions import sql
 
