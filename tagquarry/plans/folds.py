@@ -249,9 +249,15 @@ MARKDOWN_STEPS: Steps = TEXTS + [
     ("above", ABOVE),
     ("lists", "transform(above, c -> c.n)"),
     ("quotes", "transform(above, c -> c.m)"),
+    ("quoted", "exists(quotes, q -> q > 0)"),
     ("shown", "filter(tree, x -> not covered[x.pre] and not off[x.pre])"),
     ("events", f"flatten({ordered(MARKDOWN_BEGIN, MARKDOWN_END, 'shown')})"),
     ("hard", "filter(transform(events, (e, i) -> if(e.k in ('raw', 'words'), i, null)), i -> i is not null)"),
     ("weak", "transform(hard, (i, k) -> slice(events, i + 2, coalesce(get(hard, k + 1), i + 1) - i - 1))"),
 ]
-MARKDOWN = f"array_join(transform(hard, (i, k) -> {PIECE}), '')"
+#: Most pieces stand outside quotations before a plain gap.
+MARKDOWN = f"""array_join(transform(hard, (i, k) -> case
+    when quoted or k + 1 = size(hard) then {PIECE}
+    when size(weak[k]) = 0 then events[i].s
+    when forall(weak[k], e -> e.k = 'gap') then concat(events[i].s, '\\n\\n')
+    else {PIECE} end), '')"""

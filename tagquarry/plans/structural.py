@@ -78,33 +78,39 @@ class Marks:
         self.rows = rows.withColumn(step + "v", F.coalesce(F.sum(F.col(step)["change"]).over(order), F.lit(0))).where(F.col(step)["end"] == 0).drop(step)
         return self.leveled(F.col(step + "v"), F.when(stops, F.col(step + "v") + 1), now & F.col("host").isNull())
 
-    def having(self, text: str, separator: str = " ") -> str:
-        """Whether the text of a node and of all below it contains a string."""
+    def having(self, texts: list[str], separator: str = " ") -> dict[str, str]:
+        """For each string a column that says whether the text of a node and of all below it contains it; all are looked up in the same two passes."""
         piece, is_text = self.add(F.when(F.col("kind") == "text", stripped(F.col("data")))), self.name()
         self.rows = self.rows.withColumn(is_text, F.coalesce(F.col(piece) != "", F.lit(False)))
-        ahead = Window.partitionBy(self.key, is_text).orderBy("pre").rowsBetween(0, len(text))
+        ahead = Window.partitionBy(self.key, is_text).orderBy("pre").rowsBetween(0, max(map(len, texts)))
         near = self.add(F.collect_list(F.when(F.col(is_text), F.struct("pre", F.col(piece).alias("t")))).over(ahead))
-        at = self.add(F.when(F.col(is_text), F.instr(F.array_join(F.transform(near, lambda p: p["t"]), separator), text)))
-        end = F.col(at) - 1 + len(text)
+        joined = self.add(F.when(F.col(is_text), F.array_join(F.transform(near, lambda p: p["t"]), separator)))
         zero = F.struct(F.lit(-len(separator)).alias("length"), F.lit(None).cast("int").alias("pre"))
 
-        def longer(a: Column, p: Column) -> Column:
-            length = a["length"] + len(separator) + F.length(p["t"])
-            return F.struct(length.alias("length"), F.when(a["pre"].isNotNull(), a["pre"]).when(length >= end, p["pre"]).alias("pre"))
+        def end(text: str) -> Column:
+            """The node in whose text the first place ends that begins in this one."""
+            at = F.instr(joined, text)
 
-        ends = self.add(F.when((F.col(at) > 0) & (F.col(at) <= F.length(piece) + len(separator)), F.aggregate(near, zero, longer)["pre"]))
-        self.rows = self.rows.drop(near, piece, is_text, at)
+            def longer(a: Column, p: Column) -> Column:
+                length = a["length"] + len(separator) + F.length(p["t"])
+                return F.struct(length.alias("length"), F.when(a["pre"].isNotNull(), a["pre"]).when(length >= at - 1 + len(text), p["pre"]).alias("pre"))
+
+            return F.when((at > 0) & (at <= F.length(piece) + len(separator)), F.aggregate(near, zero, longer)["pre"])
+
+        ends = {text: self.name() for text in texts}
+        self.rows = self.rows.select("*", *[end(text).alias(name) for text, name in ends.items()]).drop(near, piece, is_text, joined)
         after = Window.partitionBy(self.key).orderBy(F.col("pre").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        return self.add(F.coalesce(F.min(ends).over(after) <= F.col("last"), F.lit(False)))
+        has = {text: self.name() for text in texts}
+        self.rows = self.rows.select("*", *[F.coalesce(F.min(ends[t]).over(after) <= F.col("last"), F.lit(False)).alias(name) for t, name in has.items()]).drop(*ends.values())
+        return has
 
     def selected(self, c: Compiled) -> str:
         """The column that says of each node whether a selector matches it."""
+        if texts := sorted(c.wanted() - set(c.having)):
+            c.look_up(c.having | {text: lambda x, name=name: F.col(name) for text, name in self.having(texts).items()})
         for inner in c.inner.values():
             if not inner.local():
                 inner.made = self.selected(inner)
-        for text in sorted(c.wanted() - set(c.having)):
-            name = self.having(text)
-            c.look_up(c.having | {text: lambda x, name=name: F.col(name)})
         out = F.lit(False)
         for each in [self.chain(c, one) for one in c.list]:
             out |= F.col(each)
