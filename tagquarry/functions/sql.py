@@ -1,7 +1,7 @@
-"""Functions for SQL: html_unescape, html_to_text, html_to_markdown, and the table functions html_events and parse_html.
+"""Functions for SQL: html_unescape, html_unescape_attribute, html_to_text, html_to_markdown, and the table functions html_events and parse_html.
 
-html_tree parses in Python; text and Markdown are SQL functions over what it gives. As Spark analyses
-html_to_markdown for very long beside another function that runs in Python, give it a SELECT of its own.
+html_tree parses in Python; text and Markdown are SQL functions over what it gives, and references are SQL alone. As Spark
+analyses html_to_markdown for very long beside another function that runs in Python, give it a SELECT of its own.
 """
 
 from __future__ import annotations
@@ -11,12 +11,11 @@ import re
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from ..operators.relation import EVENT, NODE, events_of, flat
 from ..operators.treebuilder import parse
 from ..plans import folds
-from .entities import decode
+from .references import unescaped
 
 #: The type of relation.TREE.
 TREE_TYPE = f"array<struct<{NODE}>>"
@@ -24,11 +23,6 @@ TREE_TYPE = f"array<struct<{NODE}>>"
 NESTED = 3
 
 
-@F.pandas_udf(StringType())
-def html_unescape(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else decode(t))
-
-
 def html_tree(html: pd.Series) -> pd.Series:
     return html.map(lambda h: flat(parse(h)[0]))
 
@@ -85,7 +79,8 @@ def of_tree(spark: SparkSession, name: str, steps: folds.Steps, value: str) -> N
 
 
 def register(spark: SparkSession) -> None:
-    spark.udf.register("html_unescape", html_unescape)
+    for name, attribute in (("html_unescape", False), ("html_unescape_attribute", True)):
+        spark.sql(f"create or replace temporary function {name}(text string) returns string return {unescaped('text', attribute)}")
     spark.udf.register("html_tree", F.pandas_udf(html_tree, TREE_TYPE))
     of_tree(spark, "html_to_text", [], folds.plain_text())
     of_tree(spark, "html_to_markdown", folds.MARKDOWN_STEPS, folds.MARKDOWN)

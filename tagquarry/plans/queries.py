@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.sql import html_unescape
+from ..functions.references import unescaped
 from ..operators import project, relation, rewrite
 from ..operators.relation import TREE, Options, Steps, attribute
 from ..sources.store import stored
@@ -172,7 +172,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "replaced": _replaced,
     "encodings": _encodings,
     "escaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(project.escaped(F.col("text"))).alias("md5")),
-    "unescaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.md5(html_unescape(project.escaped(F.col("text")))).alias("md5")),
+    "unescaped_documents": lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", project.escaped(F.col("text")).alias("html")).select("doc_id", F.md5(F.expr(unescaped("html"))).alias("md5")),
+    "unescaped_pages": lambda s, d: pages(s, d).select(KEY, F.regexp_extract("html", "(?s)<footer>([^<]*)", 1).alias("foot"), F.regexp_extract("html", "(?s)<h1>([^<]*)", 1).alias("head")).select(KEY, F.expr(unescaped("foot")).alias("foot"), F.expr(unescaped("head", True)).alias("head")),
     "node_kinds": _kinds,
     "dom_size": lambda s, d: nodes(s, d).groupBy(KEY).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("depth")),
     "b_depth": lambda s, d: query(trees(s, d), "b", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("depth").cast("long").alias("depth")),
@@ -353,3 +354,5 @@ SQL["pruned_html"] = f"{_PAGES} select page_id, regexp_replace(regexp_replace(re
 SQL["inserted"] = f"{_PAGES} select page_id, replace(replace(h, '</ul>', '<li></li><hr></ul>'), '<ul><li>', '<ul><!--first--><li>') as html from parts"
 SQL["replaced"] = f"select page_id, cast(case when len(paras) > 1 then 3 when len(paras) > 0 then 2 else 1 end as bigint) as n, cast(case when len(paras) > 1 then 4 when len(paras) > 0 then 3 else 2 end as bigint) as at from ({_CUT})"
 SQL["stored_contains"] = SQL["contains_nested"]
+_FOOT = f"replace(replace({_first('<footer>([^<]*)')}, '&copy;', '©'), '&middot;', '·')"
+SQL["unescaped_pages"] = f"select page_id, {_PLAIN.format(_FOOT)} as foot, {_PLAIN.format(_first('<h1>([^<]*)'))} as head from pages"

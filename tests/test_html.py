@@ -64,6 +64,22 @@ def test_entities():
     assert decode("?a=1&copy=2&lt;", True) == "?a=1&copy=2<"
 
 
+def test_references_in_sql_equal_the_tokenizers(spark):
+    """All names with and without semicolons, before what may and may not follow, and numbers of all kinds."""
+    from html.entities import html5
+
+    from tagquarry.functions.references import unescaped
+
+    r = random.Random(1)
+    bits = ["&", "#", "x", "amp", "lt", ";", "&#", "&#X", "0", "9", "f", "41", "&not", "it;", "in;", " ", "=", "é", "😀", "&#128;", "&#xD800;", "&#x110000;", "&#0;", "&#1114111;", "&#99999999999;", "&#x0000000000041"]
+    texts = [f.format(n.rstrip(";")) for n in html5 for f in ("a &{}; b", "&{}", "&{}x;", "&{}=1&{}1 ".replace("1&{}", "1"))] + ["".join(r.choice(bits) for _ in range(8)) for _ in range(800)] + [None, "", "&", "no"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", F.expr(unescaped("t")).alias("text"), F.expr(unescaped("t", True)).alias("value"))
+    assert "Python" not in docs._jdf.queryExecution().executedPlan().toString()
+    for x in docs.collect():
+        t = texts[x["i"]]
+        assert (x["text"], x["value"]) == ((None, None) if t is None else (decode(t), decode(t, True))), t
+
+
 def test_encoding():
     assert encoding.decode(b"\xef\xbb\xbfa")[0] == "a"
     assert encoding.decode("é".encode(), "utf8") == ("é", "utf-8")
