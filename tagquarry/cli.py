@@ -55,7 +55,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     separator = "\n\n" if a.format == "markdown" else "\n"
     if a.output:
         write_text(joined(rows, "path", "pre", "out", a.format == "markdown"), a.output)
-        return 0
+        return 1 if spark.read.text(a.output).isEmpty() else 0
     results = (r["out"] for r in rows.orderBy("path", "pre").toLocalIterator())
     if (one := next(results, None)) is None:
         return 1

@@ -239,15 +239,15 @@ def events(docs: DataFrame, key: str, column: str = "html", options: Options = O
     return _exploded(docs, key, column, EVENT, lambda v: events_of(_html(v, options.transport)[0], options.keep_bom, options.xml), options)
 
 
-def documents(docs: DataFrame, key: str, column: str = "html", transport: str | None = None, options: Options = Options()) -> DataFrame:
-    """A row a document: status (ok, or rejected by strict), encoding, quirks, errors and decoded text."""
+def documents(docs: DataFrame, key: str, column: str = "html", transport: str | None = None, options: Options = Options(), text: bool = True) -> DataFrame:
+    """A row a document: status (ok, or rejected by strict), encoding, quirks, errors and, with text, decoded text."""
     def rows_of(value):
         html, encoding = _html(value, transport or options.transport)
         _, builder = parse(html, fragment=options.fragment, srcdoc=options.srcdoc, xml=options.xml, keep_bom=options.keep_bom)
         found = found_errors(builder)
-        return [{"status": "rejected" if options.strict and found else "ok", "encoding": encoding, "quirks": builder.quirks, "n_errors": len(found), "first_error": found[0]["code"] if found else None, "text": html}]
+        return [{"status": "rejected" if options.strict and found else "ok", "encoding": encoding, "quirks": builder.quirks, "n_errors": len(found), "first_error": found[0]["code"] if found else None} | ({"text": html} if text else {})]
 
-    return _exploded(docs, key, column, "status string, encoding string, quirks string, n_errors int, first_error string, text string", rows_of, options)
+    return _exploded(docs, key, column, "status string, encoding string, quirks string, n_errors int, first_error string" + ", text string" * text, rows_of, options)
 
 
 def attribute(name: str, exact: bool = False, attrs: Column | None = None) -> Column:
@@ -258,6 +258,14 @@ def attribute(name: str, exact: bool = False, attrs: Column | None = None) -> Co
 
 
 def highlighted(found: DataFrame, docs: DataFrame, key: str, column: str = "html") -> DataFrame:
-    """Errors with the line of text they stand in."""
+    """Errors with the line of text they stand in (err_text), and the range there to point at: columns `offset` up to, but not with, `end_offset`, from 1.
+
+    The range is the tag around the error: it begins with a `<` at most ten characters before, or else at the error, and ends with the next `>`, or else with the line."""
     line = F.get(F.split(F.regexp_replace(F.col(column), "\r\n?", "\n"), "\n", -1), F.col("line") - 1)
-    return found.join(docs.select(key, column), key).withColumn("err_text", line).drop(column)
+    # from the last < before the error on
+    tag = "length(left(err_text, col - 1)) - instr(reverse(left(err_text, col - 1)), '<') + 1"
+    near = f"contains(left(err_text, col - 1), '<') and col - 1 - ({tag}) <= 10"
+    offset = f"case when err_text is null then null when substr(err_text, col, 1) <> '<' and {near} then {tag} else col end"
+    end = "case when locate('>', err_text, col) > 0 then locate('>', err_text, col) + 1 else greatest(length(err_text) + 1, col) end"
+    lines = found.join(docs.select(key, column), key).withColumn("err_text", line).drop(column)
+    return lines.withColumns({"offset": F.expr(offset), "end_offset": F.when(F.col("err_text").isNotNull(), F.expr(end))})

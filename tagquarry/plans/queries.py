@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages; dealt out over the cores where the source gives fewer partitions than there are, as parsing is the work."""
     docs = spark.read.parquet(f"{sf_dir}/pages.parquet").select(KEY, "html")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, KEY) if docs.rdd.getNumPartitions() < cores else docs
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(cores, KEY) if size < cores * byte_count(spark.conf.get("spark.sql.files.maxPartitionBytes")) else docs
+
+
+def byte_count(text: str) -> int:
+    """A size as Spark's settings write it."""
+    number, unit = re.fullmatch("([0-9]+)([a-z]*)", text.strip().lower()).groups()
+    return int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit[:1]]
 
 
 def trees(spark: SparkSession, sf_dir: str, options: Options = Options()) -> DataFrame:
@@ -100,7 +108,20 @@ def _kinds(s: SparkSession, d: str) -> DataFrame:
 
 def _encodings(s: SparkSession, d: str) -> DataFrame:
     docs = pages(s, d).select(KEY, F.encode("html", "UTF-8").alias("content"))
-    return relation.documents(docs, KEY, "content").select(KEY, "status", "encoding", "quirks")
+    return relation.documents(docs, KEY, "content", text=False).select(KEY, "status", "encoding", "quirks")
+
+
+def _mixed_encodings(s: SparkSession, d: str) -> DataFrame:
+    """The pages in four encodings, told by a mark or by a declaration, and decoded again."""
+    html, marked = F.col("html"), F.regexp_replace("html", "<meta charset=\"[^\"]*\">", "<meta charset=latin1>")
+    content = F.when(F.col(KEY) % 4 == 0, F.encode(html, "UTF-8")).when(F.col(KEY) % 4 == 1, F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")))
+    content = content.when(F.col(KEY) % 4 == 2, F.concat(F.unhex(F.lit("FEFF")), F.encode(html, "UTF-16BE"))).otherwise(F.encode(marked, "ISO-8859-1"))
+    return relation.documents(pages(s, d).select(KEY, content.alias("content")), KEY, "content").select(KEY, "encoding", F.md5("text").alias("md5"))
+
+
+def _error_ranges(s: SparkSession, d: str) -> DataFrame:
+    docs = pages(s, d)
+    return relation.highlighted(relation.errors(docs, KEY), docs, KEY).select(KEY, "ord", "code", "line", "col", "offset", "end_offset", F.md5("err_text").alias("md5"))
 
 
 def _fragments(s: SparkSession, d: str) -> DataFrame:
@@ -182,7 +203,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "empty_elements": _counted(":empty"),
     "contains_text": _counted("article p:contains(the)"),
     "parse_errors": lambda s, d: relation.errors(pages(s, d), KEY).groupBy("source", "code").agg(F.count(F.lit(1)).alias("n")),
-    "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True)).select(KEY, "status", "n_errors", "first_error"),
+    "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True), text=False).select(KEY, "status", "n_errors", "first_error"),
+    "mixed_encodings": _mixed_encodings,
+    "error_ranges": _error_ranges,
     "page_text": lambda s, d: project.texts(trees(s, d), KEY),
     "compact_html": lambda s, d: project.compact_html(trees(s, d), KEY),
     "pretty_html": lambda s, d: project.to_html(pages(s, d), KEY),
@@ -356,3 +379,10 @@ SQL["replaced"] = f"select page_id, cast(case when len(paras) > 1 then 3 when le
 SQL["stored_contains"] = SQL["contains_nested"]
 _FOOT = f"replace(replace({_first('<footer>([^<]*)')}, '&copy;', '©'), '&middot;', '·')"
 SQL["unescaped_pages"] = f"select page_id, {_PLAIN.format(_FOOT)} as foot, {_PLAIN.format(_first('<h1>([^<]*)'))} as head from pages"
+SQL["mixed_encodings"] = "select page_id, ['utf-8', 'utf-16le', 'utf-16be', 'windows-1252'][page_id % 4 + 1] as encoding, md5(case when page_id % 4 = 3 then regexp_replace(html, '<meta charset=\"[^\"]*\">', '<meta charset=latin1>') else html end) as md5 from pages"
+#: Errors of the pages: once a paragraph has opened a <b>, all ends of paragraphs find it open, and so do the starts or the end of the article that close paragraphs, and the footer's end.
+_OPENS = "starts_with({0}, '<p><b>')"
+_ANY = f"len(list_filter(paras, lambda u: {_OPENS.format('u')})) > 0"
+_ERRORS = f"select page_id, len(list_filter(paras, lambda v, i: len(list_filter(paras[1:i], lambda u: {_OPENS.format('u')})) > 0)) + cast({_ANY} as int) as n, cast({_OPENS.format('paras[len(paras)]')} as int) + cast({_ANY} as int) as early, {_OPENS.format('paras[len(paras)]')} and len(list_filter(paras, lambda u: {_OPENS.format('u')})) = 1 as late from ({_CUT})"
+SQL["strict_pages"] = f"select page_id, case when n > 0 then 'rejected' else 'ok' end as status, cast(n as int) as n_errors, case when n = 0 then null when late then 'end-tag-too-early' else 'expected-closing-tag-but-got-another' end as first_error from ({_ERRORS})"
+SQL["parse_errors"] = f"select 'treebuilder' as source, code, cast(sum(x) as bigint) as n from (select 'end-tag-too-early' as code, early as x from ({_ERRORS}) union all select 'expected-closing-tag-but-got-another', n - early from ({_ERRORS})) group by code having sum(x) > 0"

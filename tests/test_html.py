@@ -291,6 +291,27 @@ def test_errors_and_strict(spark):
     assert status == {1: "ok", 2: "rejected"}
 
 
+def test_error_ranges(spark):
+    """The tag around an error, by looking back and forth from it."""
+    def by_hand(text, col):
+        start = col - 1
+        if text[start : start + 1] != "<" and "<" in text[max(0, start - 11) : start]:
+            start = text.rindex("<", 0, start)
+        end = text.find(">", col - 1)
+        return start + 1, (end if end >= 0 else max(len(text), col - 1) - 1) + 2
+
+    lines = ["<p a=1 a=2>x", "x</b>", "no tag here", "<" + "y" * 10 + "z", "<" + "y" * 11 + "z", "", "a<b", "<a><b>c"]
+    docs = spark.createDataFrame([(1, "\r\n".join(lines))], "k int, html string")
+    places = [(1, i, c) for i, t in enumerate(lines, 1) for c in range(1, len(t) + 2)] + [(1, 99, 1)]
+    found = relation.highlighted(spark.createDataFrame(places, "k int, line int, col int"), docs, "k").collect()
+    assert len(found) == len(places)
+    for r in found:
+        if r["line"] == 99:
+            assert r["err_text"] is r["offset"] is r["end_offset"] is None
+        else:
+            assert r["err_text"] == lines[r["line"] - 1] and (r["offset"], r["end_offset"]) == by_hand(r["err_text"], r["col"]), r
+
+
 def test_rewrites(spark, nodes):
     one = nodes.where("k = 1")
     rest = rewrite.remove(one, "section, template", "k")
@@ -322,6 +343,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert capsys.readouterr().out == "<p>a</p>\n"
     assert cli.main([str(tmp_path), "--selector", "p:bogus"], spark) == 2
     assert cli.main([str(tmp_path), "--selector", "table"], spark) == 1
+    assert cli.main([str(tmp_path), "--selector", "table", "--output", str(tmp_path / "none")], spark) == 1
+    assert cli.main([str(tmp_path / "a.html"), "--selector", "p", "--format", "markdown", "--output", str(tmp_path / "some")], spark) == 0
+    assert "".join(p.read_text() for p in (tmp_path / "some").glob("part-*")) == "a\n\nb\n\n"
 
 
 def test_text_of_deep_trees(spark):
