@@ -12,6 +12,7 @@ from ..functions.references import unescaped
 from ..operators import project, relation, rewrite
 from ..operators.relation import TREE, Options, Steps, attribute
 from ..sources.store import stored
+from .selector_sets import matched
 from .selectors import Compiled, matches, query
 
 KEY = "page_id"
@@ -73,6 +74,15 @@ def _replaced(s: SparkSession, d: str) -> DataFrame:
     return query(rewrite.edited(found, edits, KEY), "article > hr + p, article > h2:first-child + hr, article:not(h1) > p:nth-of-type(2)", KEY).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), F.max("elem_idx").cast("long").alias("at"))
 
 
+def _selector_set(s: SparkSession, d: str) -> DataFrame:
+    """A selector for each place that any page links to, and for each language; how many nodes on how many pages each matches."""
+    places = query(stored_nodes(s, d), "nav a[href]", KEY).select(HREF()).distinct().where("href <> '' and not contains(href, '\\'')")
+    langs = query(stored_nodes(s, d), "html[lang]", KEY).select(attr("lang")()).distinct()
+    rules = places.select(F.concat(F.lit("nav > ul li > a[href='"), "href", F.lit("']")).alias("rule")).unionByName(langs.select(F.concat(F.lit("[lang='"), "lang", F.lit("'] li:first-child + li")).alias("rule")))
+    found = matched(stored_trees(s, d), rules.select("rule", F.col("rule").alias("text")), KEY, "rule", "text")
+    return found.groupBy("rule").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(KEY).alias("pages"))
+
+
 def _stored(selector: str, *columns, **options) -> Callable[[SparkSession, str], DataFrame]:
     """Matches, or without columns their number, among stored nodes."""
     def run(s: SparkSession, d: str) -> DataFrame:
@@ -216,6 +226,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stored_footer_in_b": _stored("b footer, footer b"),
     "stored_links": _stored("ul li:not(p li) + li a, nav li:first-child > a", HREF, within="nav"),
     "stored_contains": _stored("nav:contains('e, '), nav ul:contains('e a'), li:contains(th), article:contains('. A'), body:contains('. A')"),
+    "selector_set": _selector_set,
     "nested_texts": with_text_of("nav, ul, li, article"),
     "contains_nested": _counted("nav:contains('e, '), nav ul:contains('e a'), li:contains(th), article:contains('. A'), body:contains('. A')"),
 }
@@ -386,3 +397,9 @@ _ANY = f"len(list_filter(paras, lambda u: {_OPENS.format('u')})) > 0"
 _ERRORS = f"select page_id, len(list_filter(paras, lambda v, i: len(list_filter(paras[1:i], lambda u: {_OPENS.format('u')})) > 0)) + cast({_ANY} as int) as n, cast({_OPENS.format('paras[len(paras)]')} as int) + cast({_ANY} as int) as early, {_OPENS.format('paras[len(paras)]')} and len(list_filter(paras, lambda u: {_OPENS.format('u')})) = 1 as late from ({_CUT})"
 SQL["strict_pages"] = f"select page_id, case when n > 0 then 'rejected' else 'ok' end as status, cast(n as int) as n_errors, case when n = 0 then null when late then 'end-tag-too-early' else 'expected-closing-tag-but-got-another' end as first_error from ({_ERRORS})"
 SQL["parse_errors"] = f"select 'treebuilder' as source, code, cast(sum(x) as bigint) as n from (select 'end-tag-too-early' as code, early as x from ({_ERRORS}) union all select 'expected-closing-tag-but-got-another', n - early from ({_ERRORS})) group by code having sum(x) > 0"
+_LINKS = f"links as (select page_id, {_PLAIN.format('u')} as href from (select page_id, unnest({_A}) as u from pages)), langs as (select page_id, {_first('<html lang=\"([^\"]*)\"')} as lang, len({_A}) as n from pages)"
+_QUOTE = _quoted("'")
+SQL["selector_set"] = (
+    f"with {_LINKS} select 'nav > ul li > a[href=' || {_QUOTE} || href || {_QUOTE} || ']' as rule, count(*) as nodes, count(distinct page_id) as pages from links where href <> '' and not contains(href, {_QUOTE}) group by 1 "
+    f"union all select '[lang=' || {_QUOTE} || lang || {_QUOTE} || '] li:first-child + li', count(*), count(*) from langs where n > 1 group by 1"
+)

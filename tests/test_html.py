@@ -404,3 +404,24 @@ def test_rows_of_nodes_answer_like_trees(spark):
     plan = query(rows, "div p > b ~ li + li", "k", within="div")._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and plan.count("Exchange hashpartitioning") == 1
     assert query(rows, "p", "k", only_first=True).count() == query(trees, "p", "k", only_first=True).count()
+
+
+def test_selector_sets_match_like_single_selectors(spark):
+    from tagquarry.plans import selector_sets
+
+    trees = relation.trees(spark.createDataFrame(random_pages(3, 30), "k int, html string"), "k").cache()
+    r = random.Random(4)
+    simple = ["div", "p", "*", ".x", ".y", "#a", "li:first-child", "b:last-of-type", ":nth-child(2n+1)", ":nth-child(-n+2)", "span:not(.x)", "[class~=y]", "[class^='x ']", "[id]", "[id=b]", ":empty", "p:only-child", "td", ":root", "li:not(:first-child)", "b.x.z"]
+    chosen = {"".join([r.choice(simple)] + [r.choice([" ", " > ", " + ", " ~ "]) + r.choice(simple) for _ in range(r.randint(0, 3))]) for _ in range(25)} | {"p, div > b, .x"}
+    rules = spark.createDataFrame([(i, t) for i, t in enumerate(sorted(chosen))] + [(100, "p >"), (101, "p:contains(a)"), (102, None)], "rule int, text string")
+    found = {}
+    for x in selector_sets.matched(trees, rules, "k", "rule", "text").collect():
+        assert (x["k"], x["pre"]) not in found.setdefault(x["rule"], set())
+        found[x["rule"]].add((x["k"], x["pre"]))
+    for i, text in enumerate(sorted(chosen)):
+        assert found.get(i, set()) == {(x["k"], x["pre"]) for x in query(trees, text, "k").select("k", "pre").collect()}, text
+    assert len(found) > 10 and max(found) < 100
+    errors = {x["rule"]: x["error"] for x in selector_sets.steps_of(rules, "rule", "text").where("error is not null").collect()}
+    assert set(errors) == {100, 101, 102}
+    keys = {x["rule"]: x["key"] for x in selector_sets.steps_of(spark.createDataFrame([(1, "p > a.z[href='/x']#i"), (2, "a[href=/x].z"), (3, "p.z"), (4, "div *"), (5, "p:not(#i)")], "rule int, text string"), "rule", "text").collect()}
+    assert keys == {1: "id i", 2: "attr href /x", 3: "class z", 4: "any", 5: "tag p"}
