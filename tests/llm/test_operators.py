@@ -142,7 +142,7 @@ def test_neighbours_found_by_retrieval():
     assert index.neighbours(0, np.array([True, False, False, False])).tolist() == [2]
 
 
-def test_packing_asks_all_shards(spark, monkeypatch):
+def test_packing_finds_neighbours_over_small_shards(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_DOCS", 10)
     r = np.random.default_rng(7)
     topics = [["".join(r.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(20)] for _ in range(40)]
