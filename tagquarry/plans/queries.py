@@ -403,3 +403,13 @@ SQL["selector_set"] = (
     f"with {_LINKS} select 'nav > ul li > a[href=' || {_QUOTE} || href || {_QUOTE} || ']' as rule, count(*) as nodes, count(distinct page_id) as pages from links where href <> '' and not contains(href, {_QUOTE}) group by 1 "
     f"union all select '[lang=' || {_QUOTE} || lang || {_QUOTE} || '] li:first-child + li', count(*), count(*) from langs where n > 1 group by 1"
 )
+#: A line a node: the depth is how many elements are open.
+_TOKENS = "regexp_extract_all(h, '(?s)<!DOCTYPE[^>]*>|<!--.*?-->|</?[a-z][^>]*>|[^<]+')"
+_VALUE = "replace(replace(regexp_extract(t, '^<[a-z0-9]+ [a-z]+=[\"'']?(.*?)[\"'']?>$', 1), '&quot;', '\"'), '&amp;', '&')"
+SQL["tree_dump"] = f"""{_PAGES}, listed as (select page_id, unnest({_TOKENS}) as t, unnest(range(len({_TOKENS}))) as i from parts),
+leveled as (select *, regexp_matches(t, '^<[a-z]') as element, sum(case when t like '</%' then -1 when regexp_matches(t, '^<[a-z]') and not regexp_matches(t, '^<(meta|br)') then 1 else 0 end) over (partition by page_id order by i)
+    - cast(regexp_matches(t, '^<[a-z]') and not regexp_matches(t, '^<(meta|br)') as int) as depth from listed),
+lines as (select page_id, i, '| ' || repeat('  ', cast(depth as int)) || case when t like '<!D%' then '<!DOCTYPE html>' when t like '<!--%' then '<!-- ' || regexp_extract(t, '(?s)<!--(.*)-->', 1) || ' -->'
+    when element then '<' || regexp_extract(t, '^<([a-z0-9]+)', 1) || '>' || case when regexp_matches(t, '^<[a-z0-9]+ ') then chr(10) || '| ' || repeat('  ', cast(depth as int) + 1) || regexp_extract(t, ' ([a-z]+)', 1) || '=\"' || {_VALUE} || '\"' else '' end
+    else '\"' || replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') || '\"' end as line from leveled where t not like '</%')
+select page_id, string_agg(line, chr(10) order by i) as dump from lines group by page_id"""
