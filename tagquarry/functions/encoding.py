@@ -78,12 +78,16 @@ def sniffed(content: bytes, transport: str | None = None) -> tuple[str, int]:
 
 
 def decode(content: bytes, transport: str | None = None) -> tuple[str, str]:
-    """Text and encoding. Bytes that windows-1252 doesn't define become C1 controls, all else U+FFFD."""
+    """Text and encoding."""
     name, skip = sniffed(content, transport)
-    content = content[skip:]
+    return decoded_as(content[skip:], name), name
+
+
+def decoded_as(content: bytes, name: str) -> str:
+    """Bytes that windows-1252 doesn't define become C1 controls, all else U+FFFD."""
     if name == "windows-1252":
         try:
-            return content.decode("cp1252"), name
+            return content.decode("cp1252")
         except UnicodeDecodeError:
-            return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in content), name
-    return content.decode(name, "replace"), name
+            return "".join(bytes([b]).decode("cp1252") if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else chr(b) for b in content)
+    return content.decode(name, "replace")

@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.relation import EVENT, NODE, events_of, flat
+from ..operators.relation import NODE, flat
 from ..operators.treebuilder import parse
 from ..plans import folds
+from . import tables
 from .references import unescaped
 
 #: The type of relation.TREE.
@@ -27,32 +28,6 @@ def html_tree(html: pd.Series) -> pd.Series:
     return html.map(lambda h: flat(parse(h)[0]))
 
 
-def columns(ddl: str) -> list[str]:
-    """Names in a DDL text, without a session."""
-    return [column.split()[0] for column in re.sub("<.*?>>", "", ddl).split(", ")]
-
-
-def plain(rows: list[dict], names: list[str]):
-    for r in rows:
-        yield tuple([(a["name"], a["value"]) for a in r[n] or []] if n == "attrs" else r[n] for n in names)
-
-
-@F.udtf(returnType=EVENT)
-class HtmlEvents:
-    """The rows of relation.events() for one document."""
-
-    def eval(self, html: str):
-        yield from plain(events_of(html), columns(EVENT))
-
-
-@F.udtf(returnType=NODE)
-class ParseHtml:
-    """The rows of relation.nodes() for one document."""
-
-    def eval(self, html: str):
-        yield from plain(flat(parse(html)[0]), columns(NODE))
-
-
 def of_tree(spark: SparkSession, name: str, steps: folds.Steps, value: str) -> None:
     """A SQL function of html for a value of its tree: functions of some steps each, that hand on a struct of what has been computed."""
     made = spark.createDataFrame([], f"tree {TREE_TYPE}")
@@ -84,5 +59,5 @@ def register(spark: SparkSession) -> None:
     spark.udf.register("html_tree", F.pandas_udf(html_tree, TREE_TYPE))
     of_tree(spark, "html_to_text", [], folds.plain_text())
     of_tree(spark, "html_to_markdown", folds.MARKDOWN_STEPS, folds.MARKDOWN)
-    spark.udtf.register("html_events", HtmlEvents)
-    spark.udtf.register("parse_html", ParseHtml)
+    spark.udtf.register("html_events", tables.html_events())
+    spark.udtf.register("parse_html", tables.parse_html())

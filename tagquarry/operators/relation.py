@@ -10,15 +10,16 @@ parses each document once; everything after it is DataFrame operations.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BinaryType, StringType, StructType
 
-from ..functions.encoding import decode as decode_bytes
+from ..functions import charsets
+from ..functions.encoding import decoded_as
 from .tokenizer import Token, Tokenizer
 from .treebuilder import Node, parse
 
@@ -101,8 +102,11 @@ def found_errors(builder) -> list[dict]:
     return out
 
 
-def _html(value, transport) -> tuple[str | None, str | None]:
-    return decode_bytes(value, transport) if isinstance(value, (bytes, bytearray)) else (value, None)
+def _html(value) -> tuple[str | None, str | None]:
+    """Text and, of what was bytes, encoding."""
+    if not isinstance(value, dict):
+        return value, None
+    return value["text"] if value["rest"] is None else decoded_as(value["rest"], value["encoding"]), value["encoding"]
 
 
 def events_of(html: str | None, keep_bom: bool = False, xml: bool = False) -> list[dict]:
@@ -125,7 +129,7 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = DOCS) -> Iterator[pa.R
 
 
 def _exploded(docs: DataFrame, key: str, column: str, schema: str | StructType, rows_of, options: Options) -> DataFrame:
-    """A Python pass over (key, column): the rows that rows_of gives for each document, behind its key."""
+    """A Python pass over (key, column): the rows that rows_of gives for each document, behind its key. Bytes are decoded before, by expressions as far as these can."""
     whole = StructType([docs.schema[key], *(StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields])
     arrow = to_arrow_schema(whole)
     names = [f.name for f in whole.fields]
@@ -144,12 +148,15 @@ def _exploded(docs: DataFrame, key: str, column: str, schema: str | StructType,
                     rows, size = [], 0
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select(key, column).mapInArrow(run, whole)
+    docs = docs.select(key, column)
+    if docs.schema[column].dataType == BinaryType():
+        label = F.lit(options.transport).cast(StringType())
+        docs = charsets.with_text(docs.withColumn("__label", label), column, "__decoded", "__label", python=False).select(key, "__decoded")
+    return docs.mapInArrow(run, whole)
 
 
 def _parsed(value, o: Options):
-    html, _ = _html(value, o.transport)
-    return parse(html, fragment=o.fragment, srcdoc=o.srcdoc, xml=o.xml, keep_bom=o.keep_bom)
+    return parse(_html(value)[0], fragment=o.fragment, srcdoc=o.srcdoc, xml=o.xml, keep_bom=o.keep_bom)
 
 
 def trees(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
@@ -236,13 +243,15 @@ def errors(docs: DataFrame, key: str, column: str = "html", options: Options = O
 
 
 def events(docs: DataFrame, key: str, column: str = "html", options: Options = Options()) -> DataFrame:
-    return _exploded(docs, key, column, EVENT, lambda v: events_of(_html(v, options.transport)[0], options.keep_bom, options.xml), options)
+    return _exploded(docs, key, column, EVENT, lambda v: events_of(_html(v)[0], options.keep_bom, options.xml), options)
 
 
 def documents(docs: DataFrame, key: str, column: str = "html", transport: str | None = None, options: Options = Options(), text: bool = True) -> DataFrame:
     """A row a document: status (ok, or rejected by strict), encoding, quirks, errors and, with text, decoded text."""
+    options = replace(options, transport=transport or options.transport)
+
     def rows_of(value):
-        html, encoding = _html(value, transport or options.transport)
+        html, encoding = _html(value)
         _, builder = parse(html, fragment=options.fragment, srcdoc=options.srcdoc, xml=options.xml, keep_bom=options.keep_bom)
         found = found_errors(builder)
         return [{"status": "rejected" if options.strict and found else "ok", "encoding": encoding, "quirks": builder.quirks, "n_errors": len(found), "first_error": found[0]["code"] if found else None} | ({"text": html} if text else {})]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import charsets, tables
 from ..functions.references import unescaped
 from ..operators import project, relation, rewrite
 from ..operators.relation import TREE, Options, Steps, attribute
@@ -129,6 +130,48 @@ def _mixed_encodings(s: SparkSession, d: str) -> DataFrame:
     return relation.documents(pages(s, d).select(KEY, content.alias("content")), KEY, "content").select(KEY, "encoding", F.md5("text").alias("md5"))
 
 
+def _told_encodings(s: SparkSession, d: str) -> DataFrame:
+    """The pages as bytes in eight ways that say their encoding, told and decoded by expressions alone."""
+    way, html = F.col(KEY) % 8, F.col("html")
+
+    def declared(meta: str) -> Column:
+        return F.regexp_replace("html", "<meta charset=\"[^\"]*\">", meta)
+
+    latin = declared("<meta charset=latin1>")
+    ways = [
+        F.encode(html, "UTF-8"),
+        F.concat(F.unhex(F.lit("FFFE")), F.encode(html, "UTF-16LE")),
+        F.concat(F.unhex(F.lit("FEFF")), F.encode(html, "UTF-16BE")),
+        F.encode(latin, "ISO-8859-1"),
+        F.concat(F.unhex(F.lit("EFBBBF")), F.encode(latin, "UTF-8")),
+        F.encode(declared("<!--<meta charset=utf-8>-->"), "ISO-8859-1"),
+        F.encode(declared("<meta http-equiv=Content-Type content='text/html; charset = utf8'>"), "UTF-8"),
+        F.encode(latin, "UTF-8"),
+    ]
+    content = F.coalesce(*[F.when(way == i, w) for i, w in enumerate(ways)])
+    docs = pages(s, d).select(KEY, content.alias("content"), F.when(way == 7, " UTF8 ").alias("label"))
+    return charsets.with_text(docs, "content", "told", "label", python=False).select(KEY, "told.encoding", F.md5("told.text").alias("md5"))
+
+
+def _lateral_links(s: SparkSession, d: str) -> DataFrame:
+    """Links by a table function called for each page."""
+    found = pages(s, d).lateralJoin(tables.html_events()(F.col("html").outer(), fields=F.lit("event, name, attrs")))
+    return found.where("event = 'start' and name = 'a'").select(KEY, HREF())
+
+
+def _table_comments(s: SparkSession, d: str) -> DataFrame:
+    """Comments by a table function of the table of pages."""
+    found = tables.parse_html()(pages(s, d).asTable(), column=F.lit("html"), keys=F.lit(KEY), fields=F.lit("kind, data"))
+    return found.where("kind = 'comment'").select(KEY, F.col("data").alias("comment"))
+
+
+def _joined_pieces(s: SparkSession, d: str) -> DataFrame:
+    """Sizes of pages that are stored in pieces of 500 characters, joined by the table function."""
+    parts = pages(s, d).select(KEY, F.posexplode(F.expr("transform(sequence(0, length(html) div 500), i -> substr(html, i * 500 + 1, 500))")).alias("at", "part"))
+    found = tables.parse_html()(parts.asTable(), column=F.lit("part"), keys=F.lit(KEY), pieces=F.lit("at"), fields=F.lit("depth"))
+    return found.groupBy(KEY).agg(F.count(F.lit(1)).alias("nodes"), F.max("depth").cast("long").alias("depth"))
+
+
 def _error_ranges(s: SparkSession, d: str) -> DataFrame:
     docs = pages(s, d)
     return relation.highlighted(relation.errors(docs, KEY), docs, KEY).select(KEY, "ord", "code", "line", "col", "offset", "end_offset", F.md5("err_text").alias("md5"))
@@ -215,6 +258,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_errors": lambda s, d: relation.errors(pages(s, d), KEY).groupBy("source", "code").agg(F.count(F.lit(1)).alias("n")),
     "strict_pages": lambda s, d: relation.documents(pages(s, d), KEY, options=Options(strict=True), text=False).select(KEY, "status", "n_errors", "first_error"),
     "mixed_encodings": _mixed_encodings,
+    "told_encodings": _told_encodings,
+    "lateral_links": _lateral_links,
+    "table_comments": _table_comments,
+    "joined_pieces": _joined_pieces,
     "error_ranges": _error_ranges,
     "page_text": lambda s, d: project.texts(trees(s, d), KEY),
     "compact_html": lambda s, d: project.compact_html(trees(s, d), KEY),
@@ -391,6 +438,10 @@ SQL["stored_contains"] = SQL["contains_nested"]
 _FOOT = f"replace(replace({_first('<footer>([^<]*)')}, '&copy;', '©'), '&middot;', '·')"
 SQL["unescaped_pages"] = f"select page_id, {_PLAIN.format(_FOOT)} as foot, {_PLAIN.format(_first('<h1>([^<]*)'))} as head from pages"
 SQL["mixed_encodings"] = "select page_id, ['utf-8', 'utf-16le', 'utf-16be', 'windows-1252'][page_id % 4 + 1] as encoding, md5(case when page_id % 4 = 3 then regexp_replace(html, '<meta charset=\"[^\"]*\">', '<meta charset=latin1>') else html end) as md5 from pages"
+_DECLARED = ["'<meta charset=latin1>'", "'<!--<meta charset=utf-8>-->'", "'<meta http-equiv=Content-Type content=''text/html; charset = utf8''>'"]
+_TOLD = f"case page_id % 8 when 5 then {_DECLARED[1]} when 6 then {_DECLARED[2]} else {_DECLARED[0]} end"
+SQL["told_encodings"] = f"select page_id, ['utf-8', 'utf-16le', 'utf-16be', 'windows-1252', 'utf-8', 'windows-1252', 'utf-8', 'utf-8'][page_id % 8 + 1] as encoding, md5(case when page_id % 8 < 3 then html else regexp_replace(html, '<meta charset=\"[^\"]*\">', {_TOLD}) end) as md5 from pages"
+SQL["lateral_links"], SQL["table_comments"], SQL["joined_pieces"] = SQL["nav_links"], SQL["comments"], SQL["dom_size"]
 #: Errors of the pages: once a paragraph has opened a <b>, all ends of paragraphs find it open, and so do the starts or the end of the article that close paragraphs, and the footer's end.
 _OPENS = "starts_with({0}, '<p><b>')"
 _ANY = f"len(list_filter(paras, lambda u: {_OPENS.format('u')})) > 0"

@@ -207,7 +207,7 @@ def test_each_document_is_parsed_once(spark):
         plan = made(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         parses = sum(plan.count(kind) for kind in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "BatchEvalPython"))
         stored = name.startswith("stored_") or name == "inserted"
-        expected = 0 if stored or "escaped" in name else 1  # of `replaced` the fragments, of `selector_set` the selectors
+        expected = 0 if stored or "escaped" in name or name == "told_encodings" else 1  # of `replaced` the fragments, of `selector_set` the selectors
         assert parses == expected, name
 
 
