@@ -1357,7 +1357,8 @@ class Builder:
         elif t.type == "comment":
             self.comment(t)
         elif t.type == "start" and t.name == "html":
-            return self.in_body(t)
+            self.mode = self.in_body  # where a further frameset is not taken
+            return True
         elif t.type == "start" and t.name in ("frameset", "frame"):
             self.insert(t)
             if t.name == "frame":

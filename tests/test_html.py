@@ -21,6 +21,7 @@ TREES = [
     ("<td>x", ("tr", None), "| <td>\n|   \"x\""),
     ("<select><option>a<option>b</select>", None, "| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <option>\n|         \"a\"\n|       <option>\n|         \"b\""),
     ("<frameset><frame></frameset>", None, "| <html>\n|   <head>\n|   <frameset>\n|     <frame>"),
+    ("<b><frameset><frame><html><frameset></frameset>", None, "| <html>\n|   <head>\n|   <frameset>\n|     <frame>"),
     ("<a>1<a>2", None, "| <html>\n|   <head>\n|   <body>\n|     <a>\n|       \"1\"\n|     <a>\n|       \"2\""),
     ("<math><mi>\0\fx</mi></math>", None, "| <html>\n|   <head>\n|   <body>\n|     <math math>\n|       <math mi>\n|         \"x\""),
     ("<select><plaintext></select>", None, "| <html>\n|   <head>\n|   <body>\n|     <select>\n|       <plaintext>\n|         \"</select>\""),
