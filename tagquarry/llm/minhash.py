@@ -14,9 +14,11 @@ whose members then still lie in different components are cut into cells of bound
 to which each member brings its full set once; what isn't of the bucket's main component
 is compared there, by sketches and then by sets, and only the links that join components
 leave, fewer than a cell has members. A pair is compared in the first bucket that it shares.
-Buckets with over WIDE members besides the main component are first dealt anew by the
-pair's second band. Nothing is capped: a pair at the line of 0.8 is missed with a chance
-of about 3e-6 (5e-5 where its bucket is dealt anew).
+Classes of buckets with over WIDE members besides the main component are dealt anew by
+their sets' rarest shingles instead, so many that two sets at the line must share one of
+them; those that share one are compared by full sets, as pairs where they are few and in
+cells where they are many, so no pair of such a bucket is missed. Nothing is capped: a pair
+at the line of 0.8 shares no bucket at all with a chance of about 3e-6.
 
 Null texts, and texts without words, have no shingles and link with nothing. Repeated
 rows are copies of each other, so those after the first of an id count as kept too.
@@ -28,12 +30,12 @@ table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import by_group, drop, join_by_share, map_texts, mixed, saved, table
@@ -41,6 +43,8 @@ from .common import by_group, drop, join_by_share, map_texts, mixed, saved, tabl
 BUCKETS, MANTISSA, ROWS = 256, 10, 6
 #: Members of a bucket in one side of a cell, and shingles of all of them; members besides the main component from which a bucket is dealt anew.
 CELL, CELL_SHINGLES, WIDE = 512, 1 << 19, 4096
+#: Members up to which those that share a rare shingle are compared as pairs.
+FEW = 64
 #: Partners that a centre's set is sent along with.
 STAR_PART = 64
 #: Registers of unequal hashes that agree: 0.1699 * 2 ** (1 - mantissa bits) of all, for sets of any usual size.
@@ -194,28 +198,17 @@ def _registers(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
 
-def bands(classes: DataFrame, second: bool = False) -> DataFrame:
-    """(key, cid) for each band; second: classes also hold `key`, kept as `first`, and the bands' keys depend on it."""
-    columns = ["cid", "registers"] + ["key"] * second
-
+def bands(classes: DataFrame) -> DataFrame:
+    """(key, cid) for each band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 keys = _band_keys(_registers(part.column(1)))
-                cid = np.repeat(part.column(0).to_numpy(), keys.shape[1]).reshape(keys.shape)
-                if not second:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "cid": pa.array(cid.ravel())})
-                    continue
-                own = np.repeat(part.column(2).to_numpy(), keys.shape[1]).reshape(keys.shape)
-                other = keys != own
-                yield pa.RecordBatch.from_pydict({"key": pa.array(_second_key(keys, own)[other]), "cid": pa.array(cid[other]), "first": pa.array(own[other])})
-
-    return classes.select(*columns).mapInArrow(run, "key long, cid long" + ", first long" * second)
+                cid = np.repeat(part.column(0).to_numpy(), keys.shape[1])
+                yield pa.RecordBatch.from_pydict({"key": pa.array(keys.ravel()), "cid": pa.array(cid)})
 
-
-def _second_key(keys: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return mixed(keys.astype(np.uint64) ^ mixed(own.astype(np.uint64))).astype(np.int64)
+    return classes.select("cid", "registers").mapInArrow(run, "key long, cid long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -329,30 +322,51 @@ def sizes_of_both(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.diff(np.append(0, np.cumsum(hit))[np.cumsum([0, *map(len, others)])])
 
 
+def sizes_with_each(others: list[np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
+    """Intersection size of a set with each of some that stay the same and aren't empty."""
+    names, place = np.unique(np.concatenate(others), return_inverse=True)
+    starts = np.cumsum([0, *map(len, others)])[:-1]
+
+    def run(own: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        has = np.zeros(len(names), np.int32)
+        has[at[names[at] == own]] = 1
+        return np.add.reduceat(has[place], starts)
+
+    return run
+
+
 def _cell(b: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
-    """Links of a cell (key, low, at, first, side, minor, cid, comp, n, registers, hashes) that join different components."""
-    key, first = b.column(0)[0].as_py(), b.column(3)[0].as_py()
+    """Links of a cell (key, low, at, rare, side, minor, cid, comp, n, registers, hashes) that join different components.
+
+    rare: its key is a shingle, and all are compared by sets alone; else it is that of a band."""
+    key, rare = b.column(0)[0].as_py(), b.column(3)[0].as_py()
     side, minor, cid, comp, n = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4, 9))
-    registers = _registers(b.column(9))
-    keys = _band_keys(registers)
     hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in b.column(10)]
     left, right, roots = np.flatnonzero(side == 0), np.flatnonzero(side == 1), Roots(np.unique(comp))
     links: list[tuple[int, int]] = []
+    if rare:
+        sizes = sizes_with_each([hashes[j] for j in right])
+    else:
+        registers = _registers(b.column(9))
+        keys = _band_keys(registers)
     for i in left.tolist():
         fine = (comp[right] != comp[i]) & ~(minor[right] & (cid[right] < cid[i]))
         fine &= 100 * np.minimum(n[i], n[right]) >= percent * np.maximum(n[i], n[right])
         among = right[fine]
         if not len(among):
             continue
+        if rare:
+            both = sizes(hashes[i])[fine]
+            for j in among[100 * both >= percent * (n[i] + n[among] - both)].tolist():
+                if (other := roots.find(int(comp[j]))) != (own := roots.find(int(comp[i]))):
+                    roots.up[other] = own
+                    links.append((int(cid[i]), int(cid[j])))
+            continue
         jaccard, used = estimates(registers[i : i + 1], registers[among])
         fine = may_link(jaccard[0], used[0], percent)
         same = keys[among] == keys[i]
-        if first is not None:
-            fine &= keys[i][same.argmax(1)] == first
-            same[np.arange(len(among)), same.argmax(1)] = False
-            fine &= same.any(1) & (_second_key(keys[i], np.array(first))[same.argmax(1)] == key)
-        else:
-            fine &= keys[i][same.argmax(1)] == key
+        fine &= keys[i][same.argmax(1)] == key
         among, jaccard = among[fine], jaccard[0][fine]
         among = among[np.argsort(-jaccard, kind="stable")].tolist()
         for at in range(0, len(among), STAR_PART):
@@ -367,7 +381,7 @@ def _cell(b: pa.RecordBatch, percent: int) -> Iterator[pa.RecordBatch]:
 
 
 def _cells(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between different components in the buckets of members (key, cid, comp, first, and the columns of _mixed()).
+    """Links between different components in the buckets of members (key, cid, comp, rare, and the columns of _mixed()).
 
     What isn't of the bucket's main component is compared with all of it, in cells of CELL by CELL."""
     def parts(rows: str, weight: str) -> Column:
@@ -375,13 +389,50 @@ def _cells(members: DataFrame, classes: DataFrame, sets: DataFrame, percent: int
 
     own = members.withColumn("minor", F.col("comp") != F.col("main")).withColumn("wide", parts("size", "weight")).withColumn("high", parts("others", "other_weight"))
     mine = F.xxhash64("cid")
-    right = own.select("key", F.explode(F.expr("sequence(0, high - 1)")).alias("low"), F.pmod(mine, F.col("wide")).cast("int").alias("at"), "first", F.lit(1).alias("side"), "minor", "cid", "comp")
-    left = own.where("minor").select("key", F.pmod(mine, F.col("high")).cast("int").alias("low"), F.explode(F.expr("sequence(0, wide - 1)")).alias("at"), "first", F.lit(0).alias("side"), "minor", "cid", "comp")
+    right = own.select("key", F.explode(F.expr("sequence(0, high - 1)")).alias("low"), F.pmod(mine, F.col("wide")).cast("int").alias("at"), "rare", F.lit(1).alias("side"), "minor", "cid", "comp")
+    left = own.where("minor").select("key", F.pmod(mine, F.col("high")).cast("int").alias("low"), F.explode(F.expr("sequence(0, wide - 1)")).alias("at"), "rare", F.lit(0).alias("side"), "minor", "cid", "comp")
     rows = left.unionByName(right).join(classes.select("cid", "n", "registers"), "cid").join(sets.select("cid", "hashes"), "cid")
-    rows = rows.select("key", "low", "at", "first", "side", "minor", "cid", "comp", "n", "registers", "hashes")
+    rows = rows.select("key", "low", "at", "rare", "side", "minor", "cid", "comp", "n", "registers", "hashes")
     return by_group(rows, ["key", "low", "at"], lambda b: _cell(b, percent), "a long, b long")
 
 
+def _rarest(wide: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, cid, comp, n) of classes (cid, comp, n): a row for each of a set's rarest shingles among these, of which a set at the line with it shares one, as
+
+    it shares percent of either, so all but that and one more are left out; and in one order of all shingles the first that both have stands among both's rarest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                found = np.frombuffer(b.column(3)[row].as_buffer(), np.int64)
+                for at in range(0, len(found), CHUNK):
+                    part = found[at : at + CHUNK]
+                    same = [pa.array(np.full(len(part), b.column(i)[row].as_py(), np.int64)) for i in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *same], names=["key", "cid", "comp", "n"])
+
+    each = saved(wide.join(sets.select("cid", "hashes"), "cid").select("cid", "comp", F.col("n").cast("long").alias("n"), "hashes").mapInArrow(run, "key long, cid long, comp long, n long"), "shingles")
+    counts = saved(each.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).withColumn("often", F.col("rows")), "shingle-counts")
+    placed = join_by_share(each, counts, "key", "rows", counts.agg(F.sum("rows")).first()[0] or 0, F.col("cid"))
+    placed = placed.withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("often", "key")))
+    rare = saved(placed.where(f"place <= n - ({percent} * n + 99) div 100 + 1 and often > 1").select("key", "cid", "comp", "n"), "rarest")
+    drop(each, counts)
+    return rare
+
+
+def _rare_links(wide: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components among classes (cid, comp, n): all whose sets are at the line, but where others join their components."""
+    rare = _rarest(wide, sets, percent)
+    met = saved(_of_mixed(rare), "met")
+    few = met.where(F.col("size") <= FEW)
+    other = few.select("key", F.col("cid").alias("b"), F.col("comp").alias("other"), F.col("n").alias("m"))
+    near = f"comp <> other and cid < b and 100 * least(n, m) >= {percent} * greatest(n, m)"
+    pairs = saved(few.join(other, "key").where(near).select(F.col("cid").alias("a"), "b").distinct(), "rare-pairs")
+    links = _verified(pairs, sets, percent)
+    many = _cells(met.where(F.col("size") > FEW).withColumn("rare", F.lit(1).cast("long")), classes, sets, percent)
+    out = saved(links.unionByName(many), "rare-links")
+    drop(rare, met, pairs, links)
+    return out
+
+
 def _stars(stars: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The confirmed ones of links (a, b); each b occurs once."""
     small = classes.select(F.col("cid").alias("b"), "n", "registers")
@@ -463,11 +514,13 @@ def linked(docs: DataFrame, k: int = 4, percent: int = 80, carried: tuple[str, .
     rest = saved(_of_mixed(members), "rest")
     drop(members)
     if rest.limit(1).count():
-        again = bands(rest.where(F.col("others") > WIDE).join(classes.select("cid", "registers"), "cid"), second=True)
-        again = saved(again.join(rest.select("cid", "comp", "n").distinct(), "cid").select("key", "cid", "comp", "n", "first"), "second-bands")
-        todo = rest.where(F.col("others") <= WIDE).withColumn("first", F.lit(None).cast("long")).unionByName(_of_mixed(again))
+        todo = rest.where(F.col("others") <= WIDE).withColumn("rare", F.lit(None).cast("long"))
         nodes = _joined(nodes, saved(_cells(todo, classes, sets, percent), "rest-links"))
-        drop(again)
+        wide = saved(rest.where(F.col("others") > WIDE).select("cid", "n").distinct(), "wide")
+        if wide.limit(1).count():
+            wide_now = wide.join(nodes, wide["cid"] == nodes["node"], "left").select("cid", F.coalesce("root", "cid").alias("comp"), "n")
+            nodes = _joined(nodes, _rare_links(wide_now, classes, sets, percent))
+        drop(wide)
     drop(rest, shared, sets, classes)
     # the smallest doc_id of each component
     lowest = own.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("rows"))

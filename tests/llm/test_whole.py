@@ -58,6 +58,21 @@ def test_one_large_group(spark, monkeypatch):
     assert len(set(expected)) > 30 and [found[i] for i in range(len(texts))] == expected
 
 
+@pytest.mark.parametrize("few", [2, 1 << 20])
+def test_wide_buckets_lose_no_link(spark, monkeypatch, few):
+    """All sets share one bucket only, and it counts as wide: what the first centre isn't linked with is found by rare shingles."""
+    monkeypatch.setattr(minhash, "CELL", 16)
+    monkeypatch.setattr(minhash, "WIDE", 0)
+    monkeypatch.setattr(minhash, "FEW", few, raising=False)
+    monkeypatch.setattr(minhash, "_band_keys", lambda registers: np.full((len(registers), 1), 7))
+    r = np.random.default_rng(12)
+    bases = [[f"w{i}" for i in range(60)] + [f"g{g}x{i}" for i in range(60)] for g in range(6)]
+    texts = [mutated(base, r, 9) for base in bases for _ in range(8)]
+    found = {x["doc_id"]: x["component_id"] for x in minhash.linked(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    expected = linked_by_brute_force(texts, 4)
+    assert 6 <= len(set(expected)) < 40 and [found[i] for i in range(len(texts))] == expected
+
+
 def test_cells_emit_fewer_links_than_members():
     import pyarrow as pa
 
