@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from .selectors import Compiled, Complex, stripped
 
 BEFORE = (Window.unboundedPreceding, -1)
+#: Bytes of stored nodes that a task gets; as rows, with a sort for each step, they take many times that. Beyond so many shares a plan's estimate is taken for no size at all.
+SHARE, MOST = 2 << 20, 20_000
 
 
 class Row:
@@ -131,9 +133,17 @@ class Marks:
         return now
 
 
+def dealt(nodes: DataFrame, key: str) -> DataFrame:
+    """Rows of nodes by document, in so many partitions that a task's share doesn't grow with the table; a number that is given isn't coalesced again."""
+    spark = nodes.sparkSession
+    size = int(str(nodes._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    shares = -(-size // SHARE)
+    return nodes.repartition(max(spark.sparkContext.defaultParallelism, shares), key) if shares <= MOST else nodes
+
+
 def selected(nodes: DataFrame, selector: str, key: str, within: str | None = None, css: bool = False, extensions: bool = False) -> DataFrame:
     """The rows of nodes that a selector matches; within: only descendants of what another selector matches."""
-    marks = Marks(nodes, key)
+    marks = Marks(dealt(nodes, key), key)
     hit = marks.selected(Compiled(selector, key, css, extensions))
     if within is not None:
         around = F.col(marks.selected(Compiled(within, key, css, extensions)))

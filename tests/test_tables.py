@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tagquarry.plans import queries
 from tagquarry.functions import charsets, encoding, tables
 from tagquarry.operators import relation
 
@@ -89,3 +90,12 @@ def test_only_named_columns_reach_python(spark):
     found = tables.html_events()(docs.asTable(), column=F.lit("html"), keys=F.lit("id"), fields=F.lit("name"))
     assert found.columns == ["id", "name"] and "wide" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert found.count() == 3
+
+
+def test_stored_nodes_are_dealt_by_size(spark, monkeypatch):
+    from tagquarry.plans import structural
+
+    found = queries.stored_nodes(spark, "/root/testdata/sf0.001")
+    size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    monkeypatch.setattr(structural, "SHARE", size // 40)
+    assert structural.selected(found, "nav li + li a", "page_id").rdd.getNumPartitions() >= 40
