@@ -77,8 +77,8 @@ def _replaced(s: SparkSession, d: str) -> DataFrame:
 
 def _selector_set(s: SparkSession, d: str) -> DataFrame:
     """A selector for each place that any page links to, and for each language; how many nodes on how many pages each matches."""
-    places = query(stored_nodes(s, d), "nav a[href]", KEY).select(HREF()).distinct().where("href <> '' and not contains(href, '\\'')")
-    langs = query(stored_nodes(s, d), "html[lang]", KEY).select(attr("lang")()).distinct()
+    places = query(stored_trees(s, d), "nav a[href]", KEY).select(HREF()).distinct().where("href <> '' and not contains(href, '\\'')")
+    langs = query(stored_trees(s, d), "html[lang]", KEY).select(attr("lang")()).distinct()
     rules = places.select(F.concat(F.lit("nav > ul li > a[href='"), "href", F.lit("']")).alias("rule")).unionByName(langs.select(F.concat(F.lit("[lang='"), "lang", F.lit("'] li:first-child + li")).alias("rule")))
     found = matched(stored_trees(s, d), rules.select("rule", F.col("rule").alias("text")), KEY, "rule", "text")
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("nodes"), F.countDistinct(KEY).alias("pages"))

@@ -99,3 +99,12 @@ def test_stored_nodes_are_dealt_by_size(spark, monkeypatch):
     size = int(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     monkeypatch.setattr(structural, "SHARE", size // 40)
     assert structural.selected(found, "nav li + li a", "page_id").rdd.getNumPartitions() >= 40
+
+
+def test_selector_sets_parse_pages_once(spark, monkeypatch):
+    """The set is made from the stored trees that it is matched against, not from nodes of another parse."""
+    def second(s, d):
+        raise AssertionError("parsed again")
+
+    monkeypatch.setattr(queries, "stored_nodes", second)
+    assert queries.QUERIES["selector_set"](spark, "/root/testdata/sf0.001").columns == ["rule", "nodes", "pages"]
