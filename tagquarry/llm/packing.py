@@ -79,6 +79,12 @@ def distinct(ids: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
     return x[at].astype(np.int64), np.diff(np.append(at, len(x)))
 
 
+def lowest_two(x: np.ndarray) -> np.ndarray:
+    """The places of the two lowest values, lowest first."""
+    at = np.argpartition(x, 1)[:2] if len(x) > 2 else np.arange(len(x))
+    return at[np.argsort(x[at], kind="stable")]
+
+
 def width_of(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -182,7 +188,9 @@ class Router:
         self.scores[self.row[np.repeat(np.arange(size), np.diff(index.starts))], index.docs] = index.lists
 
     def place(self, terms: np.ndarray) -> int:
-        return int(self.places[self.scores[self.row[terms]].sum(0).argmax()]) if self.n and len(terms) else 0
+        rows = self.row[terms]
+        rows = rows[rows > 0]
+        return int(self.places[self.scores[rows].sum(0).argmax()]) if self.n and len(terms) else 0
 
 
 class Filler:
@@ -267,7 +275,7 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW, end: int = END) -> Da
                     for x in ids:
                         terms = distinct(x, width)[0]
                         best = router.place(terms)
-                        two = terms[np.argsort(rare[terms], kind="stable")[:2]].tolist() + [0, 0]
+                        two = terms[lowest_two(rare[terms])].tolist() + [0, 0]
                         at.append(best << 48 | (two[0] & 0xFFFFFF) << 24 | two[1] & 0xFFFFFF)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(at, pa.int64()), pa.array([place] * len(at), pa.int64()), pa.array(range(low, low + len(at)), pa.int64()), pa.array(keys, key_type), pa.array([x.astype(width).tobytes() for x in ids], pa.binary())],

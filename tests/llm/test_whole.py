@@ -8,6 +8,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagquarry.llm import language, minhash, neighbours, packing, pieces, pii, tokens, winnowing
@@ -94,6 +95,42 @@ def test_encoder_equals_the_library(name, spaces):
     assert e.encode(texts) == e._plain([t or "" for t in texts])
 
 
+def test_frequent_pieces_are_encoded_once(monkeypatch):
+    """Whatever comes between, a piece of every batch stays among those kept; the others go."""
+    monkeypatch.setattr(tokens, "PIECES", 40)
+    e, asked = tokens.Encoder(public("byte_bpe_50k.json"), True), []
+    apart = e._apart
+    monkeypatch.setattr(e, "_apart", lambda pieces: asked.extend(pieces) or apart(pieces))
+    for i in range(30):
+        text = "so " + " ".join(f"the {chr(97 + i % 26)}{chr(97 + k)}{'x' * (i // 26)}" for k in range(15))
+        assert e.encode([text]) == e._plain([text])
+    assert asked.count(" the") == 1 and len(e.pieces) + len(e.older) < 80
+
+
+@pytest.mark.parametrize(("name", "spaces"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
+def test_texts_fall_apart_in_arrow(name, spaces):
+    """Safe spaces, others, and none; parts of an array, which begin within its buffers."""
+    texts = ["a b", None, "", " a", "a ", "a  b", "a\u00a0 b", "a \ufeffb", "The the THE.", "\n", "x\n y", "it's 12 don't", "é É\u0301 e", "<|endoftext|> a <|endoftext|>", "word" * 30 + " b", "日本 が"] * 3
+    e = tokens.Encoder(public(name), spaces)
+    assert e.direct
+    for low, n in ((0, len(texts)), (5, 20), (1, 1), (2, 1), (0, 0)):
+        ids, ends = e.encoded(pa.array(texts, pa.string()).slice(low, n))
+        assert [ids[a:b].tobytes() for a, b in zip(ends.tolist(), ends[1:].tolist())] == e._plain([t or "" for t in texts[low : low + n]])
+
+
+def test_batches_of_long_texts_are_sliced():
+    b = pa.RecordBatch.from_pydict({"text": pa.array(["x" * 5_000_000, None, "y" * 5_000_000, "z" * 20_000_000, ""] + ["w"] * 1500)})
+    assert [p.num_rows for p in tokens.sliced(b, 0)] == [2, 1, 1, 1000, 501]
+    assert pa.Table.from_batches(tokens.sliced(b, 0)).column(0).to_pylist() == b.column(0).to_pylist()
+
+
+def test_two_rarest_terms():
+    r = np.random.default_rng(5)
+    for n in range(6):
+        x = r.random(n)
+        assert packing.lowest_two(x).tolist() == np.argsort(x)[:2].tolist()
+
+
 def test_ids_beyond_16_bits(spark, tmp_path):
     model = {"type": "WordLevel", "vocab": {f"v{i}": i for i in range(70_001)} | {"zz": 70_001, "?": 70_002}, "unk_token": "?"}
     path = tmp_path / "t.json"
