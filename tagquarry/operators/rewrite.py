@@ -114,11 +114,11 @@ def edited(found: DataFrame, edits: DataFrame, key: str) -> DataFrame:
     fits = "x is not null and not lower[x.pre] and if(e.how = 'append', not gone[x.pre], x.parent is not null)"
     kept = "transform(filter(tree, x -> not gone[x.pre] and not lower[x.pre]), x -> struct(x.pre as a, 0 as b, 0 as c, 0 as k, 0 as j, x as x))"
     all_added = f"flatten(transform(edits, (e, k) -> {folds.let([('x', 'get(tree, e.at)')], f'if({fits}, {added}, slice(kept, 1, 0))')}))"
-    # of a document without edits nothing is looked at
-    work = trees.select(key, F.col(TREE).alias("whole"), "edits", F.expr(f"if(edits is null, slice({TREE}, 1, 0), {TREE})").alias(TREE))
+    # of a document without edits nothing is looked at; only it keeps its old tree, as each step copies what is kept
+    work = trees.select(key, F.expr(f"if(edits is null, {TREE}, null)").alias("whole"), "edits", F.expr(f"if(edits is null, slice({TREE}, 1, 0), {TREE})").alias(TREE))
     steps = [*EDITS, ("kept", kept), ("ordered", f"transform(array_sort(concat(kept, coalesce({all_added}, slice(kept, 1, 0)))), p -> p.x)")]
-    ordered = folds.folded(work, [key, "whole", "edits"], steps, "ordered", TREE)
-    done = numbered(ordered, [key, "whole", "edits"], "made").select(key, F.expr("if(edits is null, whole, made)").alias(TREE))
+    ordered = folds.folded(work, [key, "whole", "edits"], steps, "ordered", TREE).drop("edits")
+    done = numbered(ordered, [key, "whole"], "made").select(key, F.coalesce("whole", "made").alias(TREE))
     if not rows:
         return done
     return found.join(listed.select(key), key, "left_anti").unionByName(exploded(done, key).select(*found.columns))

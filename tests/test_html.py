@@ -267,6 +267,22 @@ def test_many_edits(spark):
     assert {r["k"]: r["tree"] for r in new.collect()} == again
 
 
+def test_edits_are_not_carried_through_the_numbering(spark):
+    """Each step copies the rows it is given: no more is in them than the new tree, and the old one where there are no edits."""
+    found = relation.trees(spark.createDataFrame([(1, "<h1>a</h1>"), (2, "<p>b")], "k long, html string"), "k")
+    new = relation.trees(spark.createDataFrame([(1, "<h2>c</h2>")], "k long, html string"), "k", options=relation.Options(fragment=("div", None)))
+    edits = query(found, "h1", "k").selectExpr("k", "pre as at", "'replace' as how").join(new, "k")
+    done = rewrite.edited(found, edits, "k")
+    node, names = done._jdf.queryExecution().optimizedPlan(), []
+    while node.children().size() == 1:
+        if node.nodeName() == "Generate":
+            names.append(node.output().mkString(" "))
+        node = node.children().head()
+    after = [n for n in names if "levels#" in n]
+    assert after and not any("edits#" in n for n in after)
+    assert {r["k"]: [x["name"] for x in r["tree"] if x["kind"] == "element"] for r in done.collect()} == {1: ["html", "head", "body", "h2"], 2: ["html", "head", "body", "p"]}
+
+
 def test_sql_functions(spark):
     from tagquarry.functions import sql
 
