@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from .common import mixed, new_path, partitions, saved, table
-from .tokens import by_file, encoder, loaded, public, stored
+from .tokens import by_file, encoder, forget, loaded, public, stored
 
 WINDOW, END, VOCABULARY = 4096, 2, 49408
 #: Ids and documents of a shard at most, but for a document that is larger alone.
@@ -51,6 +51,7 @@ def corpus_statistics(manifest: DataFrame, size: int = VOCABULARY) -> tuple[np.n
     width = width_of(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()  # texts are encoded by now
         seen, n, total = np.zeros(size, np.int64), 0, 0
         for b in batches:
             for name in b.column(1).to_pylist():
@@ -74,9 +75,15 @@ def corpus_statistics(manifest: DataFrame, size: int = VOCABULARY) -> tuple[np.n
 
 def distinct(ids: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids of a document, in order, and how often each occurs; narrow integers are sorted by digits."""
+    x, n = narrow(ids, width)
+    return x.astype(np.int64), n
+
+
+def narrow(ids: np.ndarray, width: str) -> tuple[np.ndarray, np.ndarray]:
+    """distinct() in integers as wide as the ids need."""
     x = np.sort(ids.astype(width), kind="stable")
     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
-    return x[at].astype(np.int64), np.diff(np.append(at, len(x)))
+    return x[at], np.diff(np.append(at, len(x)))
 
 
 def lowest_two(x: np.ndarray) -> np.ndarray:
@@ -93,25 +100,33 @@ class Index:
     """BM25 over some documents."""
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, tf = zip(*(distinct(d, width_of(len(idf))) for d in docs)) if docs else ((), ())
+        width = width_of(len(idf))
+        terms, tf = zip(*((t, n.astype(np.int32)) for t, n in (narrow(d, width) for d in docs))) if docs else ((), ())
         self.n, self.ends = len(docs), np.cumsum([0, *[len(t) for t in terms]])
-        self.terms = np.concatenate([*terms, np.zeros(0, np.int64)]).astype(np.int64)
-        count = np.concatenate([*tf, np.zeros(0, np.int64)])
-        owner = np.repeat(np.arange(self.n), np.diff(self.ends))
-        long = np.array([len(d) for d in docs], np.int64)[owner]
-        weights = idf[self.terms] * count * (K1 + 1) / (count + K1 * (1 - B + B * long / max(mean, 1e-9)))
+        self.terms = np.concatenate([*terms, np.zeros(0, width)])
+        count = np.concatenate([*tf, np.zeros(0, np.int32)])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(self.ends))
+        long = np.array([len(d) for d in docs], np.int64)
+        below = np.repeat(K1 * (1 - B + B * long / max(mean, 1e-9)), np.diff(self.ends))
+        below += count
+        weights = idf[self.terms]
+        weights *= count
+        weights *= K1 + 1
+        weights /= below
+        del below, count
         order = np.argsort(self.terms, kind="stable")
-        self.docs, self.lists = owner[order], weights[order]
-        self.starts = np.searchsorted(self.terms[order], np.arange(len(idf) + 1))
+        self.docs, self.lists = owner[order].astype(np.int64), weights[order]
+        del order
+        self.starts = np.append(0, np.cumsum(np.bincount(self.terms, minlength=len(idf))))
         common = np.flatnonzero(np.diff(self.starts) > max(8, COMMON * self.n))
         self.row = np.full(len(idf), -1)
         self.row[common] = np.arange(len(common))
         self.dense = np.zeros((len(common), self.n), np.float32)
-        at = self.row[self.terms]
-        self.dense[at[at >= 0], owner[at >= 0]] = weights[at >= 0]
+        held = np.flatnonzero((self.row >= 0)[self.terms])
+        self.dense[self.row[self.terms[held]], owner[held]] = weights[held]
 
     def terms_of(self, doc: int) -> np.ndarray:
-        return self.terms[self.ends[doc] : self.ends[doc + 1]]
+        return self.terms[self.ends[doc] : self.ends[doc + 1]].astype(np.int64)
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 of each document for these terms."""
